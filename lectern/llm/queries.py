@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, secret_scan, sharding, token_counts
+from . import decontamination, line_dedup, packing, secret_scan, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +36,17 @@ def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
     "op2_secret_ownership": op2_secret_ownership,
     "op3_line_windows": op3_line_windows,
     "op5_best_fit": op5_best_fit,
     "op9_jump_sharding": op9_jump_sharding,
+    "op10_spaced_seeds": op10_spaced_seeds,
 }
 
 ORACLE_SQL: dict[str, str] = {}
