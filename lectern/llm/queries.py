@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, packing, secret_scan, sharding, token_counts
+from . import decontamination, line_dedup, minhash, packing, secret_scan, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select(found["doc"].alias("doc_id"), "class_id", "n_class", "kept")
+
+
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=8)
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_ownership": op2_secret_ownership,
     "op3_line_windows": op3_line_windows,
     "op5_best_fit": op5_best_fit,
+    "op8_bag_minhash": op8_bag_minhash,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
