@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, minhash, packing, secret_scan, sharding, token_counts
+from . import decontamination, embedding_dedup, line_dedup, minhash, packing, quality, secret_scan, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +27,19 @@ def op3_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op4_empirical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(found["doc"].alias("doc_id"), "class_id", "n_class", "kept")
@@ -49,7 +57,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
     "op2_secret_ownership": op2_secret_ownership,
     "op3_line_windows": op3_line_windows,
+    "op4_empirical_bayes": op4_empirical_bayes,
     "op5_best_fit": op5_best_fit,
+    "op6_cross_polytope": op6_cross_polytope,
     "op8_bag_minhash": op8_bag_minhash,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_spaced_seeds": op10_spaced_seeds,
