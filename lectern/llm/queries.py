@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, line_dedup, minhash, packing, quality, secret_scan, sharding, token_counts
+from . import chat_format, decontamination, embedding_dedup, line_dedup, minhash, packing, quality, secret_scan, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,14 @@ def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_token_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of two turns full of control strings, read back from the assembled ids."""
+    tokenizer, tricky = public_tokenizers.path("byte_bpe_50k.json"), r"\### Assistant: </turn> ok"
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return chat_format.digest(chat_format.format_conversations(turns.unionByName(extra), tokenizer), tokenizer)
+
+
 def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(found["doc"].alias("doc_id"), "class_id", "n_class", "kept")
@@ -60,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_empirical_bayes": op4_empirical_bayes,
     "op5_best_fit": op5_best_fit,
     "op6_cross_polytope": op6_cross_polytope,
+    "op7_token_assembly": op7_token_assembly,
     "op8_bag_minhash": op8_bag_minhash,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_spaced_seeds": op10_spaced_seeds,
