@@ -138,7 +138,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             each = np.repeat(hashes, counts)
             nth = np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
             out.append(np.unique((mix(each + nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["node", "elements"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32())), batch.column(2)], names=["node", "elements", "bands"])
 
 
 def _verified(pairs: DataFrame, elements: DataFrame) -> DataFrame:
@@ -149,39 +149,99 @@ def _verified(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     return both.where(shared >= SIMILARITY * (F.col("nu") + F.col("nv") - shared)).select("u", "v")
 
 
+def compare_cell(bands: np.ndarray, band: int, elements: list[np.ndarray], component: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links (places of two members) that connect the components of a cell as all its links of ``left`` with ``right`` would.
+
+    Pairs in one component are not compared, nor are pairs that an earlier band
+    brings together, for that band's bucket compares them. A member is held
+    against all others at once: its elements are marked, and the marks under each
+    other member's elements are summed.
+    """
+    sizes = np.array([len(e) for e in elements])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    codes = np.unique(np.concatenate(elements), return_inverse=True)[1].reshape(-1)
+    marked = np.zeros(codes.max() + 1, dtype=bool)
+    component, out = component.copy(), []
+    both = bool((left & right).any())
+    for i in np.flatnonzero(left):
+        other = right & (component != component[i])
+        other &= (np.minimum(sizes, sizes[i]) >= SIMILARITY * np.maximum(sizes, sizes[i]))
+        if both:
+            other[: i + 1] = False
+        at = np.flatnonzero(other)
+        if len(at):
+            at = at[~(bands[at, :band] == bands[i, :band]).any(axis=1)]
+        if not len(at):
+            continue
+        own = codes[starts[i] : starts[i] + sizes[i]]
+        marked[own] = True
+        if len(at) * 4 < len(sizes):
+            shared = np.array([int(marked[codes[starts[j] : starts[j] + sizes[j]]].sum()) for j in at])
+        else:
+            shared = np.add.reduceat(marked[codes], starts)[at]
+        marked[own] = False
+        for j in at[shared >= SIMILARITY * (sizes[i] + sizes[at] - shared)]:
+            if component[j] != component[i]:
+                out.append((int(i), int(j)))
+                component[component == component[j]] = component[i]
+    return out
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of all cells; rows come sorted by cell, and a cell may span batches."""
+    names = ["bucket", "r", "c", "band", "part", "node", "component", "bands", "elements"]
+
+    def done(rows: list[tuple]) -> list[tuple[int, int]]:
+        _, r, c, band = rows[0][:4]
+        part = np.array([x[4] for x in rows])
+        found = compare_cell(np.array([x[7] for x in rows]), band, [x[8] for x in rows], np.array([x[6] for x in rows]), part == r, part == c)
+        return [(max(rows[i][5], rows[j][5]), min(rows[i][5], rows[j][5])) for i, j in found]
+
+    cell: tuple | None = None
+    rows: list[tuple] = []
+    for batch in slices(batches, 1024):
+        links: list[tuple[int, int]] = []
+        simple = [batch.column(names.index(n)).to_pylist() for n in names[:7]]
+        arrays = [batch.column(i) for i in (7, 8)]
+        for k, values in enumerate(zip(*simple, strict=True)):
+            if values[:3] != cell:
+                if len(rows) > 1:
+                    links += done(rows)
+                cell, rows = values[:3], []
+            rows.append((*values, arrays[0][k].values.to_numpy(), arrays[1][k].values.to_numpy()))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["u", "v"])
+    if len(rows) > 1 and (links := done(rows)):
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+
+#: A cell compares at most about so many members, with so many elements, with as many others.
+CELL_MEMBERS, CELL_ELEMENTS = 1024, 2_000_000
+
+
 def _links(members: DataFrame, elements: DataFrame) -> DataFrame:
-    """Links (u, v) that connect the same nodes as all verified pairs within the buckets of ``members`` (bucket, node).
+    """Links (u, v) that connect the same nodes as all verified pairs within the buckets of ``members`` (bucket, band, node).
 
-    First every member is held against one pivot of its bucket. As long as a
-    bucket has members in several components, those are held against 4, 16, ...
-    pivots of the other components, and at last against every member of them; so
-    pairs that are connected already are not compared, and no pair that could
-    connect two components is left out.
+    First every member is held against one pivot of its bucket; this connects
+    most groups. Buckets of three or more that still have members in several
+    components are then compared whole, each pair once, in cells of bounded size.
+    Cells give back only links that connect something: fewer than they have
+    members.
     """
-    pivots = members.groupBy("bucket").agg(F.min("node").alias("v"))
-    tried = cut(members.join(pivots, "bucket").where("node <> v").select(F.col("node").alias("u"), "v").distinct())
-    links = cut(_verified(tried, elements))
-    most = 1
-    while True:
-        component = components(links)
-        placed = members.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
-        several = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
-        open_ = cut(placed.join(several, "bucket"))
-        size = open_.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        if size is None:
-            return links
-        most *= 4
-        last = size <= most
-        part = F.col("node") if last else F.pmod(F.xxhash64("node", F.lit(most)), F.lit(most))
-        chosen = open_.groupBy("bucket", F.col("c").alias("cv"), part.alias("part")).agg(F.min("node").alias("v"))
-        apart = F.col("c") < F.col("cv") if last else F.col("c") != F.col("cv")
-        pairs = open_.join(chosen, "bucket").where(apart).select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
-        known = tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        fresh = cut(pairs.join(known, ["u", "v"], "left_anti"))
-        links = cut(links.union(_verified(fresh, elements)))
-        if last:
-            return links
-        tried = cut(tried.union(fresh))
+    pivots = members.groupBy("bucket").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n"))
+    pairs = members.join(pivots, "bucket").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    links = cut(_verified(pairs, elements))
+    placed = members.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    size = elements.select("node", F.size("elements").alias("size"))
+    several = placed.join(size, "node").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    parts = F.greatest(F.ceil(F.col("n") / CELL_MEMBERS), F.ceil(F.col("size") / CELL_ELEMENTS)).cast("int")
+    open_ = several.where("n > 2 and low <> high").select("bucket", parts.alias("parts"))
+    dealt = placed.join(open_, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = each.select("bucket", F.least("part", "other").alias("r"), F.greatest("part", "other").alias("c"), "band", "part", "node", "component")
+    full = cells.join(elements, "node").select("bucket", "r", "c", "band", "part", "node", "component", "bands", "elements")
+    more = full.repartition("bucket", "r", "c").sortWithinPartitions("bucket", "r", "c", "node").mapInArrow(_cells, "u long, v long")
+    return links.union(cut(more))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -201,13 +261,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     copies = rows.where("key is not null").groupBy("key").agg(first, F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     classes = written(copies.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    banded = classes.select("node", F.explode("bands").alias("bucket"))
+    banded = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
     members = written(banded.join(shared, "bucket"), "members")
-    needed = members.select("node").distinct().join(classes.select("node", "first.doc", "first.th", "first.row"), "node").withColumnsRenamed({"doc": "d", "th": "t"})
+    needed = members.select("node").distinct().join(classes.select("node", F.col("first.doc").alias("d"), F.col("first.th").alias("t"), "bands"), "node")
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(whole).alias("th"), whole.alias("text"))
-    found = texts.join(needed, F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("node", "text")
-    elements = written(found.mapInArrow(_elements, "node long, elements array<int>").dropDuplicates(["node"]), "elements")
+    found = texts.join(needed, F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("node", "text", "bands")
+    elements = written(found.mapInArrow(_elements, "node long, elements array<int>, bands array<long>").dropDuplicates(["node"]), "elements")
 
     component = components(_links(members, elements))
     joined = classes.select("node", "key", "first", "n").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -103,6 +103,25 @@ def test_classes_against_brute_force(spark):
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == sorted(d for d, c in want.items() if c == d)
 
 
+def test_cells_compare_whole_buckets(spark, monkeypatch):
+    """Copies of one text that are like it but not like each other: only the text itself connects them."""
+    monkeypatch.setattr(M, "CELL_MEMBERS", 7)
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(300)]
+    rows = [(500, " ".join(base))]
+    for d in range(60):
+        copy = list(base)
+        for at in rng.sample(range(300), rng.choice([6, 7, 8, 9])):
+            copy[at] = f"e{d}x{at}"
+        rows.append((d, " ".join(copy)))
+    sets = {d: counts(t) for d, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and similarity(sets[a], sets[b]) >= 0.8]
+    want = groups(pairs, sets)
+    df = spark.createDataFrame([(d, t, "k", 0) for d, t in rows], DOCS).repartition(3)
+    assert {r.doc: r.class_id for r in M.near_duplicates(df).collect()} == want
+    assert 2 < len(set(want.values())) < 50 and len(pairs) < 100
+
+
 def test_repeated_rows_null_keys_and_empty_table(spark):
     rows = [(1, "a b c d e f g", "x", 1), (1, "a b c d e f g", "x", 1), (None, "a b c d e f g", "", 2), (2, "q r s", "", 3), (None, "lone text of its own", "", 4), (None, None, "", 5)]
     df = spark.createDataFrame(rows, DOCS)
