@@ -88,7 +88,7 @@ def bootstrap(scores: DataFrame, resamples: int = 1000, confidence: float = 0.95
     u = F.pmod(F.xxhash64("eval", "s", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     limits = [0.36787944117, 0.73575888234, 0.9196986029, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885, 0.99998975079]
     times = sum((F.when(u >= x, 1).otherwise(0) for x in limits), F.lit(0))
-    means = draws.withColumn("k", times).groupBy(*by, "s").agg((F.sum(F.col("k") * F.col("v")) / F.sum("k")).alias("m"))
+    means = draws.withColumn("k", times).groupBy(*by, "s").agg(F.try_divide(F.sum(F.col("k") * F.col("v")), F.sum("k")).alias("m"))  # a resample without rows has no mean
     side = (1 - confidence) / 2
     return means.groupBy(*by).agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(side)).alias("low"), F.percentile("m", F.lit(1 - side)).alias("high"))
 

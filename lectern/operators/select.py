@@ -148,7 +148,7 @@ def extract_order(chosen: DataFrame) -> DataFrame:
 
 def summary_text(extract: DataFrame, sentences: DataFrame) -> DataFrame:
     """(cluster, summary): lines of [ord] and the sentence."""
-    both = extract.join(sentences.select("did", "sno", "text"), ["did", "sno"])
+    both = extract.select("cluster", "did", "sno", "ord").join(sentences.select("did", "sno", "text"), ["did", "sno"])
     lines = F.array_sort(F.collect_list(F.struct("ord", "text")))
     return both.groupBy("cluster").agg(F.array_join(F.transform(lines, lambda x: F.concat(F.lit("["), x["ord"].cast("string"), F.lit("]  "), x["text"])), "\n").alias("summary"))
 

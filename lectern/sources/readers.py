@@ -140,7 +140,7 @@ def read_pages(pages: DataFrame) -> DataFrame:
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """(block, line, text): the lines of files whose blocks stand between blank lines."""
-    blocks = spark.read.option("lineSep", "\n\n").text(path).select(F.monotonically_increasing_id().alias("block"), F.trim("value").alias("v")).where("v <> ''")
+    blocks = spark.read.option("lineSep", "\n\n").text(path).select(F.monotonically_increasing_id().alias("block"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("v")).where("v <> ''")
     return blocks.select("block", F.posexplode(F.split("v", "\n")).alias("line", "text"))
 
 
