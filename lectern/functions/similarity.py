@@ -32,7 +32,7 @@ def bigram_overlap(a: Column, b: Column) -> Column:
 
 
 #: The similarities that rerankers may name.
-BY_NAME: dict[str, Callable[[Column, Column], Column]] = {"MEAD-cosine": binary_cosine, "cosine": binary_cosine, "overlap": overlap, "bigram": bigram_overlap}
+BY_NAME: dict[str, Callable[[Column, Column], Column]] = {"cosine": binary_cosine, "overlap": overlap, "bigram": bigram_overlap}
 
 
 def idf_table(tokens: DataFrame, doc: str = "did", word: str = "w") -> DataFrame:

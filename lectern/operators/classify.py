@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: The defaults: Centroid and Position count alike, sentences of under 9 words score 0.
 WEIGHTS = {"Centroid": 1.0, "Position": 1.0}
 LENGTH_CUTOFF = 9
-REDUNDANCY = ("MEAD-cosine", 0.7)
+REDUNDANCY = ("cosine", 0.7)
 PERCENT = 20
 
 

@@ -64,7 +64,7 @@ def by_words(candidates: DataFrame, percent: float | None = 20, absolute: int |
     return _fold(candidates, _target(percent, absolute, "words"), True, None, 0.0)
 
 
-def without_redundancy(candidates: DataFrame, percent: float | None = 20, absolute: int | None = None, words: bool = False, similarity: str = "MEAD-cosine", threshold: float = 0.7) -> DataFrame:
+def without_redundancy(candidates: DataFrame, percent: float | None = 20, absolute: int | None = None, words: bool = False, similarity: str = "cosine", threshold: float = 0.7) -> DataFrame:
     """As ``top_sentences`` or ``by_words``, passing over sentences as similar as ``threshold`` to a chosen one."""
     return _fold(candidates, _target(percent, absolute, "words" if words else "sentences"), words, similarity, threshold)
 
@@ -186,7 +186,7 @@ def threshold_filter(candidates: DataFrame, params: DataFrame, budget: int = 665
 
 def drop_repeats(candidates: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Candidates in rank order without those whose similarity to a kept one is over the threshold."""
-    return _fold(candidates, F.lit(1 << 30), False, "MEAD-cosine", threshold + 1e-12)
+    return _fold(candidates, F.lit(1 << 30), False, "cosine", threshold + 1e-12)
 
 
 def permutation(candidates: DataFrame, seed: int = 0) -> DataFrame:

@@ -16,7 +16,7 @@ from .functions import similarity, text
 from .operators import classify, evaluation, features, graph, ngram_graph, pointer, rouge, select
 from .plans.summarizer import Summarizer, sweep
 from .sources import readers, writers
-from .streaming import cidr
+from .streaming import single_pass
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -609,15 +609,15 @@ def g9(spark: SparkSession, d: str) -> DataFrame:
 # -- clustering and streams ----------------------------------------------------
 
 
-@register("st1_cidr_batch")
+@register("st1_single_pass")
 def st1(spark: SparkSession, d: str) -> DataFrame:
     articles = _docs(spark, d).select(F.concat_ws("/", "lang", "source").alias("stream"), F.col("doc_id").alias("did"), "text")
-    return cidr.cluster_batch(articles, _idf(spark, d))
+    return single_pass.cluster_batch(articles, _idf(spark, d))
 
 
 @register("windowed_events", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windowed(spark: SparkSession, d: str) -> DataFrame:
-    return cidr.windowed_counts(readers.table(spark, d, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+    return single_pass.windowed_counts(readers.table(spark, d, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
 # -- ROUGE ---------------------------------------------------------------------
