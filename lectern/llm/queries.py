@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, embedding_dedup, line_dedup, minhash, packing, quality, secret_scan, sharding, token_counts
+from . import chat_format, decontamination, embedding_dedup, line_dedup, minhash, oracles, packing, quality, secret_scan, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,4 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_spaced_seeds": op10_spaced_seeds,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_secret_ownership": oracles.SECRETS,
+    "op3_line_windows": oracles.LINE_WINDOWS,
+}
