@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+from .chat_format import CONTROL, MARKS
+from .embedding_dedup import COSINE
 from .line_dedup import LINE_WORDS, LONG_LINE, MIN_CHARS
+from .minhash import SHINGLE, SIMILARITY
 from .secret_scan import BASE, EXAMPLE_OWNERS, KINDS, OWNED
 
 
@@ -50,3 +55,38 @@ r AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FIL
   count(*) FILTER (class = 'live') AS n_live, count(*) FILTER (class = 'shared') AS n_shared, count(*) FILTER (class = 'example') AS n_example FROM y GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
   coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared, coalesce(n_example, 0) AS n_example FROM c LEFT JOIN r USING (doc_id)"""
+
+EMBEDDINGS = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {COSINE}),
+r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT l.w, r.c FROM r JOIN l ON l.u = r.vec_id),
+n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM r LEFT JOIN n ON u = vec_id GROUP BY vec_id"""
+
+_ESCAPES = _quoted(r"(\\|" + "|".join(re.escape(x) for x in sorted(CONTROL, key=len, reverse=True)).replace(r"\ ", " ").replace(r"\#", "#") + ")")
+_SHOWN = "length(regexp_replace({0}, " + _ESCAPES + r", '\\\1', 'g'))"
+
+CONVERSATIONS = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({sum(map(len, MARKS))} + {_SHOWN.format("role")} + {_SHOWN.format("text")}) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+_WORDS = r"list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda x: x <> '')"
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE d AS (SELECT doc_id, text, {_WORDS} AS w FROM documents),
+k AS (SELECT *, CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') ELSE chr(0) || text END AS key FROM d),
+c AS (SELECT key, min(doc_id) AS node, any_value(w) AS w, count(*) AS copies FROM k WHERE trim(coalesce(text, '')) <> '' GROUP BY key),
+g AS (SELECT node, g, count(*) AS c FROM (SELECT node, unnest(list_transform(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) AS g FROM c WHERE len(w) > 0) GROUP BY ALL),
+s AS (SELECT node, sum(c) AS s FROM g GROUP BY node),
+h AS (SELECT a.node AS u, b.node AS v, sum(least(a.c, b.c)) AS h FROM g a JOIN g b ON a.g = b.g AND a.node < b.node GROUP BY ALL),
+l AS (SELECT u, v FROM h JOIN s a ON a.node = u JOIN s b ON b.node = v WHERE h >= {SIMILARITY} * (a.s + b.s - h)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT node, node AS c FROM c UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.node),
+m AS (SELECT node, min(c) AS class_id FROM r GROUP BY node),
+z AS (SELECT class_id, sum(copies) AS n FROM m JOIN c USING (node) GROUP BY class_id)
+SELECT k.doc_id, coalesce(m.class_id, k.doc_id) AS class_id, CAST(coalesce(z.n, 1) AS BIGINT) AS n_class, coalesce(m.class_id, k.doc_id) = k.doc_id AS kept
+FROM k LEFT JOIN c USING (key) LEFT JOIN m USING (node) LEFT JOIN z ON z.class_id = m.class_id"""

@@ -77,4 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_secret_ownership": oracles.SECRETS,
     "op3_line_windows": oracles.LINE_WINDOWS,
+    "op6_cross_polytope": oracles.EMBEDDINGS,
+    "op7_token_assembly": oracles.CONVERSATIONS,
+    "op8_bag_minhash": oracles.NEAR_DUPLICATES,
 }
