@@ -7,6 +7,7 @@ for each cluster) are walked side by side in numpy, one group for each graph.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 def _cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))  # unset in tests alone
     return df.checkpoint(eager=True)
 
 
