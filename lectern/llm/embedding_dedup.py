@@ -14,7 +14,6 @@ group of its own, so a bucket of any size is compared whole and by many tasks.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -120,18 +119,59 @@ def _hashed(batches):
                     )
 
 
-def _compare(cell: pd.DataFrame) -> pd.DataFrame:
-    """Linked pairs of a cell: its own members (home rows) against those that look in, and against each other."""
-    units = np.array([unit_vector(r) for r in cell["x"]])
-    node, probe = cell["node"].to_numpy(), cell["probe"].to_numpy()
-    near = units @ units[~probe].T >= COSINE - 1e-9
-    a, b = np.nonzero(near)
-    home = node[~probe]
-    u, v = np.maximum(node[a], home[b]), np.minimum(node[a], home[b])
-    i, j = a, np.flatnonzero(~probe)[b]
-    cosine = (units[i] * units[j]).sum(axis=1)
-    keep = (u != v) & (cosine >= COSINE)
-    return pd.DataFrame({"u": u[keep], "v": v[keep]}).drop_duplicates()
+#: What a row does in its cell: it looks in (a probe, or a home row from another part), is looked at, or both.
+LOOKS, SHOWN, BOTH = 1, 2, 3
+
+
+def _units(raws: list[bytes]) -> np.ndarray:
+    """Unit vectors of rows of equal length."""
+    x = np.frombuffer(b"".join(raws), dtype=np.float64).reshape(len(raws), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def linked(units: np.ndarray, node: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs (larger node, smaller node) of a cell: rows that look in against rows that are shown."""
+    looks, shown = np.flatnonzero(role & LOOKS), np.flatnonzero(role & SHOWN)
+    a, b = np.nonzero(units[looks] @ units[shown].T >= COSINE - 1e-9)
+    i, j = looks[a], shown[b]
+    keep = (node[i] != node[j]) & ((units[i] * units[j]).sum(axis=1) >= COSINE)
+    u, v = node[i[keep]], node[j[keep]]
+    return np.maximum(u, v), np.minimum(u, v)
+
+
+def _compare(batches):
+    """Linked pairs of all cells; rows come sorted by cell, and a cell may span batches."""
+    keys: np.ndarray | None = None
+    rest: tuple | None = None
+
+    def cells(keys: np.ndarray, node: np.ndarray, role: np.ndarray, raws: list[bytes], last: bool):
+        """Pairs of the whole cells, and where the last one, which may go on, begins."""
+        edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+        us, vs = [], []
+        for a, b in zip(edges[:-1], edges[1:] if last else edges[1:-1], strict=False):
+            if b - a > 1:
+                u, v = linked(_units(raws[a:b]), node[a:b], role[a:b])
+                us.append(u)
+                vs.append(v)
+        both = np.stack([np.concatenate(us), np.concatenate(vs)], axis=1) if us else np.zeros((0, 2), np.int64)
+        return np.unique(both, axis=0), int(edges[-2]) if not last and len(edges) > 1 else len(keys)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1)
+        node, role, raws = batch.column(5).to_numpy(), batch.column(6).to_numpy(), batch.column(7).to_pylist()
+        if rest is not None:
+            now, node, role, raws = np.concatenate([keys, now]), np.concatenate([rest[0], node]), np.concatenate([rest[1], role]), rest[2] + raws
+        pairs, begin = cells(now, node, role, raws, False)
+        keys, rest = now[begin:], (node[begin:], role[begin:], raws[begin:])
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+    if rest is not None:
+        pairs, _ = cells(keys, *rest, True)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
 def linked_pairs(classes: DataFrame) -> DataFrame:
@@ -140,15 +180,13 @@ def linked_pairs(classes: DataFrame) -> DataFrame:
     place = ["label", "tab", "bucket"]
     sizes = hashed.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("probe"), 1)).alias("homes")).where("n > 1 and homes > 0")
     parts = F.ceil(F.col("n") / CELL).cast("int")
-    rows = hashed.join(sizes.select(*place, parts.alias("parts")), place)
-    # each part of a bucket meets each part: a home row goes to its column, any row to its row of the grid
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    grid = F.sequence(F.lit(0), F.col("parts") - 1)
-    as_row = rows.withColumn("r", own).withColumn("c", F.explode(grid)).withColumn("probe", F.lit(True))
-    as_column = rows.where("not probe").withColumn("c", own).withColumn("r", F.explode(grid))
-    cells = as_row.unionByName(as_column).select(*place, "r", "c", "node", "probe")
-    with_vectors = cells.join(classes.select("node", "x"), "node")
-    return with_vectors.groupBy(*place, "r", "c").applyInPandas(_compare, "u long, v long").distinct()
+    rows = hashed.join(sizes.select(*place, parts.alias("parts")), place).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # rows of each part look into each part: a row goes along its line of the grid, a home row down its column too
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    looks = dealt.select(*place, F.col("own").alias("r"), F.col("other").alias("c"), "node", F.when(~F.col("probe") & (F.col("own") == F.col("other")), BOTH).otherwise(LOOKS).alias("role"))
+    shown = dealt.where("not probe and own <> other").select(*place, F.col("other").alias("r"), F.col("own").alias("c"), "node", F.lit(SHOWN).alias("role"))
+    cells = looks.unionByName(shown).join(classes.select("node", "x"), "node").select(*place, "r", "c", "node", "role", "x")
+    return cells.repartition(*place, "r", "c").sortWithinPartitions(*place, "r", "c").mapInArrow(_compare, "u long, v long").distinct()
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
