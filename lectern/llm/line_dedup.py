@@ -37,7 +37,7 @@ def lines(text: Column) -> Column:
 def _windows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, its text's hash, hashes and lengths of its windows), without the text."""
     whole = text_of(text)
-    trimmed = F.transform(lines(whole), F.trim)
+    trimmed = F.transform(lines(whole), lambda x: F.btrim(x, F.lit(" \t\r\n")))
     hashed = docs.select(F.col(key).alias("doc"), F.xxhash64(whole).alias("th"), trimmed.alias("ls")).select(
         "doc",
         "th",
@@ -64,13 +64,14 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     windows = written(_windows(docs, key, text), "windows")
     places = windows.select("doc", "th", F.posexplode("ws").alias("at", "w")).where(F.col("w.n") >= MIN_CHARS)
     places = places.select("doc", "th", "at", F.col("w.h").alias("h"), F.col("w.n").alias("n"))
-    place = F.struct("doc", "th", "at")
-    repeated = places.groupBy("h", "n").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("h", "n", "first")
-    same = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("th") == F.col("first.th"))
-    later = places.join(repeated, ["h", "n"]).where(~(same & (F.col("at") == F.col("first.at"))))
-    start = F.when(same, F.greatest(F.col("at"), F.col("first.at") + WINDOW)).otherwise(F.col("at"))
-    spans = later.select("doc", "th", start.alias("a"), (F.col("at") + WINDOW - 1).alias("b")).where("a <= b")
-    merged = spans.groupBy("doc", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    # longs alone, so that the sums stay in hash maps; null keys come last in the order
+    repeated = places.groupBy("h", "n").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("h", "n", "first")
+    own = F.col("doc").eqNullSafe(F.col("first"))
+    met = places.join(repeated, ["h", "n"]).groupBy("doc", "th", "h", "n", own.alias("own")).agg(F.collect_set("at").alias("at"))
+    # in its first document a window's first place stays whole: what overlaps it loses only what comes after
+    begin = lambda x: F.when(F.col("own"), F.greatest(x, F.array_min("at") + WINDOW)).otherwise(x)
+    spans = F.filter(F.transform("at", lambda x: F.struct(begin(x).alias("a"), (x + WINDOW - 1).alias("b"))), lambda s: s["a"] <= s["b"])
+    merged = met.select("doc", "th", spans.alias("spans")).where(F.size("spans") > 0).groupBy("doc", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return merged.select("doc", "th", F.sort_array(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["a"], s["b"]))))).alias("gone"))
 
 
@@ -80,8 +81,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     A window that overlaps its own first occurrence removes only the lines after
     it, so one copy always stays whole. Null and empty texts have no lines and
     come back as they are; texts of under three lines never change. Rows that
-    repeat both key and text count as one document: they are treated alike.
-    Null keys come first in the order. Columns of the input with the names
+    repeat both key and text count as one document: they are treated alike; other
+    texts under one key keep one copy each. Null keys come last in the order. Columns of the input with the names
     n_lines or n_removed are replaced.
     """
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
@@ -89,7 +90,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     hashed = docs.select(*names).withColumn("__own", F.xxhash64(text_of(text)))
     joined = hashed.join(gone, F.col(key).eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__th")), "left")
     cut = joined.withColumn("__lines", lines(text_of(text)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    rest = F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "")
+    # as a field of a lambda's variable the lines are made once, wherever the optimizer moves the expression
+    both = F.array(F.struct(F.col("__lines").alias("l"), F.col("__gone").alias("g")))
+    kept = lambda s: F.array_except(F.sequence(F.lit(0), F.size(s["l"]) - 1), s["g"])
+    rest = F.get(F.transform(both, lambda s: F.array_join(F.transform(kept(s), lambda i: F.get(s["l"], i)), "")), 0)
     out = [F.when(F.col("__gone").isNotNull(), rest).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in names]
     return cut.select(*out, F.size("__lines").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"))

@@ -17,8 +17,8 @@ def brute(rows):
     """rows: (doc_id, text), keys unique. Texts after removal, by doc_id."""
     seen, spans = {}, []
     cut = {d: py_lines(t or "") for d, t in rows}
-    for d in sorted(cut, key=lambda d: (d is not None, d)):
-        trimmed = [x.strip(" ") for x in cut[d]]
+    for d in sorted(cut, key=lambda d: (d is None, d or 0)):
+        trimmed = [x.strip(" \t\r\n") for x in cut[d]]
         for i in range(len(trimmed) - 2):
             w = tuple(trimmed[i : i + 3])
             if sum(map(len, w)) < 40:
