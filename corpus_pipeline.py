@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated three-line windows go; n_chars follows. A document that loses every line goes too."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, whole=True)
     left = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", n_chars).select(*docs.columns)

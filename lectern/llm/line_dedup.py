@@ -7,11 +7,18 @@ that a passage pasted into one long paragraph has lines of its own. Three
 consecutive lines make a window. Windows that occur more than once in the corpus
 lose every occurrence but the first (smallest doc_id, then place); the positions
 that the lost windows cover are merged and their lines removed.
+
+That rule, which the SQL of op3 states too, has two gaps: windows under
+``MIN_CHARS`` never count, and the cuts of a long line depend on where it starts.
+``whole=True`` closes both, and the query and the pipeline use it: a long line is
+cut after the words whose hash is the least of some ``REACH`` consecutive ones,
+so a passage has the same cuts wherever it stands, and short windows count where
+the run of lost windows that they belong to has ``MIN_CHARS`` characters.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of, written
@@ -21,9 +28,12 @@ LONG_LINE = 64
 LINE_WORDS = 16
 #: Windows of fewer characters (without the white space around lines) are too common to tell copies.
 MIN_CHARS = 40
+#: Of so many consecutive words of a long line at least one ends a piece (``whole``).
+REACH = 16
 
 _LINE = r"[^.!?\n]+[.!?\n\s\"')\]]*|[.!?\n\s\"')\]]+"
 _PART = r"\s*(?:\S+\s*){1,%d}|\s+" % LINE_WORDS
+_WORD = r"\s*\S+\s*|\s+"
 
 
 def lines(text: Column) -> Column:
@@ -34,11 +44,41 @@ def lines(text: Column) -> Column:
     )
 
 
-def _windows(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _with(value: Column, then) -> Column:
+    """``then`` of a value that is made once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _pieces(line: Column) -> Column:
+    """A line cut after each word whose hash is the least (the first of equals) of some REACH consecutive words."""
+
+    def least(hashes: Column, i: Column) -> Column:
+        return _with(F.slice(hashes, i + 1, REACH), lambda near: i + F.array_position(near, F.array_min(near)).cast("int"))
+
+    def ends(words: Column) -> Column:
+        hashes = F.transform(words, lambda w: F.xxhash64(F.btrim(w, F.lit(" \t\r\n"))))
+        inner = _with(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - REACH), lambda i: least(h, i)))
+        return F.array_distinct(F.concat(F.array(F.lit(0)), inner, F.array(F.size(words))))
+
+    def joined(words: Column) -> Column:
+        part = lambda e, k: F.slice(words, F.get(e, k) + 1, F.get(e, k + 1) - F.get(e, k))
+        return _with(ends(words), lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda k: F.array_join(part(e, k), "")))
+
+    words = F.regexp_extract_all(line, F.lit(_WORD), F.lit(0))
+    return _with(words, lambda ws: F.when(F.size(ws) < REACH, F.array(line)).otherwise(joined(ws)))
+
+
+def placeless_lines(text: Column) -> Column:
+    """The lines of a text with cuts inside long ones that do not depend on where the line starts; joined again they are the text."""
+    found = F.regexp_extract_all(text, F.lit(_LINE), F.lit(0))
+    return F.flatten(F.transform(found, lambda x: F.when(F.length(x) > LONG_LINE, _pieces(x)).otherwise(F.array(x))))
+
+
+def _windows(docs: DataFrame, key: str, text: str, whole: bool) -> DataFrame:
     """(doc, its text's hash, hashes and lengths of its windows), without the text."""
-    whole = text_of(text)
-    trimmed = F.transform(lines(whole), lambda x: F.btrim(x, F.lit(" \t\r\n")))
-    hashed = docs.select(F.col(key).alias("doc"), F.xxhash64(whole).alias("th"), trimmed.alias("ls")).select(
+    full = text_of(text)
+    trimmed = F.transform((placeless_lines if whole else lines)(full), lambda x: F.btrim(x, F.lit(" \t\r\n")))
+    hashed = docs.select(F.col(key).alias("doc"), F.xxhash64(full).alias("th"), trimmed.alias("ls")).select(
         "doc",
         "th",
         F.transform("ls", lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))).alias("ls"),
@@ -49,33 +89,49 @@ def _windows(docs: DataFrame, key: str, text: str) -> DataFrame:
         lambda i: F.struct(
             F.xxhash64(*(F.get("ls", i + k)["h"] for k in range(WINDOW))).alias("h"),
             sum((F.get("ls", i + k)["n"] for k in range(1, WINDOW)), F.get("ls", i)["n"]).alias("n"),
+            F.get("ls", i)["n"].alias("m"),
         ),
     )
     return hashed.where(last >= 0).select("doc", "th", three.alias("ws"))
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """(doc, th, gone): for documents that lose lines, the sorted numbers of the lines to remove.
 
     Each window's rows meet twice: once to find the first occurrence (a small
     partial aggregate, so a line in a third of all documents is summed where it
     is read), once in a join with the repeated windows alone.
     """
-    windows = written(_windows(docs, key, text), "windows")
-    places = windows.select("doc", "th", F.posexplode("ws").alias("at", "w")).where(F.col("w.n") >= MIN_CHARS)
-    places = places.select("doc", "th", "at", F.col("w.h").alias("h"), F.col("w.n").alias("n"))
+    windows = written(_windows(docs, key, text, whole), "windows")
+    places = windows.select("doc", "th", F.posexplode("ws").alias("at", "w"))
+    if not whole:
+        places = places.where(F.col("w.n") >= MIN_CHARS)
+    places = places.select("doc", "th", "at", F.col("w.h").alias("h"), F.col("w.n").alias("n"), F.col("w.m").alias("m"))
     # longs alone, so that the sums stay in hash maps; null keys come last in the order
     repeated = places.groupBy("h", "n").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("h", "n", "first")
     own = F.col("doc").eqNullSafe(F.col("first"))
-    met = places.join(repeated, ["h", "n"]).groupBy("doc", "th", "h", "n", own.alias("own")).agg(F.collect_set("at").alias("at"))
+    # m, the first line's length, is the same for all places of a window
+    met = places.join(repeated, ["h", "n"]).groupBy("doc", "th", "h", "n", own.alias("own")).agg(F.collect_set("at").alias("at"), F.min("m").alias("m"))
     # in its first document a window's first place stays whole: what overlaps it loses only what comes after
     begin = lambda x: F.when(F.col("own"), F.greatest(x, F.array_min("at") + WINDOW)).otherwise(x)
     spans = F.filter(F.transform("at", lambda x: F.struct(begin(x).alias("a"), (x + WINDOW - 1).alias("b"))), lambda s: s["a"] <= s["b"])
-    merged = met.select("doc", "th", spans.alias("spans")).where(F.size("spans") > 0).groupBy("doc", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    lost = met.select("doc", "th", "n", "m", spans.alias("spans")).where(F.size("spans") > 0)
+    if whole:
+        lost = _long_runs(lost)
+    merged = lost.groupBy("doc", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return merged.select("doc", "th", F.sort_array(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["a"], s["b"]))))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _long_runs(lost: DataFrame) -> DataFrame:
+    """Of the lost windows (doc, th, n, m, spans) those in runs of consecutive ones that cover MIN_CHARS characters."""
+    each = lost.select("doc", "th", "n", "m", F.explode("spans").alias("span"))
+    nth = F.row_number().over(Window.partitionBy("doc", "th").orderBy("span.b"))
+    runs = each.withColumn("run", F.col("span.b") - nth).groupBy("doc", "th", "run")
+    cover = F.sum("m") + F.max_by(F.col("n") - F.col("m"), F.col("span.b"))
+    return runs.agg(F.collect_list("span").alias("spans"), cover.alias("chars")).where(F.col("chars") >= MIN_CHARS).select("doc", "th", "spans")
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with the later occurrences removed from ``text``, and n_lines, n_removed (int).
 
     A window that overlaps its own first occurrence removes only the lines after
@@ -86,10 +142,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     n_lines or n_removed are replaced.
     """
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    gone = repeated_lines(docs, key, text).withColumnsRenamed({"doc": "__doc", "th": "__th", "gone": "__gone"})
+    gone = repeated_lines(docs, key, text, whole).withColumnsRenamed({"doc": "__doc", "th": "__th", "gone": "__gone"})
     hashed = docs.select(*names).withColumn("__own", F.xxhash64(text_of(text)))
     joined = hashed.join(gone, F.col(key).eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__th")), "left")
-    cut = joined.withColumn("__lines", lines(text_of(text)))
+    cut = joined.withColumn("__lines", (placeless_lines if whole else lines)(text_of(text)))
     # as a field of a lambda's variable the lines are made once, wherever the optimizer moves the expression
     both = F.array(F.struct(F.col("__lines").alias("l"), F.col("__gone").alias("g")))
     kept = lambda s: F.array_except(F.sequence(F.lit(0), F.size(s["l"]) - 1), s["g"])

@@ -1,0 +1,50 @@
+"""The query's rule: passages at any offset, and long runs of short lines."""
+
+import random
+
+from lectern.llm import line_dedup as L
+
+
+def run(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    return {r.doc_id: (r.text, r.n_removed) for r in L.dedup_lines(df, whole=True).collect()}
+
+
+def some_words(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+
+
+def test_lines_lose_nothing(spark):
+    texts = ["", " ", "  a b " * 60, "word " * 300, "One. Two!\n\n" + "x y\tz " * 40 + "\nend", " ".join(some_words(random.Random(1), 500))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert ["".join(r.x) for r in df.select(L.placeless_lines(df.text).alias("x")).collect()] == texts
+
+
+def test_sixty_short_lines_go_and_a_single_short_window_stays(spark):
+    block = "".join(f"item {i} ok\n" for i in range(10, 70))
+    got = run(spark, [(1, "Head of one.\n" + block), (2, "Another head.\n" + block), (3, "Yes.\nNo.\nOk.\nThis one is third."), (4, "Yes.\nNo.\nOk.\nThis one is fourth.")])
+    assert got[1][1] == 0 and got[2] == ("Another head.\n", 60)
+    assert got[3][1] == got[4][1] == 0
+
+
+def test_a_passage_without_sentence_ends_is_found_behind_any_number_of_words(spark):
+    rng = random.Random(7)
+    passage = some_words(rng, 200)
+    texts = {k: " ".join([*some_words(rng, k), *passage, *some_words(rng, 30)]) for k in range(1, 24)}
+    got = run(spark, list(texts.items()))
+    assert got[1] == (texts[1], 0)
+    for k in range(2, 24):
+        left = set(got[k][0].split())
+        gone = [w not in left for w in passage]
+        # all but what lies before the first cut and after the last one
+        assert all(gone[L.REACH : -2 * L.REACH]) and set(texts[k].split()) - left <= set(passage), k
+
+
+def test_every_passage_of_eighty_words_has_a_window(spark):
+    rng = random.Random(9)
+    rows, n = [], 40
+    for i in range(n):
+        passage = some_words(rng, 80)
+        rows += [(i, " ".join([*some_words(rng, rng.randint(0, 40)), *passage, *some_words(rng, rng.randint(0, 40))])), (n + i, " ".join([*some_words(rng, rng.randint(0, 40)), *passage, *some_words(rng, rng.randint(0, 40))]))]
+    got = run(spark, rows)
+    assert all(got[i][1] == 0 and got[n + i][1] >= 3 for i in range(n))
