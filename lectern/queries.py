@@ -318,7 +318,7 @@ def m5(spark: SparkSession, d: str) -> DataFrame:
 
 @register("m8_summary_lcs")
 def m8(spark: SparkSession, d: str) -> DataFrame:
-    s = _sent(spark, d).where("sno <= 3").groupBy("did").agg(F.array_sort(F.collect_list(F.struct("sno", text.split_words(F.col("text")).alias("w")))).alias("s")).select("did", F.transform("s", lambda x: x["w"]).alias("s"))
+    s = _sent(spark, d).groupBy("did").agg(F.array_sort(F.collect_list(F.struct("sno", text.split_words(F.col("text")).alias("w")))).alias("s")).select("did", F.transform("s", lambda x: x["w"]).alias("s"))
     pairs = s.select("did", F.col("s").alias("a")).join(s.select((F.col("did") - 20).alias("did"), F.col("s").alias("b")), "did")
     return pairs.select("did", similarity.summary_lcs(F.col("a"), F.col("b")).alias("lcs"))
 
@@ -538,7 +538,7 @@ def sweep_settings(spark: SparkSession, d: str) -> DataFrame:
 
 @register("r16_drop_repeats")
 def r16(spark: SparkSession, d: str) -> DataFrame:
-    return select.drop_repeats(_scored(spark, d).where("sno <= 5")).select("cluster", "did", "sno", "rank")
+    return select.drop_repeats(_scored(spark, d)).select("cluster", "did", "sno", "rank")
 
 
 @register("r18_permutation")
@@ -549,7 +549,7 @@ def r18(spark: SparkSession, d: str) -> DataFrame:
 @register("r19_pointer_decode")
 def r19(spark: SparkSession, d: str) -> DataFrame:
     word = F.transform(text.split_words(F.col("text")), lambda w: F.pmod(F.xxhash64(w), F.lit(500)).cast("int"))
-    docs = _sent(spark, d).where("sno <= 10").groupBy("cluster", F.col("did").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("sno", word.alias("w")))).alias("s"))
+    docs = _sent(spark, d).groupBy("cluster", F.col("did").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("sno", word.alias("w")))).alias("s"))
     node = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.pmod(F.xxhash64(F.col("doc"), i), F.lit(100)) / 100.0)
     return pointer.point(docs.select("cluster", "doc", F.transform("s", lambda x: x["w"]).alias("sentences"), node.alias("node")), pointer.Weights.random(500, 4, seed=5))
 
