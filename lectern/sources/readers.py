@@ -162,7 +162,7 @@ def read_file_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     """Peers and models from lines of a peer's file and its models' files; the line's number is the evaluation."""
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("eval"), F.split(F.trim("value"), r"\s+").alias("f")).where(F.size("f") > 1)
     peers = lines.select("eval", F.lit("1").alias("name"), F.get("f", 0).alias("file"))
-    models = lines.select("eval", F.posexplode(F.slice("f", 2, 1000)).alias("i", "file")).select("eval", F.col("i").cast("string").alias("name"), "file")
+    models = lines.select("eval", F.posexplode(F.slice("f", 2, F.size("f") - 1)).alias("i", "file")).select("eval", F.col("i").cast("string").alias("name"), "file")
     return peers, models
 
 
