@@ -57,6 +57,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named c0, c1, ... so that no name can clash with an operator's own; and the names that they had."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
+
+
 def text_of(column: str = "text") -> Column:
     """A text with null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))

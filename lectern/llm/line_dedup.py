@@ -1,19 +1,15 @@
 """Line deduplication by overlapping windows of three lines, with DataFrame functions only.
 
-A text is cut into lines without losing a character: a line ends with a run of
-sentence ends or line feeds and what white space and quotes follow it, and a
-line over ``LONG_LINE`` characters is cut after every ``LINE_WORDS`` words, so
-that a passage pasted into one long paragraph has lines of its own. Three
-consecutive lines make a window. Windows that occur more than once in the corpus
-lose every occurrence but the first (smallest doc_id, then place); the positions
+A text is cut into lines by one rule for all texts: a line ends at a run of line
+feeds, and after every word that is smaller than each of the ``REACH`` words on
+either side of it (spelled backwards; of equal ones the first; a line feed or an
+end of the text within reach rules a cut out). A cut thus depends on the words
+around it alone, so a passage pasted anywhere has the same lines inside, whether
+it has sentence ends or not, and only what a line feed ends can have fewer than
+``REACH`` + 1 words. Three consecutive lines make a window; lines are equal if
+their words are. Windows that occur more than once in the corpus lose every
+occurrence but the first (smallest key, then text, then place); the positions
 that the lost windows cover are merged and their lines removed.
-
-That rule, which the SQL of op3 states too, has two gaps: windows under
-``MIN_CHARS`` never count, and the cuts of a long line depend on where it starts.
-``whole=True`` closes both, and the query and the pipeline use it: a long line is
-cut after the words whose hash is the least of some ``REACH`` consecutive ones,
-so a passage has the same cuts wherever it stands, and short windows count where
-the run of lost windows that they belong to has ``MIN_CHARS`` characters.
 """
 
 from __future__ import annotations
@@ -21,27 +17,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import numbered, text_of, written
 
 WINDOW = 3
-LONG_LINE = 64
-LINE_WORDS = 16
-#: Windows of fewer characters (without the white space around lines) are too common to tell copies.
-MIN_CHARS = 40
-#: Of so many consecutive words of a long line at least one ends a piece (``whole``).
-REACH = 16
-
-_LINE = r"[^.!?\n]+[.!?\n\s\"')\]]*|[.!?\n\s\"')\]]+"
-_PART = r"\s*(?:\S+\s*){1,%d}|\s+" % LINE_WORDS
-_WORD = r"\s*\S+\s*|\s+"
+#: A cut inside running text has so many larger words on either side; lines have 2 * REACH + 1 words on average.
+REACH = 3
+#: Windows with more than one in so many of all places count as hot: at most so many can be.
+HOT_KEYS = 20_000
+#: One document in so many is looked at to tell hot windows; this balances tasks and decides nothing else.
+SAMPLED = 64
 
-
-def lines(text: Column) -> Column:
-    """The lines of a text; joined again they are the text."""
-    found = F.regexp_extract_all(text, F.lit(_LINE), F.lit(0))
-    return F.flatten(
-        F.transform(found, lambda x: F.when(F.length(x) > LONG_LINE, F.regexp_extract_all(x, F.lit(_PART), F.lit(0))).otherwise(F.array(x)))
-    )
+_WORD = r"\S+|\n\s*"
+#: The same tokens with all white space around them.
+_TOKEN = r"[^\S\n]*\S+[^\S\n]*|[^\S\n]*\n\s*|[^\S\n]+"
 
 
 def _with(value: Column, then) -> Column:
@@ -49,106 +37,125 @@ def _with(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
-def _pieces(line: Column) -> Column:
-    """A line cut after each word whose hash is the least (the first of equals) of some REACH consecutive words."""
+def _feeds(tokens: Column, i: Column) -> Column:
+    return F.startswith(F.get(tokens, i), F.lit("\n"))
+
+
+def _ends(words: Column) -> Column:
+    """The numbers of the tokens that end a line, in order."""
+
+    def smallest(keys: Column, own: Column, i: Column) -> Column:
+        out = F.lit(True)
+        for k in range(1, REACH + 1):
+            out = out & (own < F.get(keys, i - k)) & (own <= F.get(keys, i + k))
+        return out  # null, so false, where a neighbour is missing
+
+    def found(keys: Column) -> Column:  # a line feed's token is all white space, which comes before "!"
+        return F.array_compact(F.transform(keys, lambda own, i: F.when((own < "!") | smallest(keys, own, i), i)))
+
+    cuts = _with(F.transform(words, F.reverse), found)
+    return F.when(F.size(words) == 0, F.array().cast("array<int>")).otherwise(F.array_distinct(F.concat(cuts, F.array(F.size(words) - 1))))
+
+
+def _by_line(tokens: Column, ends: Column, then) -> Column:
+    """``then(tokens of the line)`` for each line."""
+
+    def one(e: Column, k: Column) -> Column:
+        before = F.when(k > 0, F.get(ends, k - 1)).otherwise(-1)
+        return then(tokens, before, e)
 
-    def least(hashes: Column, i: Column) -> Column:
-        return _with(F.slice(hashes, i + 1, REACH), lambda near: i + F.array_position(near, F.array_min(near)).cast("int"))
+    return F.transform(ends, one)
 
-    def ends(words: Column) -> Column:
-        hashes = F.transform(words, lambda w: F.xxhash64(F.btrim(w, F.lit(" \t\r\n"))))
-        inner = _with(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - REACH), lambda i: least(h, i)))
-        return F.array_distinct(F.concat(F.array(F.lit(0)), inner, F.array(F.size(words))))
 
-    def joined(words: Column) -> Column:
-        part = lambda e, k: F.slice(words, F.get(e, k) + 1, F.get(e, k + 1) - F.get(e, k))
-        return _with(ends(words), lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda k: F.array_join(part(e, k), "")))
+def _words_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
 
-    words = F.regexp_extract_all(line, F.lit(_WORD), F.lit(0))
-    return _with(words, lambda ws: F.when(F.size(ws) < REACH, F.array(line)).otherwise(joined(ws)))
+
+def lines(text: Column) -> Column:
+    """The lines of a text; joined again they are the text. White space alone is no line."""
+
+    def cut(s: Column) -> Column:
+        return _by_line(s["t"], s["e"], lambda t, before, e: F.array_join(F.slice(t, before + 2, e - before), ""))
+
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    return _with(_words_of(text), lambda w: _with(F.struct(tokens.alias("t"), _ends(w).alias("e")), cut))
 
 
-def placeless_lines(text: Column) -> Column:
-    """The lines of a text with cuts inside long ones that do not depend on where the line starts; joined again they are the text."""
-    found = F.regexp_extract_all(text, F.lit(_LINE), F.lit(0))
-    return F.flatten(F.transform(found, lambda x: F.when(F.length(x) > LONG_LINE, _pieces(x)).otherwise(F.array(x))))
+def _hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, th, ls): each document's key, its text's hash and its lines' hashes, without the text."""
 
+    def hashes(s: Column) -> Column:  # a line feed that ends a line is no word of it
+        return _by_line(s["w"], s["e"], lambda w, before, e: F.xxhash64(F.slice(w, before + 2, e - before - _feeds(w, e).cast("int"))))
 
-def _windows(docs: DataFrame, key: str, text: str, whole: bool) -> DataFrame:
-    """(doc, its text's hash, hashes and lengths of its windows), without the text."""
     full = text_of(text)
-    trimmed = F.transform((placeless_lines if whole else lines)(full), lambda x: F.btrim(x, F.lit(" \t\r\n")))
-    hashed = docs.select(F.col(key).alias("doc"), F.xxhash64(full).alias("th"), trimmed.alias("ls")).select(
-        "doc",
-        "th",
-        F.transform("ls", lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))).alias("ls"),
-    )
-    last = F.size("ls") - WINDOW
+    each = _with(_words_of(full), lambda w: _with(F.struct(w.alias("w"), _ends(w).alias("e")), hashes))
+    return docs.select(F.col(key).alias("doc"), F.xxhash64(full).alias("th"), each.alias("ls"))
+
+
+def _places(hashed: DataFrame) -> DataFrame:
+    """(doc, th, at, h, g) for each window: its place and two hashes of its three lines."""
+    line = lambda i, k: F.get("ls", i + k)
     three = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct(
-            F.xxhash64(*(F.get("ls", i + k)["h"] for k in range(WINDOW))).alias("h"),
-            sum((F.get("ls", i + k)["n"] for k in range(1, WINDOW)), F.get("ls", i)["n"]).alias("n"),
-            F.get("ls", i)["n"].alias("m"),
-        ),
+        F.sequence(F.lit(0), F.size("ls") - WINDOW),
+        lambda i: F.struct(F.xxhash64(*(line(i, k) for k in range(WINDOW))).alias("h"), F.xxhash64(*(line(i, k) for k in reversed(range(WINDOW)))).alias("g")),
     )
-    return hashed.where(last >= 0).select("doc", "th", three.alias("ws"))
+    some = hashed.where(F.size("ls") >= WINDOW).select("doc", "th", F.posexplode(three).alias("at", "w"))
+    return some.select("doc", "th", "at", F.col("w.h").alias("h"), F.col("w.g").alias("g"))
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
-    """(doc, th, gone): for documents that lose lines, the sorted numbers of the lines to remove.
+def _first() -> Column:
+    return F.min(F.struct(F.col("doc").isNull(), "doc", "th", "at"))
 
-    Each window's rows meet twice: once to find the first occurrence (a small
-    partial aggregate, so a line in a third of all documents is summed where it
-    is read), once in a join with the repeated windows alone.
-    """
-    windows = written(_windows(docs, key, text, whole), "windows")
-    places = windows.select("doc", "th", F.posexplode("ws").alias("at", "w"))
-    if not whole:
-        places = places.where(F.col("w.n") >= MIN_CHARS)
-    places = places.select("doc", "th", "at", F.col("w.h").alias("h"), F.col("w.n").alias("n"), F.col("w.m").alias("m"))
-    # longs alone, so that the sums stay in hash maps; null keys come last in the order
-    repeated = places.groupBy("h", "n").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("h", "n", "first")
-    own = F.col("doc").eqNullSafe(F.col("first"))
-    # m, the first line's length, is the same for all places of a window
-    met = places.join(repeated, ["h", "n"]).groupBy("doc", "th", "h", "n", own.alias("own")).agg(F.collect_set("at").alias("at"), F.min("m").alias("m"))
-    # in its first document a window's first place stays whole: what overlaps it loses only what comes after
-    begin = lambda x: F.when(F.col("own"), F.greatest(x, F.array_min("at") + WINDOW)).otherwise(x)
-    spans = F.filter(F.transform("at", lambda x: F.struct(begin(x).alias("a"), (x + WINDOW - 1).alias("b"))), lambda s: s["a"] <= s["b"])
-    lost = met.select("doc", "th", "n", "m", spans.alias("spans")).where(F.size("spans") > 0)
-    if whole:
-        lost = _long_runs(lost)
-    merged = lost.groupBy("doc", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return merged.select("doc", "th", F.sort_array(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["a"], s["b"]))))).alias("gone"))
 
+def repeated_places(hashed: DataFrame) -> DataFrame:
+    """(doc, th, a, b): lines a to b of a document go, as a later occurrence of a window; from rows of ``_hashed``.
 
-def _long_runs(lost: DataFrame) -> DataFrame:
-    """Of the lost windows (doc, th, n, m, spans) those in runs of consecutive ones that cover MIN_CHARS characters."""
-    each = lost.select("doc", "th", "n", "m", F.explode("spans").alias("span"))
-    nth = F.row_number().over(Window.partitionBy("doc", "th").orderBy("span.b"))
-    runs = each.withColumn("run", F.col("span.b") - nth).groupBy("doc", "th", "run")
-    cover = F.sum("m") + F.max_by(F.col("n") - F.col("m"), F.col("span.b"))
-    return runs.agg(F.collect_list("span").alias("spans"), cover.alias("chars")).where(F.col("chars") >= MIN_CHARS).select("doc", "th", "spans")
+    Windows meet by both hashes of their three lines, 128 bits. One exchange
+    brings the places of a window together; those of hot windows, which a sample
+    names and whose number is bounded, stay where they are and meet a broadcast
+    row with their first place.
+    """
+    sample = hashed.where(F.pmod(F.xxhash64("doc", "th"), F.lit(SAMPLED)) == 0)
+    total = sample.agg(F.sum(F.greatest(F.size("ls") - WINDOW + 1, F.lit(0)).cast("long"))).first()[0] or 0
+    often = _places(sample).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where((F.col("c") * HOT_KEYS > total) & (F.col("c") > 2)).select("h")
+    hot = written(often, "hot-windows")  # fewer than HOT_KEYS rows, for their shares add up to one
+    places = _places(hashed)
+    whole = Window.partitionBy("h", "g")
+    cold = places.join(F.broadcast(hot), "h", "left_anti").withColumn("c", F.count(F.lit(1)).over(whole)).where("c > 1").withColumn("first", _first().over(whole))
+    burning = places.join(F.broadcast(hot), "h", "left_semi")
+    firsts = burning.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), _first().alias("first"))  # a row for each of ``hot``
+    met = cold.unionByName(burning.join(F.broadcast(firsts), ["h", "g"])).where("c > 1")
+    own = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("th") == F.col("first.th"))
+    # in its first document a window's first place stays whole: what overlaps it loses only what comes after
+    begin = F.when(own, F.greatest(F.col("at"), F.col("first.at") + WINDOW)).otherwise(F.col("at"))
+    return met.select("doc", "th", begin.alias("a"), (F.col("at") + WINDOW - 1).alias("b")).where("a <= b")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with the later occurrences removed from ``text``, and n_lines, n_removed (int).
 
     A window that overlaps its own first occurrence removes only the lines after
-    it, so one copy always stays whole. Null and empty texts have no lines and
+    it, so one copy always stays whole. Null and blank texts have no lines and
     come back as they are; texts of under three lines never change. Rows that
     repeat both key and text count as one document: they are treated alike; other
-    texts under one key keep one copy each. Null keys come last in the order. Columns of the input with the names
-    n_lines or n_removed are replaced.
+    texts under one key are documents of their own. Null keys come last in the
+    order. Columns of the input with the names n_lines or n_removed are replaced;
+    any other name may occur.
     """
-    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    gone = repeated_lines(docs, key, text, whole).withColumnsRenamed({"doc": "__doc", "th": "__th", "gone": "__gone"})
-    hashed = docs.select(*names).withColumn("__own", F.xxhash64(text_of(text)))
-    joined = hashed.join(gone, F.col(key).eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__th")), "left")
-    cut = joined.withColumn("__lines", (placeless_lines if whole else lines)(text_of(text)))
-    # as a field of a lambda's variable the lines are made once, wherever the optimizer moves the expression
-    both = F.array(F.struct(F.col("__lines").alias("l"), F.col("__gone").alias("g")))
+    hashed = written(_hashed(docs, key, text), "lines")
+    places = repeated_places(hashed)
+    both = hashed.select("doc", "th", F.size("ls").alias("n"), F.lit(None).cast("struct<a:int,b:int>").alias("span")).unionByName(
+        places.select("doc", "th", F.lit(None).cast("int").alias("n"), F.struct("a", "b").alias("span"))
+    )
+    known = both.groupBy("doc", "th").agg(F.max("n").alias("n"), F.collect_set("span").alias("spans"))
+    gone = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["a"], s["b"]))))
+    rows, names = numbered(docs)
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    joined = rows.withColumn("own", F.xxhash64(text_of(at[text]))).join(
+        known.select("doc", "th", "n", gone.alias("gone")), F.col(at[key]).eqNullSafe(F.col("doc")) & (F.col("own") == F.col("th")), "left"
+    )
+    # as fields of a lambda's variable the values are made once, wherever the optimizer moves the expression
     kept = lambda s: F.array_except(F.sequence(F.lit(0), F.size(s["l"]) - 1), s["g"])
-    rest = F.get(F.transform(both, lambda s: F.array_join(F.transform(kept(s), lambda i: F.get(s["l"], i)), "")), 0)
-    out = [F.when(F.col("__gone").isNotNull(), rest).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in names]
-    return cut.select(*out, F.size("__lines").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"))
+    rest = _with(F.struct(lines(F.col(at[text])).alias("l"), F.col("gone").alias("g")), lambda s: F.array_join(F.transform(kept(s), lambda i: F.get(s["l"], i)), ""))
+    out = [(F.when(F.size("gone") > 0, rest).otherwise(F.col(at[c])) if c == text else F.col(at[c])).alias(c) for c in names if c.lower() not in ("n_lines", "n_removed")]
+    return joined.select(*out, F.coalesce("n", F.lit(0)).alias("n_lines"), F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).alias("n_removed"))

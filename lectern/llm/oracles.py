@@ -6,7 +6,6 @@ import re
 
 from .chat_format import CONTROL, MARKS
 from .embedding_dedup import COSINE
-from .line_dedup import LINE_WORDS, LONG_LINE, MIN_CHARS
 from .minhash import SHINGLE, SIMILARITY
 from .secret_scan import BASE, EXAMPLE_OWNERS, KINDS, OWNED
 
@@ -15,13 +14,18 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-_LINE = _quoted(r"[^.!?\n]+[.!?\n\s\"')\]]*|[.!?\n\s\"')\]]+".replace('\\"', '"'))
-_PART = _quoted(r"\s*(?:\S+\s*){1,%d}|\s+" % LINE_WORDS)
+_WORD = _quoted(r"[^ \t\n\x0b\f\r]+|\n[ \t\n\x0b\f\r]*")
+_TOKEN = _quoted(r"[ \t\x0b\f\r]*[^ \t\n\x0b\f\r]+[ \t\x0b\f\r]*|[ \t\x0b\f\r]*\n[ \t\n\x0b\f\r]*|[ \t\x0b\f\r]+")
 
 LINE_WINDOWS = f"""
-WITH u AS (SELECT doc_id, flatten(list_transform(regexp_extract_all(coalesce(text, ''), {_LINE}), lambda x: CASE WHEN length(x) > {LONG_LINE} THEN regexp_extract_all(x, {_PART}) ELSE [x] END)) AS ls FROM documents),
-t AS (SELECT doc_id, ls, list_transform(ls, lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10))) AS tr FROM u),
-p AS (SELECT * FROM (SELECT doc_id, pos, tr[pos + 1] AS a, tr[pos + 2] AS b, tr[pos + 3] AS c FROM (SELECT doc_id, tr, unnest(range(0, len(tr) - 2)) AS pos FROM t)) WHERE length(a) + length(b) + length(c) >= {MIN_CHARS}),
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS ws, regexp_extract_all(coalesce(text, ''), {_TOKEN}) AS ts FROM documents),
+k AS (SELECT *, list_transform(ws, lambda x: reverse(x)) AS ks FROM w),
+c AS (SELECT doc_id, ws, ts, list_filter(range(1, len(ws) + 1), lambda i: i = len(ws) OR starts_with(ws[i], chr(10)) OR (i > 3 AND i + 3 <= len(ws) AND ks[i] < ks[i - 1] AND ks[i] < ks[i - 2] AND ks[i] < ks[i - 3]
+  AND ks[i] <= ks[i + 1] AND ks[i] <= ks[i + 2] AND ks[i] <= ks[i + 3])) AS es FROM k),
+b AS (SELECT *, list_transform(es, lambda e, j: CASE WHEN j = 1 THEN 1 ELSE es[j - 1] + 1 END) AS bs FROM c),
+t AS (SELECT doc_id, list_transform(es, lambda e, j: array_to_string(ts[bs[j]:e], '')) AS ls,
+  list_transform(es, lambda e, j: array_to_string(ws[bs[j]:e - CASE WHEN starts_with(ws[e], chr(10)) THEN 1 ELSE 0 END], ' ')) AS tr FROM b),
+p AS (SELECT doc_id, pos, tr[pos + 1] AS a, tr[pos + 2] AS b, tr[pos + 3] AS c FROM (SELECT doc_id, tr, unnest(range(0, len(tr) - 2)) AS pos FROM t)),
 f AS (SELECT a, b, c, min(doc_id) AS d0 FROM p GROUP BY ALL HAVING count(*) > 1),
 m AS (SELECT doc_id, CASE WHEN doc_id = d0 THEN greatest(pos, min(pos) OVER (PARTITION BY doc_id, a, b, c) + 3) ELSE pos END AS s, pos + 2 AS e FROM p JOIN f USING (a, b, c)),
 g AS (SELECT doc_id, list_distinct(flatten(list(range(s, e + 1)))) AS gone FROM m WHERE s <= e GROUP BY doc_id)

@@ -24,7 +24,7 @@ def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), whole=True).select("doc_id", "text", "n_lines", "n_removed")
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_empirical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
