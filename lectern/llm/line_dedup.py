@@ -3,7 +3,8 @@
 A text is cut into lines by one rule for all texts: a line ends at a run of line
 feeds, and after every word that is smaller than each of the ``REACH`` words on
 either side of it (spelled backwards; of equal ones the first; a line feed or an
-end of the text within reach rules a cut out). A cut thus depends on the words
+end of the text within reach rules a cut out; a word that ends with a control
+character counts as a line feed). A cut thus depends on the words
 around it alone, so a passage pasted anywhere has the same lines inside, whether
 it has sentence ends or not, and only what a line feed ends can have fewer than
 ``REACH`` + 1 words. Three consecutive lines make a window; lines are equal if

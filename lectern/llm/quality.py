@@ -7,29 +7,34 @@ strongest words (for toxicity), whose weights are themselves shrunk toward the
 global rate. Its probabilities are summed by host and path over all documents.
 Prior strengths come from the variance between hosts, and between paths within
 hosts, by the method of moments, so sparse sites stay near their parent. A
-document's posterior adds its path's shift of the log odds to its own evidence.
+document's posterior adds the shift of the log odds by its path's other documents
+to its own evidence.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_of, written
+from .common import numbered, slices, text_of, written
 
-#: At most so many labelled rows are fetched to fit the classifier (those of the smallest hashes).
+#: The classifier is fitted on at most so many labelled rows (those of the smallest hashes), and weighs at most so many words.
 SAMPLE_ROWS = 8000
+EVIDENCE_WORDS = 50_000
 #: Documents below this posterior are rejected.
 THRESHOLD = 0.5
 #: Strength of the prior of a word's rate, and least documents that must have the word.
 WORD_PRIOR, WORD_DOCUMENTS = 10.0, 4
+#: A site with more than one in so many of all documents is large: at most so many can be.
+HOT_SITES = 1000
 _EDGE = 1e-6
 
 
@@ -85,28 +90,7 @@ class Logistic:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + np.clip(x, -20, 20) @ self.weights[1:], -30, 30)))
 
 
-def word_evidence(sets: list[set[str]], toxic: np.ndarray) -> dict[str, float]:
-    """Words that raise the log odds of toxicity, by so much, their rates shrunk toward the global one."""
-    rate = float(toxic.mean())
-    if not 0 < rate < 1:
-        return {}
-    bad, all_ = Counter(), Counter()
-    for words, t in zip(sets, toxic, strict=True):
-        all_.update(words)
-        if t:
-            bad.update(words)
-    base = np.log(rate / (1 - rate))
-    out = {}
-    for word, a in bad.items():
-        n = all_[word]
-        p = (a + WORD_PRIOR * rate) / (n + WORD_PRIOR)
-        gain = np.log(p / (1 - p)) - base
-        if word and n >= WORD_DOCUMENTS and gain > 1.0:
-            out[word] = float(gain)
-    return out
-
-
-def strongest(words: set[str], evidence: dict[str, float]) -> list[float]:
+def strongest(words: Iterable[str], evidence: dict[str, float]) -> list[float]:
     """The three largest gains among a text's words, and how many words have one."""
     gains = sorted((evidence[w] for w in words if w in evidence), reverse=True)
     return [*(gains + [0.0] * 3)[:3], float(min(len(gains), 10))]
@@ -120,25 +104,6 @@ class Classifier:
     toxic: Logistic | None = None
     evidence: dict[str, float] = field(default_factory=dict)
 
-    @staticmethod
-    def fit(texts: list[str], quality: np.ndarray, toxic: np.ndarray) -> Classifier:
-        good = bad = None
-        evidence: dict[str, float] = {}
-        if len(set(quality)) == 2:
-            good = Logistic.fit(np.array([shape(t) for t in texts]), quality)
-        if len(set(toxic)) == 2:
-            sets = [word_set(t) for t in texts]
-            half = np.arange(len(texts)) % 2 == 0
-            # words are weighed on one half and the regression is fitted on the other, both ways round
-            x = np.zeros((len(texts), 4))
-            for part in (half, ~half):
-                known = word_evidence([s for s, p in zip(sets, part, strict=True) if p], toxic[part])
-                for i in np.flatnonzero(~part):
-                    x[i] = strongest(sets[i], known)
-            bad = Logistic.fit(x, toxic)
-            evidence = word_evidence(sets, toxic)
-        return Classifier(good, bad, evidence)
-
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         good, bad = np.ones(len(texts)), np.zeros(len(texts))
         if texts and self.good:
@@ -148,33 +113,88 @@ class Classifier:
         return good, bad
 
 
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts become their shapes and distinct words."""
+    for batch in slices(batches, 64):
+        texts = batch.column(3).to_pylist()
+        shapes, words = [shape(t) for t in texts], [sorted(word_set(t) - {""}) for t in texts]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(shapes, pa.list_(pa.float64())), pa.array(words, pa.list_(pa.string()))], names=["kh", "quality", "toxic", "shape", "words"])
+
+
+def word_gains(described: DataFrame) -> DataFrame:
+    """(word, g0, g1, g): what a word adds to the log odds of toxicity, by the documents of an odd hash, an even one, and all.
+
+    Rates are shrunk toward the global one; a word of too few documents or of a
+    small gain has null. The ``EVIDENCE_WORDS`` largest gains are kept.
+    """
+    half = F.pmod("kh", F.lit(2))
+    rates = described.agg(*(F.avg(F.when(which, F.col("toxic"))).alias(f"r{i}") for i, which in enumerate((half == 1, half == 0, F.lit(True))))).first()
+    each = described.select(half.alias("half"), "toxic", F.explode("words").alias("word"))
+    counted = each.groupBy("word").agg(
+        *(F.sum(F.when(F.col("half") == h, x).otherwise(0)).alias(f"{c}{h}") for h in (0, 1) for c, x in (("n", F.lit(1)), ("a", F.col("toxic"))))
+    )
+
+    def gain(a: Column, n: Column, rate: float | None) -> Column:
+        if rate is None or not 0 < rate < 1:
+            return F.lit(None).cast("double")
+        p = (a + WORD_PRIOR * rate) / (n + WORD_PRIOR)
+        more = F.log(p / (1 - p)) - float(np.log(rate / (1 - rate)))
+        return F.when((n >= WORD_DOCUMENTS) & (a > 0) & (more > 1.0), more)
+
+    n0, n1, a0, a1 = (F.col(c) for c in ("n0", "n1", "a0", "a1"))
+    gains = [gain(a1, n1, rates[0]).alias("g0"), gain(a0, n0, rates[1]).alias("g1"), gain(a0 + a1, n0 + n1, rates[2]).alias("g")]
+    top = F.greatest(*(F.coalesce(c, F.lit(0.0)) for c in ("g0", "g1", "g")))
+    return counted.select("word", *gains).where(F.coalesce("g0", "g1", "g").isNotNull()).orderBy(top.desc(), "word").limit(EVIDENCE_WORDS)
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Classifier:
     """Fit on at most ``sample_rows`` labelled documents, chosen by the hash of their key.
 
-    Labels with a null are not used; of several labels of a key the worse counts.
+    Labels with a null are not used; of several labels of a key the worse counts,
+    of several texts of a key the one of the smallest hash. Texts stay on the
+    executors: the driver gets a few numbers of each sampled document, and words
+    that are evidence.
     """
     known = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
-    one = known.groupBy(F.col(key).alias("__key")).agg(F.min("quality").alias("__quality"), F.max("toxic").alias("__toxic"))
-    sample = one.orderBy(F.xxhash64("__key"), "__key").limit(sample_rows)
-    rows = docs.select(F.col(key).alias("__key"), text_of(text).alias("__text")).join(F.broadcast(sample), "__key")  # bounded by ``sample_rows``
-    table = rows.orderBy(F.xxhash64("__key", "__text")).limit(sample_rows).toArrow()
-    return Classifier.fit(table["__text"].to_pylist(), table["__quality"].to_numpy().astype(float), table["__toxic"].to_numpy().astype(float))
+    one = known.groupBy(F.col(key).alias("key")).agg(F.min("quality").cast("double").alias("quality"), F.max("toxic").cast("double").alias("toxic"))
+    sample = one.orderBy(F.xxhash64("key"), "key").limit(sample_rows)
+    rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"), F.xxhash64(text_of(text)).alias("th"))
+    labelled = rows.select("key", "th").join(F.broadcast(sample), "key").groupBy("key", "quality", "toxic").agg(F.min("th").alias("th"))
+    chosen = written(labelled, "labelled")  # bounded by ``sample_rows``, as ``sample`` is
+    texts = rows.join(F.broadcast(chosen), ["key", "th"]).select(F.xxhash64("key").alias("kh"), "quality", "toxic", "text")
+    described = written(texts.mapInArrow(_described, "kh long, quality double, toxic double, shape array<double>, words array<string>").dropDuplicates(["kh"]), "described")
+    gains = word_gains(described).toArrow().to_pydict()
+    by_half = [{w: g for w, g in zip(gains["word"], gains[c], strict=True) if g is not None} for c in ("g0", "g1", "g")]
+    shared = docs.sparkSession.sparkContext.broadcast(by_half[:2])
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            # words are weighed on one half and the regression is fitted on the other, both ways round
+            x = [strongest(words, shared.value[k % 2]) for k, words in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(x, pa.list_(pa.float64()))], names=["kh", "quality", "toxic", "shape", "gains"])
 
+    table = described.mapInArrow(weighed, "kh long, quality double, toxic double, shape array<double>, gains array<double>").toArrow().sort_by("kh")
+    shared.destroy()
+    quality, toxic = table["quality"].to_numpy(), table["toxic"].to_numpy()
+    square = lambda c, width: table[c].combine_chunks().values.to_numpy().reshape(-1, width)
+    good = Logistic.fit(square("shape", len(shape(""))), quality) if len(set(quality)) == 2 else None
+    bad = Logistic.fit(square("gains", 4), toxic) if len(set(toxic)) == 2 else None
+    return Classifier(good, bad, by_half[2])
 
-def _scored(docs: DataFrame, model: Classifier, columns: list[Column], text: str) -> DataFrame:
-    """The columns, and __good and __toxic from the whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select(text_of(text).alias("__text"), *columns)
-    names = picked.columns[1:]
-    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(picked.schema.fields[1:])]
-    schema = T.StructType([*fields, T.StructField("__good", T.DoubleType()), T.StructField("__toxic", T.DoubleType())])
+
+def _scored(frame: DataFrame, model: Broadcast[Classifier], text: str, keep_text: bool = False) -> DataFrame:
+    """``frame``, without its text unless it is to be kept, and good and toxic from the whole text."""
+    at = frame.columns.index(text)
+    fields = [f for f in frame.schema.fields if keep_text or f.name != text]
+    schema = T.StructType([*fields, T.StructField("good", T.DoubleType()), T.StructField("toxic", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
-            good, toxic = shared.value(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(good), pa.array(toxic)], names=schema.names)
+            good, toxic = model.value([t or "" for t in batch.column(at).to_pylist()])
+            columns = [c for i, c in enumerate(batch.columns) if keep_text or i != at]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(good, pa.float64()), pa.array(toxic, pa.float64())], names=schema.names)
 
-    return picked.toDF(*[f"p{i}" for i in range(len(names) + 1)]).mapInArrow(run, schema).toDF(*names, "__good", "__toxic")
+    return frame.mapInArrow(run, schema)
 
 
 def _clip(p: Column) -> Column:
@@ -187,18 +207,27 @@ def _logit(p: Column) -> Column:
 
 def _evidence() -> Column:
     """The probability that the text is good and not toxic."""
-    return _clip(F.col("__good") * (1 - F.col("__toxic")))
+    return _clip(F.col("good") * (1 - F.col("toxic")))
+
+
+@dataclass(frozen=True)
+class Prior:
+    """The global mean, and the weights of the global mean in a host's and of the host's mean in a path's, in documents."""
 
+    mean: float
+    host: float
+    path: float
+    documents: int
 
-def site_posteriors(scored: DataFrame) -> DataFrame:
-    """(__host, __path, n, __site, __shift) from columns __host, __path, __good, __toxic.
 
-    __site is the path's posterior mean and __shift what it adds to the log
-    odds. Only sums over all sites reach the driver.
+def site_sums(scored: DataFrame) -> tuple[DataFrame, Prior]:
+    """(host, path, n, s, hn, hs): documents and sums of their evidence by path and by host, from columns host, path, good, toxic.
+
+    Only sums over all sites reach the driver.
     """
     e = _evidence()
-    paths = written(scored.groupBy("__host", "__path").agg(F.count(F.lit(1)).alias("n"), F.sum(e).alias("s"), F.sum(e * e).alias("q")), "paths")
-    hosts = written(paths.groupBy("__host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("q").alias("hq"), F.count(F.lit(1)).alias("paths"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between")), "hosts")
+    paths = written(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(e).alias("s"), F.sum(e * e).alias("q")), "paths")
+    hosts = written(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("q").alias("hq"), F.count(F.lit(1)).alias("paths"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between")), "hosts")
     t = hosts.agg(
         F.sum("hn"), F.sum("hs"), F.sum("hq"), F.count(F.lit(1)), F.sum(F.col("hs") * F.col("hs") / F.col("hn")), F.sum("paths"), F.sum("between")
     ).first()
@@ -212,42 +241,63 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
 
     host_strength = strength(max(q - by_host, 0) / max(n, 1), by_host - n * mean * mean, many - 1)
     path_strength = strength(max(q - by_path, 0) / max(n, 1), by_path - by_host, many_paths - many)
-    host = hosts.select(F.col("__host").alias("__h"), ((F.col("hs") + host_strength * mean) / (F.col("hn") + host_strength)).alias("host"))
-    both = paths.join(host, F.col("__host") == F.col("__h"))
-    site = (F.col("s") + path_strength * F.col("host")) / (F.col("n") + path_strength)
-    return both.select("__host", "__path", "n", site.alias("__site"), (_logit(site) - _logit(F.lit(mean))).alias("__shift"))
+    sites = paths.select("host", "path", "n", "s").join(hosts.select("host", "hn", "hs"), "host")
+    return sites, Prior(mean, host_strength, path_strength, int(n))
+
+
+def with_posterior(scored: DataFrame, prior: Prior) -> DataFrame:
+    """site, the posterior mean of the path by its other documents, and posterior, the document's own; from good, toxic, n, s, hn, hs.
+
+    A document's own evidence is taken out of its site's sums, for it is added
+    to the site's shift of the log odds.
+    """
+    e = _evidence()
+    host = (F.col("hs") - e + prior.host * prior.mean) / (F.col("hn") - 1 + prior.host)
+    site = (F.col("s") - e + prior.path * host) / (F.col("n") - 1 + prior.path)
+    placed = scored.withColumn("site", site)
+    odds = _logit(_evidence()) + _logit(F.col("site")) - _logit(F.lit(prior.mean))
+    return placed.withColumn("posterior", 1 / (1 + F.exp(-odds)))
 
 
 def _site(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("\0"))
 
 
-def _judged(docs: DataFrame, labels: DataFrame, columns: list[Column], key: str, text: str, host: str, path: str) -> DataFrame:
-    model = fit(docs, labels, key, text)
-    where = [_site(host).alias("__host"), _site(path).alias("__path")]
-    sites = written(site_posteriors(_scored(docs, model, where, text)), "sites")
-    scored = _scored(docs, model, [*columns, *where], text)
-    placed = scored.join(sites.select(F.col("__host").alias("__h"), F.col("__path").alias("__p"), "__site", "__shift"), (F.col("__host") == F.col("__h")) & (F.col("__path") == F.col("__p")))
-    odds = _logit(_evidence()) + F.col("__shift")
-    return placed.withColumn("__posterior", 1 / (1 + F.exp(-odds)))
+def _judged(docs: DataFrame, labels: DataFrame, key: str, text: str, host: str, path: str, keep_text: bool) -> tuple[DataFrame, list[str]]:
+    """Rows of ``docs`` by numbered columns, with good, toxic, site and posterior; and the columns' names."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text))
+    rows, names = numbered(docs)
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    where = [_site(at[host]).alias("host"), _site(at[path]).alias("path")]
+    sites, prior = site_sums(_scored(rows.select(F.col(at[text]), *where), model, at[text]))
+    sites = written(sites, "sites")
+    hot = sites.where(F.col("n") * HOT_SITES > prior.documents)  # fewer than HOT_SITES rows, for their shares add up to one
+    picked = [c for c in rows.columns if keep_text or c in (at[key], at[text])]
+    placed = rows.select(*picked, *where)
+    both = ["host", "path"]
+    met = placed.join(F.broadcast(hot), both).unionByName(placed.join(F.broadcast(hot), both, "left_anti").join(sites, both)).drop(*both)
+    return with_posterior(_scored(met, model, at[text], keep_text), prior), names
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
-    """One row for each row of ``docs``: key, p_good, p_toxic (by the text), p_site (of its path), posterior, keep.
+    """One row for each row of ``docs``: key, p_good, p_toxic (by the text), p_site (of its path's other documents), posterior, keep.
 
     A document is kept from a posterior of ``THRESHOLD`` on. Null texts are
     empty; null hosts and paths are a host and a path of their own; repeated rows
     get the same values. Without labels of both kinds the classifier knows
     nothing and everything is kept. Texts are scored whole, twice: once to sum
-    sites, once to judge; no text moves between machines.
+    sites, once to judge. Rows of large sites meet a broadcast row of their sums;
+    texts of the others move only where the table of sites is too large for
+    Spark to broadcast. ``source`` and ``lang`` stand in for host and path, for
+    documents have no address.
     """
-    out = _judged(docs, labels, [F.col(key)], key, text, host, path)
+    out, names = _judged(docs.select(key, text, host, path), labels, key, text, host, path, False)
     return out.select(
-        key, F.col("__good").alias("p_good"), F.col("__toxic").alias("p_toxic"), F.col("__site").alias("p_site"), F.col("__posterior").alias("posterior"), (F.col("__posterior") >= THRESHOLD).alias("keep")
+        F.col("c0").alias(names[0]), F.col("good").alias("p_good"), F.col("toxic").alias("p_toxic"), F.col("site").alias("p_site"), "posterior", (F.col("posterior") >= THRESHOLD).alias("keep")
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, all columns as they were."""
-    out = _judged(docs, labels, [F.col(c) for c in docs.columns], key, text, host, path)
-    return out.where(F.col("__posterior") >= THRESHOLD).select(*docs.columns)
+    """The rows of ``docs`` that ``judge`` keeps, all columns as they were, whatever their names."""
+    out, names = _judged(docs, labels, key, text, host, path, True)
+    return out.where(F.col("posterior") >= THRESHOLD).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
