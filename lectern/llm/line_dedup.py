@@ -1,16 +1,17 @@
 """Line deduplication by overlapping windows of three lines, with DataFrame functions only.
 
 A text is cut into lines by one rule for all texts: a line ends at a run of line
-feeds, and after every word that is smaller than each of the ``REACH`` words on
-either side of it (spelled backwards; of equal ones the first; a line feed or an
-end of the text within reach rules a cut out; a word that ends with a control
-character counts as a line feed). A cut thus depends on the words
-around it alone, so a passage pasted anywhere has the same lines inside, whether
-it has sentence ends or not, and only what a line feed ends can have fewer than
-``REACH`` + 1 words. Three consecutive lines make a window; lines are equal if
-their words are. Windows that occur more than once in the corpus lose every
-occurrence but the first (smallest key, then text, then place); the positions
-that the lost windows cover are merged and their lines removed.
+feeds, and a new one begins at every word that is smaller than each of the
+``REACH`` words on either side of it (in order of bytes, so often a capital; of
+equal ones the first; a line feed or an end of the text within reach rules a cut
+out, and a word that begins with a control character counts as a line feed). A
+cut thus depends on the words around it alone, so a passage pasted anywhere has
+the same lines inside, whether it has sentence ends or not, and only beside line
+feeds can lines have fewer than ``REACH`` words. Three consecutive lines make a
+window; lines are equal if their words are. Windows that occur more than once in
+the corpus lose every occurrence but the first (smallest key, then text, then
+place); the positions that the lost windows cover are merged and their lines
+removed.
 """
 
 from __future__ import annotations
@@ -45,16 +46,16 @@ def _feeds(tokens: Column, i: Column) -> Column:
 def _ends(words: Column) -> Column:
     """The numbers of the tokens that end a line, in order."""
 
-    def smallest(keys: Column, own: Column, i: Column) -> Column:
+    def smallest(own: Column, i: Column, all_: Column) -> Column:
         out = F.lit(True)
         for k in range(1, REACH + 1):
-            out = out & (own < F.get(keys, i - k)) & (own <= F.get(keys, i + k))
+            out = out & (own < F.get(all_, i - k)) & (own <= F.get(all_, i + k))
         return out  # null, so false, where a neighbour is missing
 
-    def found(keys: Column) -> Column:  # a line feed's token is all white space, which comes before "!"
-        return F.array_compact(F.transform(keys, lambda own, i: F.when((own < "!") | smallest(keys, own, i), i)))
+    def found(all_: Column) -> Column:  # a line feed's token is all white space, which comes before "!"
+        return F.array_compact(F.transform(all_, lambda own, i: F.when(own < "!", i).when(smallest(own, i, all_), i - 1)))
 
-    cuts = _with(F.transform(words, F.reverse), found)
+    cuts = found(words)
     return F.when(F.size(words) == 0, F.array().cast("array<int>")).otherwise(F.array_distinct(F.concat(cuts, F.array(F.size(words) - 1))))
 
 

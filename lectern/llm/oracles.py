@@ -7,7 +7,6 @@ import re
 from .chat_format import CONTROL, MARKS
 from .embedding_dedup import COSINE
 from .minhash import SHINGLE, SIMILARITY
-from .secret_scan import BASE, EXAMPLE_OWNERS, KINDS, OWNED
 
 
 def _quoted(pattern: str) -> str:
@@ -19,9 +18,8 @@ _TOKEN = _quoted(r"[ \t\x0b\f\r]*[^ \t\n\x0b\f\r]+[ \t\x0b\f\r]*|[ \t\x0b\f\r]*\
 
 LINE_WINDOWS = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS ws, regexp_extract_all(coalesce(text, ''), {_TOKEN}) AS ts FROM documents),
-k AS (SELECT *, list_transform(ws, lambda x: reverse(x)) AS ks FROM w),
-c AS (SELECT doc_id, ws, ts, list_filter(range(1, len(ws) + 1), lambda i: i = len(ws) OR starts_with(ws[i], chr(10)) OR (i > 3 AND i + 3 <= len(ws) AND ks[i] < ks[i - 1] AND ks[i] < ks[i - 2] AND ks[i] < ks[i - 3]
-  AND ks[i] <= ks[i + 1] AND ks[i] <= ks[i + 2] AND ks[i] <= ks[i + 3])) AS es FROM k),
+c AS (SELECT doc_id, ws, ts, list_filter(range(1, len(ws) + 1), lambda i: i = len(ws) OR starts_with(ws[i], chr(10)) OR (i > 2 AND i + 4 <= len(ws) AND NOT starts_with(ws[i + 1], chr(10)) AND ws[i + 1] < ws[i] AND ws[i + 1] < ws[i - 1] AND ws[i + 1] < ws[i - 2]
+  AND ws[i + 1] <= ws[i + 2] AND ws[i + 1] <= ws[i + 3] AND ws[i + 1] <= ws[i + 4])) AS es FROM w),
 b AS (SELECT *, list_transform(es, lambda e, j: CASE WHEN j = 1 THEN 1 ELSE es[j - 1] + 1 END) AS bs FROM c),
 t AS (SELECT doc_id, list_transform(es, lambda e, j: array_to_string(ts[bs[j]:e], '')) AS ls,
   list_transform(es, lambda e, j: array_to_string(ws[bs[j]:e - CASE WHEN starts_with(ws[e], chr(10)) THEN 1 ELSE 0 END], ' ')) AS tr FROM b),
@@ -34,14 +32,23 @@ SELECT d.doc_id, CASE WHEN gone IS NULL THEN d.text ELSE array_to_string(list_fi
 FROM documents d JOIN t USING (doc_id) LEFT JOIN g USING (doc_id)"""
 
 
+_NAMES = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
+#: The patterns written out again (kind, pattern, group of the value, least characters), so that a slip in the operator's shows.
+_RULES = [
+    ("assign", f"({_NAMES})[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("owned", "[A-Za-z0-9+/_-]+", 0, 20),
+]
+
+
 def _spans() -> str:
-    rules = BASE | {"owned": (OWNED, 0, 20)}
     parts = []
-    for kind, (pattern, group, least) in rules.items():
-        p = _quoted(pattern.replace(r"\x20", " "))
+    for k, (kind, pattern, group, least) in enumerate(_RULES):
+        p = _quoted(pattern)
         found = f"SELECT doc_id, source, lang, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {group}) AS v, string_split_regex(t, {p}) AS b FROM c WHERE regexp_matches(t, {p})"
         start = "CAST(list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT)"
-        parts.append(f"SELECT doc_id, source, lang, {KINDS.index(kind)} AS k, '{kind}' AS kind, {start} AS s, {start} + length(m[i]) AS e, v[i] AS v FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({found})) WHERE length(v[i]) >= {least}")
+        parts.append(f"SELECT doc_id, source, lang, {k} AS k, '{kind}' AS kind, {start} AS s, {start} + length(m[i]) AS e, v[i] AS v FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({found})) WHERE length(v[i]) >= {least}")
     return "\n UNION ALL ".join(parts)
 
 
@@ -52,12 +59,14 @@ base AS (SELECT * FROM x WHERE k < 3),
 other AS (SELECT * FROM x WHERE k = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 10
   AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = x.doc_id AND x.s < base.e AND base.s < x.e)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM other),
-owners AS (SELECT v, CASE WHEN count(DISTINCT source) = 1 THEN 'live' WHEN count(DISTINCT source) >= {EXAMPLE_OWNERS} THEN 'example' ELSE 'shared' END AS class FROM every GROUP BY v),
+o AS (SELECT v, count(DISTINCT source) AS o, count(DISTINCT source || chr(1) || lang) AS r FROM every GROUP BY v),
+owners AS (SELECT *, CASE WHEN o >= 3 OR r >= 5 THEN 'example' WHEN o = 1 THEN 'live' ELSE 'shared' END AS class FROM o),
 y AS (SELECT * FROM every JOIN owners USING (v)),
 r AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3), '') AS base, coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3 OR class = 'live'), '') AS spans,
+  coalesce(string_agg(o || ':' || r, ',' ORDER BY s, k) FILTER (k < 3 OR class = 'live'), '') AS spread,
   count(*) FILTER (class = 'live') AS n_live, count(*) FILTER (class = 'shared') AS n_shared, count(*) FILTER (class = 'example') AS n_example FROM y GROUP BY doc_id)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(spread, '') AS spread,
   coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared, coalesce(n_example, 0) AS n_example FROM c LEFT JOIN r USING (doc_id)"""
 
 EMBEDDINGS = f"""

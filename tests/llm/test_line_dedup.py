@@ -11,15 +11,15 @@ def py_lines(text):
     tokens = re.findall(r"[^\S\n]*\S+[^\S\n]*|[^\S\n]*\n\s*|[^\S\n]+", text, re.ASCII)
     if not text.strip():
         return [], []
-    back = [None if "\n" in t else t.strip()[::-1].encode() for t in tokens]
-    out, now = [], []
+    word = [None if "\n" in t else t.strip().encode() for t in tokens]
+    out = [[]]
     for i, t in enumerate(tokens):
-        now.append(t)
-        near = back[max(0, i - 3) : i], back[i + 1 : i + 4]
-        smallest = back[i] is not None and all(len(x) == 3 and None not in x for x in near) and all(back[i] < x for x in near[0]) and all(back[i] <= x for x in near[1])
-        if back[i] is None or smallest or i == len(tokens) - 1:
-            out.append(now)
-            now = []
+        near = word[max(0, i - 3) : i], word[i + 1 : i + 4]
+        if out[-1] and word[i] is not None and all(len(x) == 3 and None not in x for x in near) and all(word[i] < x for x in near[0]) and all(word[i] <= x for x in near[1]):
+            out.append([])
+        out[-1].append(t)
+        if word[i] is None and i + 1 < len(tokens):
+            out.append([])
     return ["".join(x) for x in out], [tuple(t.strip() for t in x if "\n" not in t) for x in out]
 
 
@@ -61,10 +61,10 @@ def test_lines_lose_nothing(spark):
     assert got == [py_lines(t)[0] for t in texts]
 
 
-def test_lines_in_running_text_have_four_words_or_more(spark):
+def test_lines_in_running_text_have_three_words_or_more(spark):
     text = " ".join(some_words(random.Random(2), 4000))
     found = spark.createDataFrame([(text,)], "text string").select(L.lines(L.F.col("text")).alias("x")).first().x
-    assert min(len(x.split()) for x in found) >= 4 and 6 < 4000 / len(found) < 8
+    assert min(len(x.split()) for x in found) >= 3 and 6 < 4000 / len(found) < 8
 
 
 def test_against_brute_force(spark):
