@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,14 +18,20 @@ WORD_CACHE = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a local one is made and set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set, a session of one machine (tests) gets a temporary
+    folder, and any other is told what to set.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        folder = current or tempfile.mkdtemp(prefix="lectern-")
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -51,6 +58,22 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys with more than one in so many of all rows count as hot: at most so many can be, for their shares add up to one.
+HOT_KEYS = 20_000
+
+
+def meet(many: DataFrame, few: DataFrame, on: list[str], count: str, total: int, keys: int = HOT_KEYS) -> DataFrame:
+    """``many`` joined with ``few``, which has one row for each key and in ``count`` how many rows of ``many`` have it.
+
+    A key may hold any share of ``total``: rows of hot keys, of which there are
+    fewer than ``keys``, meet a broadcast row, so they are spread as they were
+    read. Rows of the other keys meet theirs in whatever join Spark chooses.
+    """
+    hot = few.where(F.col(count) * keys > total)
+    rest = many.join(F.broadcast(hot.select(*on)), on, "left_anti").join(few, on)
+    return many.join(F.broadcast(hot), on).unionByName(rest).drop(count)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small or iterated table by a reliable checkpoint."""
     shared_dir(df.sparkSession)

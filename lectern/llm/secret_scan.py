@@ -2,10 +2,11 @@
 
 Every whole text is searched for three base patterns and for other tokens that
 look like credentials. The hash of each value is then counted over the corpus by
-distinct repositories and owners: a value that one owner alone has is ``live``,
-one that ``EXAMPLE_OWNERS`` or more have is a copied ``example``, the rest are
-``shared``. Owner-specific tokens outside all base spans are added as spans of
-kind ``owned``.
+distinct repositories and owners: a value in ``EXAMPLE_REPOSITORIES`` or more
+repositories, or of ``EXAMPLE_OWNERS`` or more owners, is a copied ``example``,
+another one that one owner alone has is ``live``, the rest are ``shared``.
+Owner-specific live tokens outside all base spans are added as spans of kind
+``owned``.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import meet, text_of, written
 
 _NAMES = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
 #: kind: (pattern, group of the value, least characters of it), in the order of the listing.
@@ -24,8 +25,9 @@ BASE = {
 }
 OWNED = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = [*BASE, "owned"]
-#: Distinct owners from which on a value counts as a copied example.
+#: Distinct owners, and distinct repositories, from which on a value counts as a copied example.
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOSITORIES = 5
 
 
 def _matches(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -59,18 +61,20 @@ def _listing(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: tuple[str, ...] = ("source", "lang"), owner: tuple[str, ...] = ("source",)) -> DataFrame:
-    """One row for each row of ``docs``: key, spans of the base patterns, all spans, each value's class.
+    """One row for each row of ``docs``: key, spans of the base patterns, added spans, each value's spread, values by class.
 
-    Columns: key, base (array<struct<start,k,kind,end>>), added (the same, kind
-    ``owned``), n_live, n_shared, n_example (long, over all values). Spans are in
-    order of start, then kind as listed; ends are exclusive, in code points. A
-    null text is empty; nulls in the repository or owner columns are an owner of
-    their own. Repeated rows are rows of their own but share their owner. Extra
-    columns are not read.
+    Columns: key, base (array<struct<start,k,kind,end,owners,repos>>), added (the
+    same, kind ``owned``), n_live, n_shared, n_example (long, over all values).
+    owners and repos count the distinct ones that have the span's value. Spans
+    are in order of start, then kind as listed; ends are exclusive, in code
+    points. A null text is empty; nulls in the repository or owner columns are
+    one of their own. Repeated rows are rows of their own but share their owner.
+    Extra columns are not read.
 
     The texts are read once; only values move, as SHA-256. Values are summed by
-    (hash, repository, owner) before they are counted, so a value in a third of
-    all rows costs one row for each task and owner.
+    (hash, owner, repository) where they are read, and counts by hash of these
+    sums. Occurrences of hot values, whose number is bounded, meet a broadcast
+    row with their counts.
     """
     whole = text_of(text)
     named = lambda columns: F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"c{i}") for i, c in enumerate(columns))))
@@ -90,31 +94,37 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: t
         found.withColumn("base", base).withColumn("other", apart).select("__row", "__key", "repo", "own", hashed("base").alias("base"), hashed("other").alias("other")),
         "secrets",
     )
-    values = rows.select("__row", "repo", "own", F.explode(F.concat("base", "other")).alias("s")).select("__row", "repo", "own", "s")
-    per_owner = values.groupBy(F.col("s.h").alias("h"), "own", "repo").agg(F.count(F.lit(1)).alias("n"))
-    owners = per_owner.groupBy("h").agg(F.count_distinct("own").alias("owners"), F.count_distinct("repo").alias("repos"))
-    kind = F.when(F.col("owners") == 1, "live").when(F.col("owners") >= EXAMPLE_OWNERS, "example").otherwise("shared")
-    classed = values.withColumn("h", F.col("s.h")).join(owners.select("h", kind.alias("class")), "h")
-    plain = F.struct(*(F.col(f"s.{c}").alias(c) for c in ("start", "k", "kind", "end")))
+    values = rows.select("__row", "repo", "own", F.explode(F.concat("base", "other")).alias("s")).select("__row", "repo", "own", "s", F.col("s.h").alias("h"))
+    sums = values.groupBy("h", "own", "repo").agg(F.count(F.lit(1)).alias("n"))
+    spread = written(sums.groupBy("h").agg(F.sum("n").alias("n"), F.count_distinct("own").alias("owners"), F.count_distinct("repo").alias("repos")), "spread")
+    total = spread.agg(F.sum("n")).first()[0] or 0
+    met = meet(values.select("__row", "s", "h"), spread, ["h"], "n", total)
+    example = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repos") >= EXAMPLE_REPOSITORIES)
+    classed = met.withColumn("class", F.when(example, "example").when(F.col("owners") == 1, "live").otherwise("shared"))
+    plain = F.struct(*(F.col(f"s.{c}").alias(c) for c in ("start", "k", "kind", "end")), "owners", "repos")
+    listed = lambda which: F.array_sort(F.collect_list(F.when(which, plain)))
     per_row = classed.groupBy("__row").agg(
-        F.array_sort(F.collect_list(F.when((F.col("s.kind") == "owned") & (F.col("class") == "live"), plain))).alias("added"),
+        listed(F.col("s.kind") != "owned").alias("base"),
+        listed((F.col("s.kind") == "owned") & (F.col("class") == "live")).alias("added"),
         *(F.count(F.when(F.col("class") == c, 1)).alias(f"n_{c}") for c in ("live", "shared", "example")),
     )
-    none = F.array().cast("array<struct<start:int,k:int,kind:string,end:int>>")
-    out = rows.select("__row", "__key", F.transform("base", lambda s: F.struct(*(s[c].alias(c) for c in ("start", "k", "kind", "end")))).alias("base")).join(per_row, "__row", "left")
+    none = F.array().cast("array<struct<start:int,k:int,kind:string,end:int,owners:long,repos:long>>")
+    out = rows.select("__row", "__key").join(per_row, "__row", "left")
     return out.select(
-        F.col("__key").alias(key), "base", F.coalesce("added", none).alias("added"), *(F.coalesce(F.col(f"n_{c}"), F.lit(0)).alias(f"n_{c}") for c in ("live", "shared", "example"))
+        F.col("__key").alias(key), *(F.coalesce(c, none).alias(c) for c in ("base", "added")), *(F.coalesce(F.col(f"n_{c}"), F.lit(0)).alias(f"n_{c}") for c in ("live", "shared", "example"))
     )
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Counts, listing and hash of the spans that ``scan`` found."""
+    """Counts, listing and hash of the spans that ``scan`` found; spread lists owners:repositories of each span's value in the order of spans."""
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    every = F.array_sort(F.concat("base", "added"))
     return found.select(
         key,
         *(count(kind) for kind in BASE),
         F.sha2(_listing(F.col("base")), 256).alias("base_sha256"),
-        _listing(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        _listing(every).alias("spans"),
+        F.array_join(F.transform(every, lambda s: F.concat_ws(":", s["owners"].cast("string"), s["repos"].cast("string"))), ",").alias("spread"),
         "n_live",
         "n_shared",
         "n_example",

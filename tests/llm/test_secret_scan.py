@@ -51,6 +51,23 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert got[52].n_live == 1 and got[52].spans == "assign:0:20"
 
 
+def test_one_owner_with_many_repositories_has_an_example(spark):
+    value, few = "Zx81Qw72Er63Ty54Ui45Op36", "Ab12Cd34Ef56Gh78Ij90Kl12"
+    rows = [(i, f"see {value} ok", f"l{i}", "one") for i in range(50)] + [(100 + i, f"see {few}", f"l{i}", "one") for i in range(4)]
+    found = S.digest(S.scan(spark.createDataFrame([(i, t, lang, s, "x") for i, t, lang, s in rows], DOCS)))
+    got = {r.doc_id: r for r in found.collect()}
+    assert all(got[i].n_example == 1 and got[i].n_live == 0 and got[i].spans == "" for i in range(50))
+    assert all(got[100 + i].n_live == 1 and got[100 + i].spread == "1:4" for i in range(4))
+
+
+def test_common_values_and_long_texts(spark):
+    long = "word " * 40_000 + "token=abcdefabcdef12"
+    rows = [(i, "password = hunter2hunter2", f"s{i % 4}") for i in range(60)] + [(100 + i, f"secret={i:020d}", "a") for i in range(5)] + [(200, long, "b")]
+    got = {r.doc_id: r for r in run(spark, rows)}
+    assert all(got[i].spread == "4:4" and got[i].n_example == 1 for i in range(60)) and all(got[100 + i].spread == "1:1,1:1" for i in range(5))
+    assert got[200].spans == f"assign:{len(long) - 20}:{len(long)}" and got[200].spread == "1:1"
+
+
 def test_repeated_rows_null_keys_and_empty_table(spark):
     rows = [(1, TEXTS[0], "a"), (1, TEXTS[0], "a"), (None, TEXTS[0], None)]
     got = run(spark, rows)
