@@ -11,16 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, meet
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """large: every neighbour above u is linked to the smallest of u and its neighbours; else every one not above it."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """large: every neighbour above u is linked to the smallest of u and its neighbours; else every one not above it.
+
+    A hub's edges, which may be most of all, meet a broadcast row of its smallest neighbour.
+    """
     both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select("v", "u"))
     near = both if large else both.where("b < a")
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("c"))
     side = near.where("b > a") if large else near
-    linked = side.join(least, "a").select(F.greatest("b", "m").alias("u"), F.least("b", "m").alias("v"))
+    linked = meet(side, least, ["a"], "c", total).select(F.greatest("b", "m").alias("u"), F.least("b", "m").alias("v"))
     if not large:
         linked = linked.union(least.select(F.col("a").alias("u"), F.col("m").alias("v")))
     return linked.where("u <> v").distinct()
@@ -40,6 +43,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        now = cut(_star(_star(now, large=True), large=False))
+        now = cut(_star(_star(now, large=True, total=2 * state[0]), large=False, total=state[0]))
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(now.select("v", "v").distinct())

@@ -13,13 +13,15 @@ group of its own, so a bucket of any size is compared whole and by many tasks.
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, slices, written
+from .common import meet, mix, slices, written
 from .components import components
 
 COSINE = 0.93
@@ -99,28 +101,20 @@ def unit_vector(raw: bytes) -> np.ndarray:
 
 
 def _hashed(batches):
-    """For each class and table a row for its own bucket and one for each probe."""
+    """Each class with its buckets: for every table its own one, then its probes."""
     for batch in slices(batches, 1024):
-        nodes, labels, raws = (batch.column(i).to_pylist() for i in range(3))
+        raws = batch.column(3).to_pylist()
         by_size: dict[int, list[int]] = {}
         for i, raw in enumerate(raws):
             by_size.setdefault(len(raw), []).append(i)
         for here in by_size.values():
-            units = np.array([unit_vector(raws[i]) for i in here])
-            for table in range(TABLES):
-                own, probes = buckets(units, table)
-                for role, found in enumerate([own, *probes.T]):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([nodes[i] for i in here], pa.int64()), pa.array([labels[i] for i in here], pa.int64()),
-                            pa.array([units.shape[1] * TABLES + table] * len(here), pa.int32()), pa.array(found, pa.int64()), pa.array([role > 0] * len(here)),
-                        ],
-                        names=["node", "label", "tab", "bucket", "probe"],
-                    )
-
-
-#: What a row does in its cell: it looks in (a probe, or a home row from another part), is looked at, or both.
-LOOKS, SHOWN, BOTH = 1, 2, 3
+            units = _units([raws[i] for i in here])
+            found = [np.concatenate([own[:, None], probes], axis=1) for own, probes in (buckets(units, t) for t in range(TABLES))]
+            at = pa.array(here)
+            columns = [batch.column(i).take(at) for i in range(4)]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array([units.shape[1]] * len(here), pa.int32()), pa.array(list(np.concatenate(found, axis=1)), pa.list_(pa.int64()))], names=["node", "label", "n", "x", "size", "buckets"]
+            )
 
 
 def _units(raws: list[bytes]) -> np.ndarray:
@@ -130,63 +124,105 @@ def _units(raws: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def linked(units: np.ndarray, node: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (larger node, smaller node) of a cell: rows that look in against rows that are shown."""
-    looks, shown = np.flatnonzero(role & LOOKS), np.flatnonzero(role & SHOWN)
-    a, b = np.nonzero(units[looks] @ units[shown].T >= COSINE - 1e-9)
-    i, j = looks[a], shown[b]
-    keep = (node[i] != node[j]) & ((units[i] * units[j]).sum(axis=1) >= COSINE)
-    u, v = node[i[keep]], node[j[keep]]
-    return np.maximum(u, v), np.minimum(u, v)
+class Cell:
+    """Vectors of a bucket of one table: rows that look in (of one part of the bucket) and rows that are shown (of another, or the same)."""
+
+    def __init__(self, table: int, bucket: int, looks: np.ndarray, shown: np.ndarray, node: np.ndarray, n: np.ndarray, units: np.ndarray, found: np.ndarray) -> None:
+        self.table, self.bucket, self.looks, self.shown = table, bucket, np.flatnonzero(looks), np.flatnonzero(shown)
+        self.node, self.n, self.units = node, n, units
+        by_table = found.reshape(len(node), TABLES, -1)
+        self.own, self.probes = by_table[:, :, 0], by_table[:, :, 1:]
+
+    def _near(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (place that looks, place that is shown) at the threshold or above."""
+        cosine = self.units[i] @ self.units[self.shown].T
+        a, b = np.nonzero(cosine >= COSINE - 1e-9)
+        close = np.flatnonzero(cosine[a, b] < COSINE + 1e-9)  # a product of matrices adds up in another order
+        fine = np.ones(len(a), dtype=bool)
+        fine[close] = (self.units[i[a[close]]] * self.units[self.shown[b[close]]]).sum(axis=1) >= COSINE
+        return i[a[fine]], self.shown[b[fine]]
+
+    def _first(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs meet here first, so that each pair of vectors counts in one cell alone."""
+        own, probes, t = self.own, self.probes, self.table
+        home = own[i, t] == own[j, t]  # both at home: the larger node looks; else a probe looks, and the smaller of two such buckets counts
+        keep = np.where(home, self.node[i] > self.node[j], ~((probes[j, t] == own[i, t, None]).any(axis=1) & (own[i, t] < self.bucket)))
+        for s in range(t):
+            keep &= (own[i, s] != own[j, s]) & (probes[i, s] != own[j, s, None]).all(axis=1) & (probes[j, s] != own[i, s, None]).all(axis=1)
+        return keep
+
+    def links(self) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """For each row how many vectors it is linked with here first, and links that connect what those links connect."""
+        others, component, joined = np.zeros(len(self.node), dtype=np.int64), np.arange(len(self.node)), []
+        for start in range(0, len(self.looks), 128):
+            i, j = self._near(self.looks[start : start + 128])
+            keep = self._first(i, j)
+            i, j = i[keep], j[keep]
+            np.add.at(others, i, self.n[j])
+            np.add.at(others, j, self.n[i])
+            edges = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1], [True]])) if len(i) else [0]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                for root in np.unique(component[j[a:b]]):
+                    if root != component[i[a]]:
+                        other = j[a:b][component[j[a:b]] == root][0]
+                        joined.append((int(self.node[i[a]]), int(self.node[other])))
+                        component[component == root] = component[i[a]]
+        return others, joined
 
 
 def _compare(batches):
-    """Linked pairs of all cells; rows come sorted by cell, and a cell may span batches."""
-    keys: np.ndarray | None = None
-    rest: tuple | None = None
-
-    def cells(keys: np.ndarray, node: np.ndarray, role: np.ndarray, raws: list[bytes], last: bool):
-        """Pairs of the whole cells, and where the last one, which may go on, begins."""
-        edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
-        us, vs = [], []
-        for a, b in zip(edges[:-1], edges[1:] if last else edges[1:-1], strict=False):
-            if b - a > 1:
-                u, v = linked(_units(raws[a:b]), node[a:b], role[a:b])
-                us.append(u)
-                vs.append(v)
-        both = np.stack([np.concatenate(us), np.concatenate(vs)], axis=1) if us else np.zeros((0, 2), np.int64)
-        return np.unique(both, axis=0), int(edges[-2]) if not last and len(edges) > 1 else len(keys)
+    """Of all cells, rows (u, v, null) that link and rows (u, null, others) that count; rows come sorted by cell, and a cell may span batches."""
+    names = ["u", "v", "others"]
 
+    def done(columns: list, a: int, b: int) -> list[tuple]:
+        keys, looks, shown, node, n, raws, found = columns
+        cell = Cell(int(keys[a, 2]), int(keys[a, 3]), looks[a:b], shown[a:b], node[a:b], n[a:b], _units(raws[a:b]), np.stack(found[a:b]))
+        others, joined = cell.links()
+        return [(max(u, v), min(u, v), None) for u, v in joined] + [(int(cell.node[k]), None, int(others[k])) for k in np.flatnonzero(others)]
+
+    held: list | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1)
-        node, role, raws = batch.column(5).to_numpy(), batch.column(6).to_numpy(), batch.column(7).to_pylist()
-        if rest is not None:
-            now, node, role, raws = np.concatenate([keys, now]), np.concatenate([rest[0], node]), np.concatenate([rest[1], role]), rest[2] + raws
-        pairs, begin = cells(now, node, role, raws, False)
-        keys, rest = now[begin:], (node[begin:], role[begin:], raws[begin:])
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-    if rest is not None:
-        pairs, _ = cells(keys, *rest, True)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-
-
-def linked_pairs(classes: DataFrame) -> DataFrame:
-    """(u, v), u > v: linked classes of a table (node, label, x)."""
-    hashed = written(classes.select("node", F.col("label").cast("long").alias("label"), "x").mapInArrow(_hashed, "node long, label long, tab int, bucket long, probe boolean"), "buckets")
-    place = ["label", "tab", "bucket"]
-    sizes = hashed.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("probe"), 1)).alias("homes")).where("n > 1 and homes > 0")
-    parts = F.ceil(F.col("n") / CELL).cast("int")
-    rows = hashed.join(sizes.select(*place, parts.alias("parts")), place).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        now = [
+            np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)], axis=1),
+            *(batch.column(i).to_numpy(zero_copy_only=False) for i in (6, 7, 8, 9)), batch.column(10).to_pylist(), [x.values.to_numpy() for x in batch.column(11)],
+        ]
+        if held is not None:
+            now = [a + b if isinstance(a, list) else np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
+        keys = now[0]
+        edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1]).tolist()
+        out = [row for a, b in pairwise(edges) if b - a > 1 for row in done(now, a, b)]
+        held = [c[edges[-1] :] for c in now]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=names)
+    if held is not None and len(held[0]) > 1 and (out := done(held, 0, len(held[0]))):
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=names)
+
+
+def compared(classes: DataFrame) -> DataFrame:
+    """(u, v, others) from classes (node, label, n, x): links that connect all that are linked, and counts of linked vectors to be summed.
+
+    Each pair is counted in the first table and bucket in which it meets; a cell
+    gives back at most a count and a link for each of its rows.
+    """
+    schema = "node long, label long, n long, x binary, size int, buckets array<long>"
+    hashed = written(classes.select("node", F.col("label").cast("long").alias("label"), "n", "x").mapInArrow(_hashed, schema), "buckets")
+    place = ["label", "size", "tab", "bucket"]
+    per_table = 1 + min(PROBES, PARTS)
+    each = hashed.select("node", "label", "size", F.posexplode("buckets").alias("at", "bucket"))
+    placed = each.select("node", "label", "size", F.floor(F.col("at") / per_table).cast("int").alias("tab"), "bucket", (F.col("at") % per_table == 0).alias("home"))
+    sizes = written(placed.groupBy(*place).agg(F.count(F.lit(1)).alias("c"), F.count(F.when(F.col("home"), 1)).alias("homes")).where("c > 1 and homes > 0").drop("homes"), "sizes")
+    total = sizes.agg(F.sum("c")).first()[0] or 0
+    parts = F.ceil(F.col("c") / CELL).cast("int")
+    rows = meet(placed, sizes.withColumn("parts", parts), place, "c", total).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # rows of each part look into each part: a row goes along its line of the grid, a home row down its column too
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    looks = dealt.select(*place, F.col("own").alias("r"), F.col("other").alias("c"), "node", F.when(~F.col("probe") & (F.col("own") == F.col("other")), BOTH).otherwise(LOOKS).alias("role"))
-    shown = dealt.where("not probe and own <> other").select(*place, F.col("other").alias("r"), F.col("own").alias("c"), "node", F.lit(SHOWN).alias("role"))
-    cells = looks.unionByName(shown).join(classes.select("node", "x"), "node").select(*place, "r", "c", "node", "role", "x")
-    return cells.repartition(*place, "r", "c").sortWithinPartitions(*place, "r", "c").mapInArrow(_compare, "u long, v long").distinct()
+    same = F.col("part") == F.col("other")
+    looks = dealt.select(*place, F.col("part").alias("r"), F.col("other").alias("c"), F.lit(True).alias("looks"), (F.col("home") & same).alias("shown"), "node")
+    shown = dealt.where(F.col("home") & ~same).select(*place, F.col("other").alias("r"), F.col("part").alias("c"), F.lit(False).alias("looks"), F.lit(True).alias("shown"), "node")
+    cells = looks.unionByName(shown).join(hashed.select("node", "n", "x", "buckets"), "node").select(*place, "r", "c", "looks", "shown", "node", "n", "x", "buckets")
+    return cells.repartition(*place, "r", "c").sortWithinPartitions(*place, "r", "c").mapInArrow(_compare, "u long, v long, others long")
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -207,10 +243,9 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         fine.groupBy("label", "key").agg(F.min("vec").alias("first"), F.count(F.lit(1)).alias("n"), F.first("x").alias("x")).withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
-    links = written(linked_pairs(classes), "links")
-    component = components(links)
-    both = links.select("u", "v").union(links.select("v", "u"))
-    others = both.join(classes.select(F.col("node").alias("v"), "n"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
+    found = written(compared(classes), "links")
+    component = components(found.where("v is not null").select("u", "v"))
+    others = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("others").alias("others"))
     placed = classes.drop("x").join(others, "node", "left").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     known = placed.join(least, "component").select(
