@@ -69,17 +69,13 @@ def meet(many: DataFrame, few: DataFrame, on: list[str], count: str, total: int,
     fewer than ``keys``, meet a broadcast row, so they are spread as they were
     read. Rows of the other keys meet theirs in whatever join Spark chooses.
     """
+    if total <= keys:  # so there are at most so many keys
+        return many.join(F.broadcast(few), on).drop(count)
     hot = few.where(F.col(count) * keys > total)
     rest = many.join(F.broadcast(hot.select(*on)), on, "left_anti").join(few, on)
     return many.join(F.broadcast(hot), on).unionByName(rest).drop(count)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small or iterated table by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """``df`` with its columns named c0, c1, ... so that no name can clash with an operator's own; and the names that they had."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns

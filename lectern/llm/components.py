@@ -2,8 +2,9 @@
 
 Each round joins every node's smallest neighbour back to its edges, so edges turn
 into stars around the smallest node of each component in a number of rounds that
-grows with the logarithm of the component's size (Kiveris et al., 2014). Nothing
-but one count and one sum per round reaches the driver.
+grows with the logarithm of the component's size (Kiveris et al., 2014). Each
+round is written down; nothing but one count and one sum per round reaches the
+driver.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, meet
+from .common import meet, written
 
 
 def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
@@ -37,12 +38,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     u, v = edges.columns[:2]
     now = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    now, before = cut(now), None
+    now, before = written(now, "edges"), None
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
         before = state
-        now = cut(_star(_star(now, large=True, total=2 * state[0]), large=False, total=state[0]))
+        now = written(_star(_star(now, large=True, total=2 * state[0]), large=False, total=state[0]), "edges")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(now.select("v", "v").distinct())

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, chained, cut, mix, slices, text_of, word_hashes, written
+from .common import WordHash, chained, meet, mix, numbered, slices, text_of, word_hashes, written
 from .components import components
 
 SHINGLE = 5
@@ -129,7 +129,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each multiset as a set of 32-bit hashes of (shingle, occurrence)."""
+    """Each multiset as a set of 64-bit hashes of (shingle, occurrence)."""
     cache = WordHash()
     for batch in slices(batches, 64):
         out = []
@@ -137,14 +137,21 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, counts = shingles(word_hashes(text, cache))
             each = np.repeat(hashes, counts)
             nth = np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
-            out.append(np.unique((mix(each + nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32())), batch.column(2)], names=["node", "elements", "bands"])
+            out.append(np.unique(mix(each + np.uint64(0x9E3779B97F4A7C15) * nth.astype(np.uint64))).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64())), batch.column(2)], names=["node", "elements", "bands"])
 
 
-def _verified(pairs: DataFrame, elements: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose weighted Jaccard similarity is at least ``SIMILARITY``."""
+def _verified(pairs: DataFrame, elements: DataFrame, total: int) -> DataFrame:
+    """The pairs (u, v), at most ``total``, whose weighted Jaccard similarity is at least ``SIMILARITY``.
+
+    v may be in most pairs: its elements then go to as many parts as hold
+    ``CELL_MEMBERS`` pairs each.
+    """
+    counts = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("c")).withColumn("parts", F.ceil(F.col("c") / CELL_MEMBERS).cast("int"))
+    placed = meet(pairs, counts, ["v"], "c", total).withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int")).drop("parts")
     side = lambda c: elements.select(F.col("node").alias(c), F.col("elements").alias(f"e{c}"), F.size("elements").alias(f"n{c}"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v").where(F.least("nu", "nv") >= SIMILARITY * F.greatest("nu", "nv"))
+    pivot = side("v").join(counts.select("v", "parts"), "v").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    both = placed.join(side("u"), "u").join(pivot, ["v", "part"]).where(F.least("nu", "nv") >= SIMILARITY * F.greatest("nu", "nv"))
     shared = F.size(F.array_intersect("eu", "ev"))
     return both.where(shared >= SIMILARITY * (F.col("nu") + F.col("nv") - shared)).select("u", "v")
 
@@ -228,20 +235,21 @@ def _links(members: DataFrame, elements: DataFrame) -> DataFrame:
     Cells give back only links that connect something: fewer than they have
     members.
     """
+    total = members.count()
     pivots = members.groupBy("bucket").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n"))
-    pairs = members.join(pivots, "bucket").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    links = cut(_verified(pairs, elements))
+    pairs = meet(members, pivots, ["bucket"], "n", total).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    links = written(_verified(pairs, elements, total), "links")
     placed = members.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     size = elements.select("node", F.size("elements").alias("size"))
     several = placed.join(size, "node").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     parts = F.greatest(F.ceil(F.col("n") / CELL_MEMBERS), F.ceil(F.col("size") / CELL_ELEMENTS)).cast("int")
-    open_ = several.where("n > 2 and low <> high").select("bucket", parts.alias("parts"))
-    dealt = placed.join(open_, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    open_ = several.where("n > 2 and low <> high").select("bucket", "n", parts.alias("parts"))
+    dealt = meet(placed, open_, ["bucket"], "n", total).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = each.select("bucket", F.least("part", "other").alias("r"), F.greatest("part", "other").alias("c"), "band", "part", "node", "component")
     full = cells.join(elements, "node").select("bucket", "r", "c", "band", "part", "node", "component", "bands", "elements")
     more = full.repartition("bucket", "r", "c").sortWithinPartitions("bucket", "r", "c", "node").mapInArrow(_cells, "u long, v long")
-    return links.union(cut(more))
+    return links.union(written(more, "more-links"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -262,18 +270,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = written(copies.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     banded = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    members = written(banded.join(shared, "bucket"), "members")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = written(meet(banded, shared, ["bucket"], "c", BANDS * classes.count()), "members")
     needed = members.select("node").distinct().join(classes.select("node", F.col("first.doc").alias("d"), F.col("first.th").alias("t"), "bands"), "node")
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(whole).alias("th"), whole.alias("text"))
     found = texts.join(needed, F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("node", "text", "bands")
-    elements = written(found.mapInArrow(_elements, "node long, elements array<int>, bands array<long>").dropDuplicates(["node"]), "elements")
+    elements = written(found.mapInArrow(_elements, "node long, elements array<long>, bands array<long>").dropDuplicates(["node"]), "elements")
 
     component = components(_links(members, elements))
     joined = classes.select("node", "key", "first", "n").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     grouped = joined.groupBy("component").agg(F.min("first").alias("head"), F.sum("n").alias("n_class"))
-    heads = joined.join(grouped, "component").select("key", "head", "n_class")
-    out = rows.drop("bands").join(heads, "key", "left")
+    heads = joined.join(grouped, "component").select("key", "head", "n_class", "n")
+    plain = rows.drop("bands")
+    known = meet(plain.where("key is not null"), heads, ["key"], "n", rows.count())
+    out = known.unionByName(plain.where("key is null"), allowMissingColumns=True)
     return out.select(
         "row", "doc", "th",
         F.when(F.col("head").isNull(), F.col("doc")).otherwise(F.col("head.doc")).alias("class_id"),
@@ -283,14 +293,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class of ``near_duplicates``, all columns as they were."""
-    found = near_duplicates(docs, key, text)
-    lost = written(found.where(~F.col("kept")).select(F.col("doc").alias("__d"), F.col("th").alias("__t")), "lost")
-    kept = found.where("kept").select(F.col("doc").alias("__d"), F.col("th").alias("__t"))
-    repeated = written(lost.join(kept, (lost["__d"].eqNullSafe(kept["__d"])) & (lost["__t"] == kept["__t"]), "left_semi").distinct(), "repeated")
-    marked = docs.withColumn("__own", F.xxhash64(text_of(text)))
-    same = lambda other: F.col(key).cast("long").eqNullSafe(other["__d"]) & (F.col("__own") == other["__t"])
+    """``docs`` with one row of each class of ``near_duplicates``, all columns as they were, whatever their names."""
+    found = near_duplicates(docs, key, text).select("doc", "th", "kept")
+    lost = written(found.where(~F.col("kept")).select("doc", "th"), "lost")
+    kept = found.where("kept").select(F.col("doc").alias("d"), F.col("th").alias("t"))
+    repeated = written(lost.join(kept, lost["doc"].eqNullSafe(kept["d"]) & (lost["th"] == kept["t"]), "left_semi").distinct(), "repeated")
+    rows, names = numbered(docs)
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    marked = rows.withColumn("own", F.xxhash64(text_of(at[text])))
+    same = lambda other: F.col(at[key]).cast("long").eqNullSafe(other["doc"]) & (F.col("own") == other["th"])
     once = marked.join(lost, same(lost), "left_anti")
     if not repeated.isEmpty():  # rows that repeat a kept row's key and text: one of each stays
-        once = once.unionByName(marked.join(repeated, same(repeated), "left_semi").dropDuplicates([key, "__own"]))
-    return once.select(*docs.columns)
+        once = once.unionByName(marked.join(repeated, same(repeated), "left_semi").dropDuplicates([at[key], "own"]))
+    return once.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))

@@ -130,3 +130,15 @@ def test_repeated_rows_null_keys_and_empty_table(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in M.drop_near_duplicates(df).collect()) == [(0, ""), (0, "lone text of its own"), (1, "a b c d e f g"), (2, "q r s")]
     empty = spark.createDataFrame([], DOCS)
     assert M.near_duplicates(empty).collect() == [] and M.drop_near_duplicates(empty).collect() == []
+
+
+def test_clashing_names_and_long_texts(spark):
+    rng = random.Random(4)
+    long = " ".join(rng.choice("abcdefghij") + str(rng.randrange(900)) for _ in range(40_000))
+    rows = [(1, long), (2, long + " tail"), (3, "short and alone"), (4, "short and alone")]
+    names = ["own", "node", "key", "row", "doc", "th", "c0", "C1", "__own", "kept", "head", "component"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(M.F.lit(i).alias(c) for i, c in enumerate(names)))
+    left = M.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    got = left.collect()
+    assert sorted(r.doc_id for r in got) == [1, 3] and {tuple(r[c] for c in names) for r in got} == {tuple(range(len(names)))}
