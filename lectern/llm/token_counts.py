@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, slices
+from .common import scratch_path, slices, written
 from .tokens import encoder
 
 END_OF_DOCUMENT = 50256
 BLOCK_TOKENS = 1 << 20
+#: Files are written with so many documents at most.
+FILE_DOCUMENTS = 200_000
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end: int = END_OF_DOCUMENT, dtype: str = "<u2", text: str = "text") -> str:
@@ -43,7 +45,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end:
 
     separator = np.array([end], dtype=dtype).tobytes().decode("latin-1")
     rows = docs.select(F.col(text).alias("text")).mapInArrow(encoded, "ids binary").select(F.col("ids").cast("string").alias("value"))
-    rows.write.option("encoding", "ISO-8859-1").option("lineSep", separator).text(folder)
+    rows.write.option("encoding", "ISO-8859-1").option("lineSep", separator).option("maxRecordsPerFile", FILE_DOCUMENTS).text(folder)
     return folder
 
 
@@ -75,27 +77,31 @@ def stitch(blocks: DataFrame) -> DataFrame:
     """(file, document, start, n_tokens, closed) from the blocks of ``scan_blocks``, in any order of rows.
 
     A prefix scan gives each block the place after the last separator before it
-    and the number of documents closed by then. The scan's rows are blocks, so a
-    file's group is small. Ids after the last separator of a file are a document
-    that is not closed.
+    and the number of documents closed by then. The scan's rows are blocks with
+    a few numbers each, so a file's group is small; separators' places do not
+    pass through it. Ids after the last separator of a file are a document that
+    is not closed. The blocks are written once, for both uses.
     """
+    blocks = written(blocks, "blocks")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
-    scanned = blocks.select(
+    slim = blocks.select("file", "block", "tokens", F.try_element_at("ends", F.lit(-1)).alias("latest"), F.size("ends").alias("n"))
+    scanned = slim.select(
         "file",
-        "ends",
-        F.coalesce(F.max(F.element_at("ends", F.when(F.size("ends") > 0, -1))).over(earlier) + 1, F.lit(0)).alias("begin"),
-        F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0)).alias("before"),
-        (F.coalesce(F.max(F.element_at("ends", F.when(F.size("ends") > 0, -1))).over(whole) + 1, F.lit(0))).alias("rest"),
+        "block",
+        F.coalesce(F.max("latest").over(earlier) + 1, F.lit(0)).alias("begin"),
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+        F.coalesce(F.max("latest").over(whole) + 1, F.lit(0)).alias("rest"),
         F.sum("tokens").over(whole).alias("length"),
-        F.sum(F.size("ends")).over(whole).alias("documents"),
+        F.sum("n").over(whole).alias("documents"),
         (F.col("block") == F.max("block").over(whole)).alias("last"),
     )
-    starts = F.concat(F.array("begin"), F.transform("ends", lambda x: x + 1))
-    document = lambda at, start, stop, closed: F.struct(at.alias("document"), start.alias("start"), (stop - start).alias("n_tokens"), F.lit(closed).alias("closed"))
-    closed = F.transform("ends", lambda e, i: document(F.col("before") + i, F.get(starts, i), e, True))
-    opened = F.filter(F.array(document(F.col("documents"), F.col("rest"), F.col("length"), False)), lambda x: F.col("last") & (x["n_tokens"] > 0))
-    return scanned.select("file", F.explode(F.concat(closed, opened)).alias("x")).select("file", "x.*")
+    met = blocks.select("file", "block", "ends").join(scanned, ["file", "block"])
+    starts = F.concat(F.array("begin"), F.transform(F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))), lambda x: x + 1))
+    each = met.select("file", "before", F.posexplode(F.arrays_zip(F.when(F.size("ends") > 0, starts).otherwise(F.array().cast("array<long>")).alias("start"), F.col("ends").alias("stop"))).alias("i", "x"))
+    closed = each.select("file", (F.col("before") + F.col("i")).alias("document"), "x.start", (F.col("x.stop") - F.col("x.start")).alias("n_tokens"), F.lit(True).alias("closed"))
+    open_ = scanned.where(F.col("last") & (F.col("length") > F.col("rest")))
+    return closed.unionByName(open_.select("file", F.col("documents").alias("document"), F.col("rest").alias("start"), (F.col("length") - F.col("rest")).alias("n_tokens"), F.lit(False).alias("closed")))
 
 
 def count_tokens(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT, dtype: str = "<u2", block: int = BLOCK_TOKENS) -> DataFrame:

@@ -31,7 +31,7 @@ def test_scan_against_a_plain_loop(spark, tmp_path, block):
 
 
 def test_round_trip_of_documents(spark, tmp_path):
-    texts = ["", None, "a", "<|endoftext|> forged", "naïve \n\n text" * 9, "dup", "dup", "w" * 4000]
+    texts = ["", None, "a", "<|endoftext|> forged", "naïve \n\n text" * 9, "dup", "dup", "w" * 4000, "many words of it " * 30_000]
     df = spark.createDataFrame([(i, t, 3) for i, t in enumerate(texts)], "doc_id long, text string, tokens int").repartition(3)
     folder = T.write_tokens(df, PATH, str(tmp_path / "out"))
     whole = Tokenizer.from_file(PATH)
