@@ -102,7 +102,7 @@ def format_conversations(turns: DataFrame, tokenizer: str, conv: str = "conv_id"
     the other, are its sequence; start is the turn's place in it; mask holds the
     edges [from, to, ...) within the turn of the ids that count for the loss;
     n_chars is the length of the rendered turn. Rows are ordered by turn (null
-    first), ties by role, then text; repeated rows are turns of their own. Null
+    first), ties by a hash of role and text; repeated rows are turns of their own. Null
     roles and texts are empty; a null conversation is one of its own. Other
     columns are not read.
 
@@ -117,14 +117,20 @@ def format_conversations(turns: DataFrame, tokenizer: str, conv: str = "conv_id"
     return dealt.mapInArrow(_splice, "conv long, turn_no long, start long, ids binary, mask array<int>, n_chars long")
 
 
-def read_turn(ids: np.ndarray, pieces: list[bytes]) -> tuple[str, str]:
-    """(role, text) of one turn's ids."""
+def shown_turn(ids: np.ndarray, pieces: list[bytes]) -> tuple[str, str]:
+    """(role, text) of one turn's ids as they are rendered, escapes included."""
     first = len(pieces)
     cuts = np.flatnonzero(ids >= first)
     if ids[cuts].tolist() != [first, first + 1, first + 2] or cuts[0] != 0 or cuts[-1] != len(ids) - 1:
         raise ValueError("not a turn")
-    parts = [b"".join(pieces[i] for i in ids[a + 1 : b]).decode("utf-8", "surrogatepass") for a, b in pairwise(cuts)]
-    return unescape(parts[0]), unescape(parts[1])
+    role, text = (b"".join(pieces[i] for i in ids[a + 1 : b]).decode("utf-8", "surrogatepass") for a, b in pairwise(cuts))
+    return role, text
+
+
+def read_turn(ids: np.ndarray, pieces: list[bytes]) -> tuple[str, str]:
+    """(role, text) of one turn's ids."""
+    role, text = shown_turn(ids, pieces)
+    return unescape(role), unescape(text)
 
 
 def _read(tokenizer: str):
@@ -143,19 +149,20 @@ def _read(tokenizer: str):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(6)], names=names)
 
         for batch in batches:
-            for conv, number, raw, mask, chars in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for conv, number, raw, mask in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if number == 0:
                     if now:
                         done.append(now)
                     now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 ids = np.frombuffer(raw, dtype="<u4")
-                role, text = read_turn(ids, pieces)
+                shown = shown_turn(ids, pieces)
+                role, text = map(unescape, shown)
                 counted = "".join(unescape(b"".join(pieces[i] for i in ids[a:b]).decode("utf-8", "surrogatepass")) for a, b in zip(mask[::2], mask[1::2], strict=True))
                 now[1] += 1
                 now[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 now[3] += len(counted)
                 now[4].update(counted.encode("utf-8", "surrogatepass"))
-                now[5] += chars
+                now[5] += sum(map(len, MARKS)) + sum(map(len, shown))
             if done:
                 yield out()
         if now:
@@ -167,6 +174,6 @@ def _read(tokenizer: str):
 
 def digest(formatted: DataFrame, tokenizer: str) -> DataFrame:
     """One row for each conversation, read back from the ids and masks of ``format_conversations``."""
-    return formatted.select("conv", "turn_no", "ids", "mask", "n_chars").mapInArrow(
+    return formatted.select("conv", "turn_no", "ids", "mask").mapInArrow(
         _read(tokenizer), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )

@@ -36,14 +36,15 @@ def expected(rows):
         turns = sorted([r for r in rows if r[0] == conv], key=lambda r: (r[1] is not None, r[1] or 0, tie(r[2], r[3])))
         whole = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in turns)
         loss = "".join(r[3] or "" for r in turns if r[2] == "assistant")
-        out[conv] = (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        shown = sum(sum(map(len, C.MARKS)) + len(C.escape(r[2] or "")) + len(C.escape(r[3] or "")) for r in turns)
+        out[conv] = (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), shown)
     return out
 
 
 def run(spark, rows):
     df = spark.createDataFrame([(*r, "x") for r in rows], TURNS).repartition(4)
     got = C.digest(C.format_conversations(df, PATH), PATH).collect()
-    return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got}, got
+    return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in got}, got
 
 
 def test_round_trip(spark):
