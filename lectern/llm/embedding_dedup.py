@@ -212,8 +212,8 @@ def compared(classes: DataFrame) -> DataFrame:
     per_table = 1 + min(PROBES, PARTS)
     each = hashed.select("node", "label", "size", F.posexplode("buckets").alias("at", "bucket"))
     placed = each.select("node", "label", "size", F.floor(F.col("at") / per_table).cast("int").alias("tab"), "bucket", (F.col("at") % per_table == 0).alias("home"))
-    sizes = written(placed.groupBy(*place).agg(F.count(F.lit(1)).alias("c"), F.count(F.when(F.col("home"), 1)).alias("homes")).where("c > 1 and homes > 0").drop("homes"), "sizes")
-    total = sizes.agg(F.sum("c")).first()[0] or 0
+    sizes = placed.groupBy(*place).agg(F.count(F.lit(1)).alias("c"), F.count(F.when(F.col("home"), 1)).alias("homes")).where("c > 1 and homes > 0").drop("homes")
+    total = hashed.count() * TABLES * per_table
     parts = F.ceil(F.col("c") / CELL).cast("int")
     rows = meet(placed, sizes.withColumn("parts", parts), place, "c", total).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # rows of each part look into each part: a row goes along its line of the grid, a home row down its column too

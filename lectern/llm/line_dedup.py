@@ -120,11 +120,11 @@ def repeated_places(hashed: DataFrame) -> DataFrame:
     sample = hashed.where(F.pmod(F.xxhash64("doc", "th"), F.lit(SAMPLED)) == 0)
     total = sample.agg(F.sum(F.greatest(F.size("ls") - WINDOW + 1, F.lit(0)).cast("long"))).first()[0] or 0
     often = _places(sample).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where((F.col("c") * HOT_KEYS > total) & (F.col("c") > 2)).select("h")
-    hot = written(often, "hot-windows")  # fewer than HOT_KEYS rows, for their shares add up to one
+    hot = F.broadcast(often)  # fewer than HOT_KEYS rows, for their shares add up to one
     places = _places(hashed)
     whole = Window.partitionBy("h", "g")
-    cold = places.join(F.broadcast(hot), "h", "left_anti").withColumn("c", F.count(F.lit(1)).over(whole)).where("c > 1").withColumn("first", _first().over(whole))
-    burning = places.join(F.broadcast(hot), "h", "left_semi")
+    cold = places.join(hot, "h", "left_anti").withColumn("c", F.count(F.lit(1)).over(whole)).where("c > 1").withColumn("first", _first().over(whole))
+    burning = places.join(hot, "h", "left_semi")
     firsts = burning.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), _first().alias("first"))  # a row for each of ``hot``
     met = cold.unionByName(burning.join(F.broadcast(firsts), ["h", "g"])).where("c > 1")
     own = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("th") == F.col("first.th"))

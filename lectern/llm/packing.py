@@ -152,8 +152,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = END,
     pieces = written(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_cut(tokenizer, capacity, end), _PIECES), "pieces")
     by_task = pieces.where(F.col("length") < capacity).groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = written(by_task.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "offsets")
-    counts = {r["length"]: r["n"] for r in offsets.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # under ``capacity`` rows
+    offsets = by_task.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # under ``capacity`` rows
     runs, _ = best_fit_decreasing(counts, capacity)
     by_length: dict[int, list[Run]] = defaultdict(list)
     for run in runs:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import numbered, slices, text_of, written
+from .common import meet, numbered, slices, text_of, written
 
 #: The classifier is fitted on at most so many labelled rows (those of the smallest hashes), and weighs at most so many words.
 SAMPLE_ROWS = 8000
@@ -227,7 +227,7 @@ def site_sums(scored: DataFrame) -> tuple[DataFrame, Prior]:
     """
     e = _evidence()
     paths = written(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(e).alias("s"), F.sum(e * e).alias("q")), "paths")
-    hosts = written(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("q").alias("hq"), F.count(F.lit(1)).alias("paths"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between")), "hosts")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("q").alias("hq"), F.count(F.lit(1)).alias("paths"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"))
     t = hosts.agg(
         F.sum("hn"), F.sum("hs"), F.sum("hq"), F.count(F.lit(1)), F.sum(F.col("hs") * F.col("hs") / F.col("hn")), F.sum("paths"), F.sum("between")
     ).first()
@@ -270,12 +270,9 @@ def _judged(docs: DataFrame, labels: DataFrame, key: str, text: str, host: str,
     at = {c: f"c{i}" for i, c in enumerate(names)}
     where = [_site(at[host]).alias("host"), _site(at[path]).alias("path")]
     sites, prior = site_sums(_scored(rows.select(F.col(at[text]), *where), model, at[text]))
-    sites = written(sites, "sites")
-    hot = sites.where(F.col("n") * HOT_SITES > prior.documents)  # fewer than HOT_SITES rows, for their shares add up to one
     picked = [c for c in rows.columns if keep_text or c in (at[key], at[text])]
-    placed = rows.select(*picked, *where)
-    both = ["host", "path"]
-    met = placed.join(F.broadcast(hot), both).unionByName(placed.join(F.broadcast(hot), both, "left_anti").join(sites, both)).drop(*both)
+    placed, both = rows.select(*picked, *where), ["host", "path"]
+    met = meet(placed, sites.withColumn("c", F.col("n")), both, "c", prior.documents, HOT_SITES).drop(*both)
     return with_posterior(_scored(met, model, at[text], keep_text), prior), names
 
 

@@ -96,8 +96,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: t
     )
     values = rows.select("__row", "repo", "own", F.explode(F.concat("base", "other")).alias("s")).select("__row", "repo", "own", "s", F.col("s.h").alias("h"))
     sums = values.groupBy("h", "own", "repo").agg(F.count(F.lit(1)).alias("n"))
-    spread = written(sums.groupBy("h").agg(F.sum("n").alias("n"), F.count_distinct("own").alias("owners"), F.count_distinct("repo").alias("repos")), "spread")
-    total = spread.agg(F.sum("n")).first()[0] or 0
+    spread = sums.groupBy("h").agg(F.sum("n").alias("n"), F.count_distinct("own").alias("owners"), F.count_distinct("repo").alias("repos"))
+    total = rows.agg(F.sum(F.size("base") + F.size("other"))).first()[0] or 0
     met = meet(values.select("__row", "s", "h"), spread, ["h"], "n", total)
     example = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repos") >= EXAMPLE_REPOSITORIES)
     classed = met.withColumn("class", F.when(example, "example").when(F.col("owners") == 1, "live").otherwise("shared"))

@@ -77,7 +77,7 @@ def check(rows, texts, capacity):
 def test_documents(spark):
     rng = random.Random(3)
     texts = {i: " ".join(rng.choice(["alpha", "béta", "gam\nma", "12", "?!", "<|endoftext|>"]) for _ in range(rng.randint(0, 60))) for i in range(150)}
-    texts |= {1000: None, 1001: "", 1002: "long " * 900}
+    texts |= {1000: None, 1001: "", 1002: "long " * 900, 1003: "a very long one " * 30_000}
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in texts.items()], "doc_id long, text string, piece int, ids string").repartition(5)
     rows = P.pack(df, PATH, capacity=64).collect()
     check(rows, texts, 64)
@@ -97,9 +97,25 @@ def test_fast_coder_is_the_tokenizer(spark):
     whole = Tokenizer.from_file(PATH)
     texts = ["", " ", "a  b\n\n c\t", "naïve Straße　漢字 \U0001f600‍", "it's 1234 <|endoftext|> x", "x" * 3000, "\r\n" * 40, "á \x00 end "]
     texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    texts += ["many words of it " * 30_000]
     encode = encoder(PATH)
     bytes_of = pieces_of(PATH)
     for t in texts:
         ids = whole.encode(t, add_special_tokens=False).ids
         assert encode(t).tolist() == ids
         assert b"".join(bytes_of[i] for i in ids).decode() == t
+
+
+def test_fast_coder_is_the_tokenizer_on_every_text(spark):
+    """All 10,000 documents of the largest given table, ids by both coders."""
+
+    def differ(batches):
+        import pyarrow as pa
+
+        whole, encode = Tokenizer.from_file(PATH), encoder(PATH)
+        for batch in batches:
+            out = [d for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if encode(t or "").tolist() != whole.encode(t or "", add_special_tokens=False).ids]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["doc_id"])
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    assert docs.repartition(8).mapInArrow(differ, "doc_id long").collect() == []

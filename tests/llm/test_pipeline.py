@@ -75,6 +75,25 @@ def test_run_gives_the_last_stage(spark, folder):
     assert total and max(r[1] for r in total) <= 1024
 
 
+def test_nulls_repeats_long_texts_and_clashing_names(spark, folder, tmp_path):
+    """Every stage gets nulls in all columns, repeated rows, a long text and columns by the operators' own names."""
+    at, texts, _ = folder
+    names = ["own", "doc", "th", "row", "key", "node", "site", "good", "toxic", "n", "c0", "hits", "__own", "gone"]
+    long = " ".join(f"w{i}" for i in range(40_000))
+    rows = [(None, None, None, None, None), (None, None, None, None, None), (1, "", "en", "s1", 0), (2, long, None, "s2", len(long)), (2, long, None, "s2", len(long)), (3, " \n ", "en", None, 3), (4, "one", "en", "s1", None), (None, texts[5], "en", "s1", 9), (6, texts[6], "en", "s1", 9)]
+    docs = spark.createDataFrame(rows, DOCS).select("*", *(P.F.lit(i).alias(c) for i, c in enumerate(names)))
+    for k, (name, stage) in enumerate(P.STAGES):
+        out = stage(spark, docs, at)
+        out.write.parquet(f"{tmp_path}/{k}")
+        kept = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            assert out.columns == docs.columns, name
+            assert {tuple(r[c] for c in names) for r in kept.collect()} <= {tuple(range(len(names)))}
+            docs = kept
+    ids = {r.doc_id for r in kept.collect()}
+    assert {1, 2, 3, 4, 6} >= ids - {None} >= {6} and None in ids
+
+
 def test_empty_documents(spark, folder, tmp_path):
     docs = spark.createDataFrame([], DOCS)
     for _, stage in P.STAGES:

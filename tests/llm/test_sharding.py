@@ -33,7 +33,7 @@ def test_one_more_shard_takes_rows_only_into_itself_and_sizes_are_even(spark):
 
 
 def test_documents_with_nulls_repeats_and_clashing_columns(spark):
-    rows = [(1, "abc", "x"), (1, "abc", "x"), (None, None, None), (2, "", "y"), (3, "é" * 5, "z"), *[(i, "t", "") for i in range(10, 90)]]
+    rows = [(1, "abc", "x"), (1, "abc", "x"), (None, None, None), (2, "", "y"), (3, "é" * 5, "z"), (4, "many words " * 40_000, "z"), *[(i, "t", "") for i in range(10, 90)]]
     got = sharding.shard_documents(spark.createDataFrame(rows, DOCS).repartition(5), 8).collect()
     assert len(got) == len(rows)
     by_shard = {}
