@@ -10,21 +10,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import unordered_bigrams
+from .text import bound, unordered_bigrams
 
 UNKNOWN_IDF = 0.1
 
 
 def binary_cosine(a: Column, b: Column) -> Column:
     """Shared distinct tokens over the root of the product of the sets' sizes; 0 for an empty side."""
-    na, nb = F.size(F.array_distinct(a)), F.size(F.array_distinct(b))
-    return F.when((na > 0) & (nb > 0), F.size(F.array_intersect(a, b)) / F.sqrt(na.cast("double") * nb)).otherwise(0.0)
+
+    def cosine(s: Column) -> Column:
+        na, nb = F.size(F.array_distinct(s["a"])), F.size(F.array_distinct(s["b"]))
+        return F.when((na > 0) & (nb > 0), F.size(F.array_intersect(s["a"], s["b"])) / F.sqrt(na.cast("double") * nb)).otherwise(0.0)
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), cosine)
 
 
 def overlap(a: Column, b: Column) -> Column:
     """Jaccard overlap of the distinct tokens; 0 for two empty sides."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+
+    def share(s: Column) -> Column:
+        common, both = F.size(F.array_intersect(s["a"], s["b"])), F.size(F.array_union(s["a"], s["b"]))
+        return F.when(both > 0, common / both).otherwise(0.0)
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), share)
 
 
 def bigram_overlap(a: Column, b: Column) -> Column:
@@ -60,23 +68,76 @@ def idf_cosine(pairs: DataFrame, tokens: DataFrame, idf: DataFrame, keys: tuple[
     return out.withColumn("cosine", cosine).drop("dot", "na", "nb")
 
 
+def feature_vectors(a: Column, b: Column, how: str = "binary", idf: Column | None = None) -> Column:
+    """(x, y): the vectors of two token arrays over their common, sorted feature space.
+
+    how: "binary", "freq", or "tfidf", where ``idf`` is a map from words to
+    weights and words that it lacks weigh 0.
+    """
+
+    def vectors(s: Column) -> Column:
+        space = F.array_sort(F.array_union(s["a"], s["b"]))
+
+        def entry(tokens: Column, w: Column) -> Column:
+            if how == "binary":
+                return F.array_contains(tokens, w).cast("double")
+            count = F.size(F.filter(tokens, lambda t: t == w)).cast("double")
+            return count if idf is None else count * F.coalesce(F.try_element_at(s["idf"], w), F.lit(0.0))
+
+        def side(tokens: Column) -> Column:
+            return bound(space, lambda f: F.transform(f, lambda w: entry(tokens, w)))
+
+        return F.struct(side(s["a"]).alias("x"), side(s["b"]).alias("y"))
+
+    if how not in ("binary", "freq", "tfidf") or (how == "tfidf") != (idf is not None):
+        raise ValueError("binary, freq, or tfidf with an idf map")
+    return bound(F.struct(a.alias("a"), b.alias("b"), *([idf.alias("idf")] if idf is not None else [])), vectors)
+
+
+def vector_cosine(x: Column, y: Column) -> Column:
+    """The cosine of two vectors of one length; where a norm is 0, the dot product over 0.00001."""
+
+    def cosine(s: Column) -> Column:
+        total = lambda v: F.aggregate(v, F.lit(0.0), lambda t, e: t + e)
+        dot = total(F.zip_with(s["x"], s["y"], lambda p, q: p * q))
+        below = F.sqrt(total(F.transform(s["x"], lambda p: p * p))) * F.sqrt(total(F.transform(s["y"], lambda p: p * p)))
+        return dot / F.when(below > 0, below).otherwise(0.00001)
+
+    return bound(F.struct(x.alias("x"), y.alias("y")), cosine)
+
+
 def lcs_length(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b):
-            diagonal, row[j + 1] = row[j + 1], diagonal + 1 if x == y else max(row[j + 1], row[j])
-    return row[-1]
+    """Length of the longest common subsequence, a row of the table as the bits of one number (Hyyro, 2004)."""
+    if len(a) > len(b):
+        a, b = b, a
+    where: dict[str, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        met = row & where.get(y, 0)
+        row = ((row + met) | (row - met)) & full
+    return len(a) - row.bit_count()
 
 
 def edit_distance(a: list[str], b: list[str]) -> int:
-    """Insertions, deletions and substitutions of tokens, one each."""
-    row = list(range(len(b) + 1))
+    """Insertions, deletions and substitutions of tokens, one each; columns of differences as bits of two numbers (Myers, 1999)."""
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict[str, int] = {}
     for i, x in enumerate(a):
-        diagonal, row[0] = row[0], i + 1
-        for j, y in enumerate(b):
-            diagonal, row[j + 1] = row[j + 1], min(diagonal + (x != y), row[j] + 1, row[j + 1] + 1)
-    return row[-1]
+        where[x] = where.get(x, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, cost = full, 0, len(a)
+    for y in b:
+        same = where.get(y, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right, left = down | ~(diagonal | up) & full, up & diagonal
+        cost += bool(right & last) - bool(left & last)
+        right, left = (right << 1 | 1) & full, left << 1 & full
+        up, down = left | ~(diagonal | right) & full, right & diagonal
+    return cost
 
 
 def script_lcs(a: list[str], b: list[str]) -> float:

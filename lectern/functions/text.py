@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,21 @@ ABBREVIATIONS = ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Sen.", "Rep.", "Gov.", "
 VALID_WORDS = (10, 55)
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once: inside a lambda the expression of a column would run again for each element."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def digits(*parts: Column) -> Column:
+    """The first eight hexadecimal digits of an MD5 of the parts joined by colons, as a number: the same in every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("long")
+
+
+def uniform(*parts: Column) -> Column:
+    """A number in [0, 1) that depends on the parts alone."""
+    return digits(*parts) / float(1 << 32)
+
+
 def split_words(text: Column) -> Column:
     """The tokens of a text, as they are written; null for null."""
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
@@ -62,8 +78,25 @@ def truncate_words(tokens: Column, n: int) -> Column:
 
 
 def truncate_bytes(text: Column, n: int) -> Column:
-    """The first n characters (bytes, for ASCII texts)."""
-    return F.substring(text, 1, n)
+    """The first n bytes (UTF-8); a character that would be cut is left out."""
+    whole = text.cast("binary")
+    tries = (F.try_validate_utf8(F.substring(whole, 1, max(0, n - k)).cast("string")) for k in range(4))
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.coalesce(*tries))
+
+
+def truncate_sentences(sentences: Column, n: int) -> Column:
+    """Sentences joined by spaces until their bytes, spaces not counted, reach n; the one that reaches it is cut."""
+
+    def add(s: Column, x: Column) -> Column:
+        size = F.octet_length(x)
+        text = F.when(s["used"] > 0, F.concat(s["text"], F.lit(" "))).otherwise(s["text"])
+        fits = s["used"] + size < n
+        cut = F.coalesce(*(F.try_validate_utf8(F.substring(x.cast("binary"), F.lit(1), F.greatest(F.lit(n) - s["used"] - k, F.lit(0))).cast("string")) for k in range(4)))
+        one = lambda t, used, stop: F.struct(t.alias("text"), used.alias("used"), F.lit(stop).alias("stop"))
+        return F.when(s["stop"], s).when(fits, one(F.concat(text, x), s["used"] + size, False)).otherwise(one(F.concat(text, cut), F.lit(n), True))
+
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("used"), F.lit(False).alias("stop"))
+    return F.aggregate(sentences, start, add, lambda s: s["text"])
 
 
 def drop_stopwords(tokens: Column, stopwords: Column) -> Column:
@@ -71,25 +104,40 @@ def drop_stopwords(tokens: Column, stopwords: Column) -> Column:
     return F.filter(tokens, lambda t: ~F.array_contains(stopwords, t))
 
 
+def cut_stopwords(text: Column, stopwords: list[str]) -> Column:
+    """A text in which each stop word between white space, in any case, has become one space, word by word in the given order."""
+    for word in stopwords:
+        text = F.regexp_replace(text, r"(?i)\s+" + re.escape(word) + r"\s+", " ")
+    return text
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Word n-grams in order, joined by spaces; none if there are fewer than n tokens."""
-    grams = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+    if n == 1:
+        return tokens
+    grams = lambda ts: F.transform(F.sequence(F.lit(0), F.size(ts) - n), lambda i: F.array_join(F.slice(ts, i + 1, n), " "))
+    return bound(tokens, lambda ts: F.when(F.size(ts) >= n, grams(ts)).otherwise(F.array().cast("array<string>")))
 
 
 def skip_bigrams(tokens: Column, gap: int = 4, unigrams: bool = False) -> Column:
     """Pairs of tokens in order with at most ``gap`` between them (negative: any), and with ``unigrams`` the tokens too."""
-    reach = F.size(tokens) if gap < 0 else F.lit(gap + 1)
-    pairs = F.flatten(
-        F.transform(tokens, lambda t, i: F.transform(F.slice(tokens, i + 2, reach), lambda u: F.concat_ws(" ", t, u)))
-    )
-    return F.concat(pairs, tokens) if unigrams else pairs
+
+    def pairs(ts: Column) -> Column:
+        reach = F.size(ts) if gap < 0 else F.lit(gap + 1)
+        found = F.flatten(F.transform(ts, lambda t, i: F.transform(F.slice(ts, i + 2, reach), lambda u: F.concat_ws(" ", t, u))))
+        return F.concat(found, ts) if unigrams else found
+
+    return bound(tokens, pairs)
 
 
 def unordered_bigrams(tokens: Column) -> Column:
     """Neighbouring tokens as smaller#larger."""
-    pairs = F.transform(F.sequence(F.lit(0), F.size(tokens) - 2), lambda i: F.concat_ws("#", F.least(F.get(tokens, i), F.get(tokens, i + 1)), F.greatest(F.get(tokens, i), F.get(tokens, i + 1))))
-    return F.when(F.size(tokens) >= 2, pairs).otherwise(F.array().cast("array<string>"))
+
+    def pair(ts: Column, i: Column) -> Column:
+        return F.concat_ws("#", F.least(F.get(ts, i), F.get(ts, i + 1)), F.greatest(F.get(ts, i), F.get(ts, i + 1)))
+
+    none = F.array().cast("array<string>")
+    return bound(tokens, lambda ts: F.when(F.size(ts) >= 2, F.transform(F.sequence(F.lit(0), F.size(ts) - 2), lambda i: pair(ts, i))).otherwise(none))
 
 
 def basic_element(head: Column, modifier: Column, relation: Column, kind: str) -> Column:

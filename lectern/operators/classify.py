@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import uniform
+
 #: The defaults: Centroid and Position count alike, sentences of under 9 words score 0.
 WEIGHTS = {"Centroid": 1.0, "Position": 1.0}
 LENGTH_CUTOFF = 9
@@ -32,7 +34,7 @@ def lead(cutoff: int = LENGTH_CUTOFF) -> Column:
 
 def random_score(seed: int = 0) -> Column:
     """A score in [0, 1) that depends on (did, sno) and the seed alone."""
-    return F.pmod(F.xxhash64("did", "sno", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return uniform(F.col("did"), F.col("sno"), F.lit(seed))
 
 
 def score(features: DataFrame, classifier: Column) -> DataFrame:

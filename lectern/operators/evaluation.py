@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 
 def extract_scores(a: DataFrame, b: DataFrame, weight: str | None = None) -> DataFrame:
     """(cluster, precision, recall) of the extract ``a`` against ``b``, sets of (cluster, did, sno); weighted by a column of both if named."""
@@ -19,7 +21,7 @@ def extract_scores(a: DataFrame, b: DataFrame, weight: str | None = None) -> Dat
 
 def judge_table(items: DataFrame, judges: DataFrame, chosen: DataFrame) -> DataFrame:
     """(item, judge, category): 1 for what a judge chose (item, judge), 0 for the other items. ``judges`` is a short list."""
-    every = items.select("item").distinct().join(F.broadcast(judges.select("judge").distinct()))  # judges are few
+    every = items.select("item").distinct().join(judges.select("judge").distinct(), how="cross")  # every item by every judge is the result
     marked = chosen.select("item", "judge").distinct().withColumn("category", F.lit(1))
     return every.join(marked, ["item", "judge"], "left").withColumn("category", F.coalesce("category", F.lit(0)))
 
@@ -91,10 +93,19 @@ def pearson(a: DataFrame, b: DataFrame, key: str = "did", value: str = "score")
 
 
 def _average_rank(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Ranks by falling value, ties with the mean of theirs, from the counts of equal values."""
+    """Ranks by falling value, ties with the mean of theirs, from the counts of equal values.
+
+    Distinct values are dealt by range and written down, so that each part's
+    place among the parts is known; a part's rank starts where the sums of the
+    parts before it end, and no task sees all values.
+    """
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each distinct value
-    return df.join(counts.select(F.col(value), (before + (F.col("c") + 1) / 2).alias(name)), value).select(key, name)
+    parts = checkpointed(counts.repartitionByRange(F.desc(value)).select(value, "c", F.spark_partition_id().alias("part")))
+    sums = parts.groupBy("part").agg(F.sum("c").alias("s"))
+    begin = sums.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))  # one row for each part
+    within = F.coalesce(F.sum("c").over(Window.partitionBy("part").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = parts.join(begin, "part").select(F.col(value), (F.col("begin") + within + (F.col("c") + 1) / 2).alias(name))
+    return df.join(ranked, value).select(key, name)
 
 
 def spearman(a: DataFrame, b: DataFrame, key: str = "did", value: str = "score") -> DataFrame:

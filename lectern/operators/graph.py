@@ -7,6 +7,7 @@ for each cluster) are walked side by side in numpy, one group for each graph.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -16,10 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in ``spark.checkpoint.dir``; only a session of one machine may do without that setting."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))  # unset in tests alone
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-"))
     return df.checkpoint(eager=True)
 
 
@@ -44,16 +49,16 @@ def pagerank(edges: DataFrame, nodes: DataFrame, teleport: float = 0.15, toleran
     """
     total = nodes.agg(F.sum("prior")).first()[0] or 1.0
     prior = nodes.select("id", (F.col("prior") / total).alias("r"))
-    links = _cut(normalized_edges(edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")))
-    sinks = _cut(prior.join(links.select(F.col("src").alias("id")).distinct(), "id", "left_anti"))
-    now = _cut(prior.withColumn("rank", F.col("r")))
+    links = checkpointed(normalized_edges(edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")))
+    sinks = checkpointed(prior.join(links.select(F.col("src").alias("id")).distinct(), "id", "left_anti"))
+    now = checkpointed(prior.withColumn("rank", F.col("r")))
     for step in range(1, iterations + 1):
         lost = now.join(sinks.select("id"), "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         into = links.join(now.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
         new = now.select("id", "r", F.col("rank").alias("old")).join(into, "id", "left").join(F.broadcast(lost))  # one row
         new = new.select("id", "r", "old", (F.lit(teleport) * F.col("r") + (1 - teleport) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("r"))).alias("rank"))
         if step % checkpoint_every == 0 or tolerance is not None:
-            new = _cut(new)
+            new = checkpointed(new)
         moved = tolerance is not None and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
         now = new.drop("old")
         if tolerance is not None and moved < tolerance:
@@ -84,6 +89,26 @@ def walk_pagerank(w: np.ndarray, prior: np.ndarray, teleport: float = 0.15, tole
     return rank
 
 
+def walk_watched(w: np.ndarray, prior: np.ndarray, follow: float = 0.85, threshold: float = 1e-3, most: int = 10_000) -> np.ndarray:
+    """PageRank over links without weights, by the node with most out-links (the first of equals).
+
+    Nodes without out-links spread their mass evenly. It stops at the step in
+    which the watched node moves by less than ``threshold``, with the ranks
+    before that step.
+    """
+    n = len(prior)
+    links = w > 0
+    degree = links.sum(1)
+    watched, rank = int(np.argmax(degree)), np.full(n, 1.0 / n)
+    for _ in range(most):
+        passed = np.where(degree > 0, rank / np.maximum(degree, 1), 0.0)
+        new = (1 - follow) / n + follow * (rank[degree == 0].sum() / n + passed @ links)
+        if abs(new[watched] - rank[watched]) < threshold:
+            break
+        rank = new
+    return rank
+
+
 def walk_divrank(w: np.ndarray, prior: np.ndarray, teleport: float = 0.1, alpha: float = 0.25, tolerance: float = 1e-3, most: int = 1000, cumulative: bool = False) -> np.ndarray:
     """A vertex-reinforced walk: steps go to nodes by how much they were visited; with probability 1 - alpha a node keeps to itself.
 

@@ -57,5 +57,5 @@ def summary_scores(peers: DataFrame, models: DataFrame, links: DataFrame) -> Dat
 def class_distances(edges: DataFrame, training: DataFrame, test: DataFrame) -> DataFrame:
     """(doc, grp, value): each test document against the merged graph of each class of the training documents (doc, grp)."""
     classes = merge(edges, training)
-    pairs = test.select(F.col("doc").alias("x")).join(F.broadcast(training.select(F.col("grp").alias("y")).distinct()))  # classes are few
+    pairs = test.select(F.col("doc").alias("x")).join(training.select(F.col("grp").alias("y")).distinct(), how="cross")  # each test document by each class is the result
     return compare(edges, classes, pairs).select(F.col("x").alias("doc"), F.col("y").alias("grp"), "value")

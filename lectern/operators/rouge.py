@@ -1,16 +1,67 @@
 """ROUGE: n-grams, skip bigrams, basic elements, longest common subsequences.
 
 ``peers`` is (eval, peer, text), ``models`` (eval, model, text). Counting metrics
-are native joins on (eval, gram); the sequence metrics are kernels over pairs.
+are native joins on (eval, gram); the sequence metrics are tables of dynamic
+programs over many pairs of sentences at once.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams, rouge_tokens, skip_bigrams
+from ..functions.text import Porter, drop_stopwords, ngrams, rouge_tokens, skip_bigrams, truncate_sentences, uniform
+
+
+@dataclass(frozen=True)
+class Options:
+    """What happens to a text before its units are counted.
+
+    stem: Porter stems of tokens of over three characters, an exception's base
+    first. words, chars (bytes): a limit; sentences are lines.
+    """
+
+    stem: bool = False
+    exceptions: tuple[tuple[str, str], ...] = ()
+    stopwords: tuple[str, ...] = ()
+    words: int | None = None
+    bytes: int | None = None
+
+
+def stemmed(tokens: Column, exceptions: dict[str, str] | None = None) -> Column:
+    """Each token's stem."""
+
+    class Stems(dict):
+        def __missing__(self, word: str) -> str:
+            self[word] = (exceptions or {}).get(word) or Porter.stem(word) if len(word) > 3 else word
+            return self[word]
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            known = Stems()
+            yield batch.map(lambda ws: None if ws is None else [known[w] for w in ws])
+
+    return run(tokens)
+
+
+def prepared(text: Column, options: Options | None = None) -> Column:
+    """The tokens of a text under the options."""
+    o = options or Options()
+    if o.words is not None:
+        text = F.array_join(F.slice(F.filter(F.split(text, r"\s+"), lambda w: w != ""), 1, o.words), " ")
+    if o.bytes is not None:
+        text = truncate_sentences(F.split(text, "\n"), o.bytes)
+    tokens = rouge_tokens(text)
+    if o.stopwords:
+        tokens = drop_stopwords(tokens, F.array(*map(F.lit, o.stopwords)))
+    return stemmed(tokens, dict(o.exceptions)) if o.stem else tokens
 
 
 def precision_recall_f(hits: Column, peer: Column, model: Column, alpha: float = 0.5) -> tuple[Column, Column, Column]:
@@ -20,27 +71,32 @@ def precision_recall_f(hits: Column, peer: Column, model: Column, alpha: float =
     return r, p, F.when(below > 0, r * p / below).otherwise(0.0)
 
 
-def grams_of(text: Column, metric: str) -> Column:
+def grams_of(tokens: Column, metric: str) -> Column:
     """The units that a metric counts: "1".."9" n-grams, "S4" / "SU4" skip bigrams (negative gap: any)."""
-    tokens = rouge_tokens(text)
     if metric.startswith("S"):
         return skip_bigrams(tokens, int(metric.lstrip("SU")), metric.startswith("SU"))
     return ngrams(tokens, int(metric))
 
 
-def pair_counts(peers: DataFrame, models: DataFrame, metric: str, jackknife: bool = False) -> DataFrame:
+def pair_counts(peers: DataFrame, models: DataFrame, metric: str, jackknife: bool = False, options: Options | None = None) -> DataFrame:
     """(eval, peer, model, hits, n_peer, n_model): clipped hits of each peer with each model.
 
-    jackknife leaves out the model with the peer's own name.
+    jackknife leaves out the model with the peer's own name. A side is one table
+    of its units' counts; sizes are sums over it.
     """
-    counted = lambda df, who: df.select("eval", who, F.explode(grams_of(F.col("text"), metric)).alias("g")).groupBy("eval", who, "g").agg(F.count(F.lit(1)).alias("c"))
-    size = lambda df, who, name: df.select("eval", who, F.size(grams_of(F.col("text"), metric)).alias(name))
-    p, m = counted(peers, "peer"), counted(models, "model").withColumnRenamed("c", "d")
-    hits = p.join(m, ["eval", "g"]).groupBy("eval", "peer", "model").agg(F.sum(F.least("c", "d")).alias("hits"))
-    pairs = size(peers, "peer", "n_peer").join(size(models, "model", "n_model"), "eval")
+
+    def counted(df: DataFrame, who: str, name: str, c: str) -> DataFrame:
+        rows = df.select("eval", who, grams_of(prepared(F.col("text"), options), metric).alias("gs")).select("eval", who, F.size("gs").alias(name), F.explode_outer("gs").alias("g"))
+        return rows.groupBy("eval", who, name, "g").agg(F.count(F.lit(1)).alias(c))
+
+    p, m = counted(peers, "peer", "n_peer", "c"), counted(models, "model", "n_model", "d")
+    hits = p.where("g is not null").join(m.select("eval", "model", "g", "d"), ["eval", "g"]).groupBy("eval", "peer", "model").agg(F.sum(F.least("c", "d")).alias("hits"))
+    size = lambda df, who, name: df.groupBy("eval", who).agg(F.max(name).alias(name))
+    pairs = size(p, "peer", "n_peer").join(size(m, "model", "n_model"), "eval")
     if jackknife:
         pairs = pairs.where("peer <> model")
-    return pairs.join(hits, ["eval", "peer", "model"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    out = pairs.join(hits, ["eval", "peer", "model"], "left")
+    return out.select("eval", "peer", "model", F.coalesce("hits", F.lit(0)).alias("hits"), F.greatest("n_peer", F.lit(0)).alias("n_peer"), F.greatest("n_model", F.lit(0)).alias("n_model"))
 
 
 def over_models(pairs: DataFrame, mode: str = "A", alpha: float = 0.5) -> DataFrame:
@@ -55,11 +111,11 @@ def over_models(pairs: DataFrame, mode: str = "A", alpha: float = 0.5) -> DataFr
     return one.select("eval", "peer", "hits", "n_peer", "n_model", r.alias("r"), p.alias("p"), f.alias("f"))
 
 
-def score(peers: DataFrame, models: DataFrame, metrics: tuple[str, ...] = ("1",), mode: str = "A", alpha: float = 0.5, jackknife: bool = False) -> DataFrame:
+def score(peers: DataFrame, models: DataFrame, metrics: tuple[str, ...] = ("1",), mode: str = "A", alpha: float = 0.5, jackknife: bool = False, options: Options | None = None) -> DataFrame:
     """(metric, eval, peer, hits, n_peer, n_model, r, p, f) for several counting metrics."""
     out: DataFrame | None = None
     for metric in metrics:
-        one = over_models(pair_counts(peers, models, metric, jackknife), mode, alpha).withColumn("metric", F.lit(metric))
+        one = over_models(pair_counts(peers, models, metric, jackknife, options), mode, alpha).withColumn("metric", F.lit(metric))
         out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("no metrics")
@@ -85,7 +141,7 @@ def bootstrap(scores: DataFrame, resamples: int = 1000, confidence: float = 0.95
     second pass, whose draws do not depend on partitions.
     """
     draws = scores.select(*by, "eval", F.col(value).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("s"))
-    u = F.pmod(F.xxhash64("eval", "s", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    u = uniform(F.col("eval"), F.col("s"), F.lit(seed))
     limits = [0.36787944117, 0.73575888234, 0.9196986029, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885, 0.99998975079]
     times = sum((F.when(u >= x, 1).otherwise(0) for x in limits), F.lit(0))
     means = draws.withColumn("k", times).groupBy(*by, "s").agg(F.try_divide(F.sum(F.col("k") * F.col("v")), F.sum("k")).alias("m"))  # a resample without rows has no mean
@@ -102,58 +158,96 @@ def basic_elements(peers: DataFrame, models: DataFrame, alpha: float = 0.5) -> D
     return over_models(size.join(hits, ["eval", "peer", "model"], "left").withColumn("hits", F.coalesce("hits", F.lit(0))), "A", alpha)
 
 
-def _matched(a: list[str], b: list[str], power: float) -> tuple[list[int], float]:
-    """Places of ``a`` on a (weighted) longest common subsequence with ``b``, and its weight; ties go up."""
-    m, n = len(a), len(b)
-    best = [[0.0] * (n + 1) for _ in range(m + 1)]
-    run = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            if a[i - 1] == b[j - 1]:
-                k = run[i - 1][j - 1]
-                best[i][j] = best[i - 1][j - 1] + (k + 1) ** power - k**power
-                run[i][j] = k + 1
-            else:
-                best[i][j] = max(best[i - 1][j], best[i][j - 1])
-    i, j, places = m, n, []
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            places.append(i - 1)
-            i, j = i - 1, j - 1
-        elif best[i - 1][j] >= best[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    return places[::-1], best[m][n]
-
-
-def union_lcs(model: list[list[str]], peer: list[list[str]], power: float = 1.0) -> float:
-    """Over the model's sentences, what the union of their subsequences with all peer sentences covers.
+#: A table of one pair has a byte for each cell; pairs go through together up to so many cells.
+TABLE_CELLS = 8_000_000
+
+
+def _places(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, power: float) -> np.ndarray:
+    """Which places of each row of ``a`` lie on a (weighted) longest common subsequence with its row of ``b``; ties go up.
+
+    Rows are token numbers, padded to one width with numbers that equal nothing.
+    Runs of neighbouring places weigh by their length to the power.
+    """
+    many, m = a.shape
+    n = b.shape[1]
+    gain = np.diff(np.arange(min(m, n) + 2, dtype=float) ** power)
+    turn = np.zeros((m, n, many), dtype=np.uint8)  # 0: both step back, 1: up, 2: left
+    best, run = np.zeros((n + 1, many)), np.zeros((n + 1, many), dtype=np.int32)
+    for i in range(m):
+        corner, corner_run = best[0].copy(), run[0].copy()
+        for j in range(n):
+            same = a[:, i] == b[:, j]
+            up, left = best[j + 1], best[j]
+            new = np.where(same, corner + gain[corner_run], np.maximum(up, left))
+            turn[i, j] = np.where(same, 0, np.where(up >= left, 1, 2))
+            new_run = np.where(same, corner_run + 1, 0)
+            corner, corner_run = up.copy(), run[j + 1].copy()
+            best[j + 1], run[j + 1] = new, new_run
+    out, rows = np.zeros((many, m), dtype=bool), np.arange(many)
+    i, j = la.copy(), lb.copy()
+    while len(rows := rows[(i[rows] > 0) & (j[rows] > 0)]):
+        step = turn[i[rows] - 1, j[rows] - 1, rows]
+        both = rows[step == 0]
+        out[both, i[both] - 1] = True
+        i[rows[step != 2]] -= 1
+        j[rows[step != 1]] -= 1
+    return out
+
+
+def _union_places(pairs: list[tuple[list[str], list[list[str]]]], power: float) -> list[np.ndarray]:
+    """For each (sentence, other text) the places of the sentence on a subsequence with any of the other's sentences."""
+    out = [np.zeros(len(sentence), dtype=bool) for sentence, _ in pairs]
+    number: dict[str, int] = {}
+    code = lambda ws: np.array([number.setdefault(w, len(number)) for w in ws], dtype=np.int64)
+    jobs = []
+    for k, (sentence, others) in enumerate(pairs):
+        words, mine = set(sentence), code(sentence)
+        jobs += [(k, mine, code(o)) for o in others if not words.isdisjoint(o)]
+    jobs.sort(key=lambda x: (len(x[1]), len(x[2])))
+    start = 0
+    while start < len(jobs):
+        stop, m, n = start, 0, 0
+        while stop < len(jobs):  # as many as fit in one table
+            wide, high = max(n, len(jobs[stop][2])), max(m, len(jobs[stop][1]))
+            if stop > start and (stop + 1 - start) * wide * high > TABLE_CELLS:
+                break
+            stop, m, n = stop + 1, high, wide
+        part = jobs[start:stop]
+        a, b = np.full((len(part), m), -1), np.full((len(part), n), -2)
+        for r, (_, x, y) in enumerate(part):
+            a[r, : len(x)], b[r, : len(y)] = x, y
+        found = _places(a, b, np.array([len(x[1]) for x in part]), np.array([len(x[2]) for x in part]), power)
+        for r, (k, x, _) in enumerate(part):
+            out[k] |= found[r, : len(x)]
+        start = stop
+    return out
+
+
+def union_lcs(pairs: list[tuple[list[list[str]], list[list[str]]]], power: float = 1.0) -> list[float]:
+    """For each (model, peer): over the model's sentences, what the union of their subsequences with all peer sentences covers.
 
     A token counts as often as both texts have it. With a power over 1, runs of
     neighbouring places weigh by their length to that power.
     """
-    left_model: dict[str, int] = {}
-    left_peer: dict[str, int] = {}
-    for side, count in ((model, left_model), (peer, left_peer)):
-        for sentence in side:
-            for t in sentence:
-                count[t] = count.get(t, 0) + 1
-    total = 0.0
-    for sentence in model:
-        places = sorted({x for other in peer for x in _matched(sentence, other, power)[0]})
-        run, last = 0, None
-        for x in places:
-            t = sentence[x]
-            if left_model.get(t, 0) > 0 and left_peer.get(t, 0) > 0:
-                left_model[t] -= 1
-                left_peer[t] -= 1
-                run = run + 1 if last is not None and x == last + 1 else 1
-                total += run**power - (run - 1) ** power
-                last = x
-            else:
-                run, last = 0, None
-    return total
+    found = iter(_union_places([(sentence, peer) for model, peer in pairs for sentence in model], power))
+    totals = []
+    for model, peer in pairs:
+        left_model, left_peer = (Counter(t for sentence in side for t in sentence) for side in (model, peer))
+        total = 0.0
+        for sentence in model:
+            run, last = 0, None
+            for x in np.flatnonzero(next(found)).tolist():
+                t = sentence[x]
+                if left_model[t] > 0 and left_peer[t] > 0:
+                    left_model[t] -= 1
+                    left_peer[t] -= 1
+                    run = run + 1 if last is not None and x == last + 1 else 1
+                    total += run**power - (run - 1) ** power
+                    last = x
+                else:
+                    run, last = 0, None
+        totals.append(total)
+    return totals
 
 
 def sequence_score(peers: DataFrame, models: DataFrame, weight: float | None = None, mode: str = "A", alpha: float = 0.5) -> DataFrame:
@@ -162,7 +256,7 @@ def sequence_score(peers: DataFrame, models: DataFrame, weight: float | None = N
 
     @F.pandas_udf("double")
     def hits(model: pd.Series, peer: pd.Series) -> pd.Series:
-        return pd.Series([union_lcs([list(s) for s in m], [list(s) for s in p], power) for m, p in zip(model, peer)])
+        return pd.Series(union_lcs([([list(s) for s in m], [list(s) for s in p]) for m, p in zip(model, peer)], power))
 
     lines = lambda c: F.transform(F.split(c, "\n"), rouge_tokens)
     words = lambda c: F.aggregate(F.transform(c, F.size), F.lit(0), lambda s, x: s + x)

@@ -12,7 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import BY_NAME, binary_cosine
-from ..functions.text import split_words
+from ..functions.text import bound, digits, split_words
+
+
+#: A fixed value: what a chosen sentence's score gains.
+CHOSEN_BONUS = 10000.0
 
 
 def ordered(cluster: str = "cluster"):
@@ -69,6 +73,14 @@ def without_redundancy(candidates: DataFrame, percent: float | None = 20, absolu
     return _fold(candidates, _target(percent, absolute, "words" if words else "sentences"), words, similarity, threshold)
 
 
+def chosen_bonus(candidates: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Candidates whose chosen ones (cluster, did, sno) rank above all others: 10000 and all scores over it are added to theirs."""
+    keys = ["cluster", "did", "sno"]
+    over = F.coalesce(F.sum(F.when(F.col("score") > CHOSEN_BONUS, F.col("score"))).over(Window.partitionBy("cluster")), F.lit(0.0))
+    marked = candidates.withColumn("__over", over).join(chosen.select(*keys).distinct().withColumn("__in", F.lit(True)), keys, "left")
+    return marked.withColumn("score", F.when(F.col("__in"), F.col("score") + CHOSEN_BONUS + F.col("__over")).otherwise(F.col("score"))).drop("__over", "__in")
+
+
 def novelty(candidates: DataFrame, factor: float = 1.2) -> DataFrame:
     """Raise a sentence's score if it and the one before it in the cluster are both over the cluster's mean."""
     before = F.lag("score", 1, 0.0).over(Window.partitionBy("cluster").orderBy("did", "sno"))
@@ -191,4 +203,4 @@ def drop_repeats(candidates: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def permutation(candidates: DataFrame, seed: int = 0) -> DataFrame:
     """A seeded random order in each cluster."""
-    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("did", "sno", F.lit(seed)), "did", "sno")))
+    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(digits(F.col("did"), F.col("sno"), F.lit(seed)), "did", "sno")))

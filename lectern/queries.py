@@ -93,11 +93,6 @@ def summary_top20(spark: SparkSession, d: str) -> DataFrame:
     return Summarizer(reranker="identity", extra={"idf": _idf(spark, d)}).summary(_sent(spark, d))
 
 
-@register("summary_redundancy")
-def summary_redundancy(spark: SparkSession, d: str) -> DataFrame:
-    return Summarizer(extra={"idf": _idf(spark, d)}).summary(_sent(spark, d))
-
-
 # -- sources -------------------------------------------------------------------
 
 
@@ -137,7 +132,7 @@ def s14b(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_pages(readers.table(spark, d, "pages")).select("page_id", "text")
 
 
-@register("s20_split", None)
+@register("s20_split", "SELECT split, count(*) AS n FROM (SELECT CASE WHEN h < 8 THEN 'train' WHEN h < 9 THEN 'valid' ELSE 'test' END AS split FROM (SELECT ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 10 AS h FROM documents)) GROUP BY split")
 def s20(spark: SparkSession, d: str) -> DataFrame:
     return readers.split_column(_docs(spark, d), "doc_id").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
@@ -229,6 +224,16 @@ def t6(spark: SparkSession, d: str) -> DataFrame:
     return out.join(valid, "did")
 
 
+@register("t6_byte_truncation", """SELECT doc_id, substr(text, 1, CASE WHEN strlen(text) <= 665 THEN length(text) ELSE (SELECT max(i) FROM (SELECT unnest(range(0, least(length(text), 665) + 1)) AS i) WHERE strlen(substr(text, 1, i)) <= 665) END) AS text FROM documents""")
+def t6b(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", text.truncate_bytes(F.col("text"), 665).alias("text"))
+
+
+@register("t13_stopwords_by_pattern", "WITH " + SENT + r" SELECT did, sno, regexp_replace(regexp_replace(text, '(?i)\s+the\s+', ' ', 'g'), '(?i)\s+de\s+', ' ', 'g') AS text FROM sent")
+def t13(spark: SparkSession, d: str) -> DataFrame:
+    return _sent(spark, d).select("did", "sno", text.cut_stopwords(F.col("text"), ["the", "de"]).alias("text"))
+
+
 @register("t8_porter_stems")
 def t8(spark: SparkSession, d: str) -> DataFrame:
     words = features.tokens(_sent(spark, d)).select(F.lower("w").alias("word")).where(F.col("word").rlike("^[a-z]+$"))
@@ -307,6 +312,21 @@ def m2(spark: SparkSession, d: str) -> DataFrame:
     return similarity.idf_cosine(pairs, words, _idf(spark, d)).select("did", "sno", _r("cosine"))
 
 
+@register("t15_m10_vectors", "WITH " + IDF + r""", c AS (SELECT did, sno, w, count(*) AS n FROM tok GROUP BY ALL),
+v AS (SELECT did, sno, w, n, n * coalesce(idf, 0) AS v FROM c LEFT JOIN idf USING (w)), norm AS (SELECT did, sno, sqrt(sum(n * n)) AS fn, sqrt(sum(v * v)) AS vn FROM v GROUP BY ALL),
+dot AS (SELECT a.did, a.sno, sum(a.n * b.n) AS f, sum(a.v * b.v) AS v FROM v a JOIN v b ON a.did = b.did AND b.sno = a.sno + 1 AND a.w = b.w GROUP BY ALL)
+SELECT s.did, s.sno, round(coalesce(f, 0) / coalesce(nullif(coalesce(a.fn, 0) * coalesce(b.fn, 0), 0), 0.00001), 6) AS freq_cosine, round(coalesce(dot.v, 0) / coalesce(nullif(coalesce(a.vn, 0) * coalesce(b.vn, 0), 0), 0.00001), 6) AS tfidf_cosine
+FROM sent s JOIN sent t ON s.did = t.did AND t.sno = s.sno + 1 LEFT JOIN dot ON dot.did = s.did AND dot.sno = s.sno LEFT JOIN norm a ON a.did = s.did AND a.sno = s.sno LEFT JOIN norm b ON b.did = s.did AND b.sno = s.sno + 1""")
+def t15(spark: SparkSession, d: str) -> DataFrame:
+    """Cosines of neighbouring sentences: counts by vectors over their common words, tf-idf by a join in which unknown words weigh 0."""
+    s = _sent(spark, d)
+    words = features.tokens(s).select(F.concat_ws("#", "did", "sno").alias("item"), "w")
+    pairs = _pairs(spark, d).withColumn("v", similarity.feature_vectors(F.col("a"), F.col("b"), "freq")).select(
+        "did", "sno", F.concat_ws("#", "did", "sno").alias("x"), F.concat_ws("#", F.col("did"), F.col("sno") + 1).alias("y"), similarity.vector_cosine(F.col("v.x"), F.col("v.y")).alias("freq")
+    )
+    return similarity.idf_cosine(pairs, words, _idf(spark, d), unknown=0.0).select("did", "sno", _r("freq", "freq_cosine"), _r("cosine", "tfidf_cosine"))
+
+
 @register("m5_m9_sequence_measures")
 def m5(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
@@ -323,24 +343,27 @@ def m8(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("did", similarity.summary_lcs(F.col("a"), F.col("b")).alias("lcs"))
 
 
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    """(graph, id, w): the tokens of every sentence of a cluster; an id is the document's and the sentence's number."""
+    return features.tokens(_sent(spark, d)).select(F.col("cluster").alias("graph"), (F.col("did") * 1_000_000 + F.col("sno")).alias("id"), "w")
+
+
 @register("m12_m13_similarity_edges", "WITH " + IDF + ", " + WEIGHT + """,
-u AS (SELECT cluster, did, w, v / sqrt(n) AS v FROM v JOIN norm USING (did, sno) WHERE sno = 1 AND n > 0),
-half AS (SELECT a.cluster AS graph, a.did AS src, b.did AS dst, sum(a.v * b.v) AS w FROM u a JOIN u b ON a.cluster = b.cluster AND a.w = b.w AND a.did < b.did GROUP BY ALL HAVING sum(a.v * b.v) > 0)
+u AS (SELECT cluster, did * 1000000 + sno AS id, w, v / sqrt(n) AS v FROM v JOIN norm USING (did, sno) WHERE n > 0),
+half AS (SELECT a.cluster AS graph, a.id AS src, b.id AS dst, sum(a.v * b.v) AS w FROM u a JOIN u b ON a.cluster = b.cluster AND a.w = b.w AND a.id < b.id GROUP BY ALL HAVING sum(a.v * b.v) > 0)
 SELECT graph, src, dst, round(w, 6) AS w FROM half UNION ALL SELECT graph, dst, src, round(w, 6) FROM half""")
 def m12(spark: SparkSession, d: str) -> DataFrame:
-    first = features.tokens(_sent(spark, d).where("sno = 1")).select(F.col("cluster").alias("graph"), F.col("did").alias("id"), "w")
-    return graph.similarity_edges(first, _idf(spark, d)).select("graph", "src", "dst", _r("w"))
+    return graph.similarity_edges(_nodes(spark, d), _idf(spark, d)).select("graph", "src", "dst", _r("w"))
 
 
-@register("m14_generation_edges", "WITH " + TOK + """, t1 AS (SELECT cluster AS graph, did AS id, w FROM tok WHERE sno = 1),
+@register("m14_generation_edges", "WITH " + TOK + """, t1 AS (SELECT cluster AS graph, did * 1000000 + sno AS id, w FROM tok),
 tf AS (SELECT graph, id, w, count(*) AS tf FROM t1 GROUP BY ALL), n AS (SELECT graph, id, count(*) AS n FROM t1 GROUP BY ALL),
 p AS (SELECT w, count(*) / (SELECT count(*) FROM t1) AS p FROM t1 GROUP BY w),
 base AS (SELECT graph, id, sum(tf * ln(1000 * p)) AS base, sum(tf) AS ns FROM tf JOIN p USING (w) GROUP BY ALL),
 gain AS (SELECT s.graph, s.id AS src, d.id AS dst, sum(s.tf * ln((d.tf + 1000 * p.p) / (1000 * p.p))) AS gain FROM tf s JOIN tf d ON s.graph = d.graph AND s.w = d.w AND s.id <> d.id JOIN p ON p.w = s.w GROUP BY ALL)
 SELECT graph, src, dst, round(ln(exp((base + gain) / ns - ln(n.n + 1000))), 6) AS log_g FROM gain JOIN base USING (graph) JOIN n USING (graph) WHERE base.id = src AND n.id = dst""")
 def m14(spark: SparkSession, d: str) -> DataFrame:
-    first = features.tokens(_sent(spark, d).where("sno = 1")).select(F.col("cluster").alias("graph"), F.col("did").alias("id"), "w")
-    return graph.generation_edges(first).select("graph", "src", "dst", _r(F.log("g"), "log_g"))
+    return graph.generation_edges(_nodes(spark, d)).select("graph", "src", "dst", _r(F.log("g"), "log_g"))
 
 
 # -- features ------------------------------------------------------------------
@@ -411,7 +434,7 @@ def c1(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).select("did", "sno", _r("score"), _r(classify.lead(), "lead"))
 
 
-@register("c3_random")
+@register("c3_random", "WITH " + SENT + " SELECT did, sno, ('0x' || substr(md5(did || ':' || sno || ':7'), 1, 8))::BIGINT / 4294967296.0 AS score FROM sent")
 def c3(spark: SparkSession, d: str) -> DataFrame:
     return _sent(spark, d).select("did", "sno", classify.random_score(7).alias("score"))
 
@@ -433,17 +456,27 @@ cand AS (SELECT cluster, did, sno, rank, n, list_distinct(regexp_extract_all(tex
 fold AS (SELECT DISTINCT cluster, CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS used, false AS stop, CAST([] AS VARCHAR[][]) AS out, CAST(NULL AS BIGINT) AS did, CAST(NULL AS BIGINT) AS sno, CAST(0 AS BIGINT) AS place FROM cand
   UNION ALL SELECT cluster, rank, used + CASE WHEN take THEN n ELSE 0 END, stop OR NOT fits, CASE WHEN take THEN list_append(out, w) ELSE out END, CASE WHEN take THEN did END, CASE WHEN take THEN sno END, place + CASE WHEN take THEN 1 ELSE 0 END
   FROM (SELECT *, NOT stop AND fits AND NOT redundant AS take FROM (SELECT f.cluster, c.rank, f.used, f.stop, f.out, c.did, c.sno, c.n, c.w, f.place, {fits} AS fits,
-    len(list_filter(f.out, lambda o: CASE WHEN len(o) > 0 AND len(c.w) > 0 THEN len(list_intersect(o, c.w)) / sqrt(len(o) * len(c.w)) ELSE 0 END >= 0.7)) > 0 AS redundant
+    len(list_filter(f.out, lambda o: CASE WHEN len(o) > 0 AND len(c.w) > 0 THEN len(list_intersect(o, c.w)) / sqrt(len(o) * len(c.w)) ELSE 0 END >= {least})) > 0 AS redundant
     FROM fold f JOIN cand c ON c.cluster = f.cluster AND c.rank = f.rank + 1)))
 SELECT cluster, did, sno, place AS rank FROM fold WHERE did IS NOT NULL"""
 
 
-@register("r3_without_redundancy", "WITH RECURSIVE " + _FOLD.format(target="ceil(size * 20 / 100)", fits="len(f.out) < c.target"))
+_CHOSEN, _LAST = _FOLD.format(target="ceil(size * 20 / 100)", fits="len(f.out) < c.target", least=0.7).rsplit("\nSELECT", 1)
+
+
+@register("summary_redundancy", "WITH RECURSIVE " + _CHOSEN + f""", chosen AS (SELECT{_LAST}),
+ext AS (SELECT c.cluster, s.text, row_number() OVER (PARTITION BY c.cluster ORDER BY CAST(c.did AS VARCHAR), c.sno) AS ord FROM chosen c JOIN sent s USING (did, sno))
+SELECT cluster, string_agg('[' || ord || ']  ' || text, chr(10) ORDER BY ord) AS summary FROM ext GROUP BY cluster""")
+def summary_redundancy(spark: SparkSession, d: str) -> DataFrame:
+    return Summarizer(extra={"idf": _idf(spark, d)}).summary(_sent(spark, d))
+
+
+@register("r3_without_redundancy", "WITH RECURSIVE " + _FOLD.format(target="ceil(size * 20 / 100)", fits="len(f.out) < c.target", least=0.7))
 def r3(spark: SparkSession, d: str) -> DataFrame:
     return select.without_redundancy(_scored(spark, d)).select("cluster", "did", "sno", "rank")
 
 
-@register("r4_without_redundancy_words", "WITH RECURSIVE " + _FOLD.format(target="ceil(words * 20 / 100)", fits="(f.used + c.n <= c.target OR f.used = 0 OR abs(f.used + c.n - c.target) < abs(f.used - c.target))"))
+@register("r4_without_redundancy_words", "WITH RECURSIVE " + _FOLD.format(target="ceil(words * 20 / 100)", fits="(f.used + c.n <= c.target OR f.used = 0 OR abs(f.used + c.n - c.target) < abs(f.used - c.target))", least=0.7))
 def r4(spark: SparkSession, d: str) -> DataFrame:
     return select.without_redundancy(_scored(spark, d), words=True).select("cluster", "did", "sno", "rank")
 
@@ -495,6 +528,30 @@ def r8(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@register("r9_r10_preferences", "WITH " + SCORED + """,
+src AS (SELECT doc_id AS did, source, doc_id AS ord FROM documents), place AS (SELECT source, dense_rank() OVER (ORDER BY min(ord)) AS value FROM src GROUP BY source),
+x AS (SELECT s.*, place.value AS p, 1000000 + did * 60 AS t FROM scored s JOIN src USING (did) JOIN place USING (source)),
+y AS (SELECT *, min(p) OVER w AS lp, max(p) OVER w AS hp, min(t) OVER w AS lt, max(t) OVER w AS ht FROM x WINDOW w AS (PARTITION BY cluster)),
+z AS (SELECT *, CASE WHEN hp > lp THEN (p - lp) / (hp - lp) ELSE 0 END AS np, CASE WHEN ht > lt THEN (t - lt) / (ht - lt) ELSE 0 END AS nt FROM y)
+SELECT did, sno, round(score + np, 6) AS plus_source, round(score - np, 6) AS minus_source, round(score + t, 6) AS plus_epoch, round(score - t, 6) AS minus_epoch, round(score + nt, 6) AS plus_epoch_normalized, round(score - nt, 6) AS minus_epoch_normalized FROM z""")
+def r9(spark: SparkSession, d: str) -> DataFrame:
+    """Source order normalized in the cluster, and time (a document's id in minutes), plain and normalized."""
+    c = _scored(spark, d)
+    docs = _docs(spark, d).select(F.col("doc_id").alias("did"), "source", F.col("doc_id").alias("ord"))
+    place, epoch = select.source_order(docs), docs.select("did", (1_000_000 + F.col("did") * 60).alias("value"))
+    out = c.select("did", "sno")
+    for name, values, norm in (("source", place, True), ("epoch", epoch, False), ("epoch_normalized", epoch, True)):
+        for sign, word in ((1, "plus_"), (-1, "minus_")):
+            out = out.join(select.prefer(c, values, sign, norm).select("did", "sno", _r("score", word + name)), ["did", "sno"])
+    return out
+
+
+@register("r12_chosen_bonus", "WITH " + RANKED + " SELECT cluster, did, sno, round(score + CASE WHEN rank <= 3 THEN 10000 ELSE 0 END, 6) AS score FROM ranked")
+def r12(spark: SparkSession, d: str) -> DataFrame:
+    c = _scored(spark, d)
+    return select.chosen_bonus(c, select.top_sentences(c, absolute=3)).select("cluster", "did", "sno", _r("score"))
+
+
 def _judged(s: DataFrame, judges: int = 3) -> DataFrame:
     """Judge j gives (7 did + 13 sno + 5 j * j) mod 11."""
     return s.select("cluster", "did", "sno", F.explode(F.sequence(F.lit(1), F.lit(judges))).alias("j")).select("cluster", "did", "sno", F.concat(F.lit("j"), F.col("j").cast("string")).alias("judge"), ((F.col("did") * 7 + F.col("sno") * 13 + 5 * F.col("j") * F.col("j")) % 11).alias("util"))
@@ -530,18 +587,18 @@ def r15(spark: SparkSession, d: str) -> DataFrame:
     return select.threshold_filter(_decoded(spark, d), params)
 
 
-@register("sweep_settings")
+@register("sweep_settings", "WITH RECURSIVE " + _SWEEP.replace("(0.0, -0.5), (0.3, -0.2), (0.5, 0.0)", ", ".join(f"({a}, {b})" for a in (0.0, 0.2, 0.4) for b in (-0.8, -0.4, 0.0))).replace("\nSELECT cluster, CAST(lam", ", k AS (SELECT cluster, CAST(lam").replace("FROM fold WHERE take", "FROM fold WHERE take) SELECT lam, mini, count(*) AS sentences, CAST(sum(chars) AS BIGINT) AS chars FROM k GROUP BY lam, mini"))
 def sweep_settings(spark: SparkSession, d: str) -> DataFrame:
     kept = sweep(_decoded(spark, d), [0.0, 0.2, 0.4], [-0.8, -0.4, 0.0])
     return kept.groupBy("lam", "mini").agg(F.count(F.lit(1)).alias("sentences"), F.sum("chars").alias("chars"))
 
 
-@register("r16_drop_repeats")
+@register("r16_drop_repeats", "WITH RECURSIVE " + _FOLD.format(target="1000000000", fits="true", least=0.500000000001))
 def r16(spark: SparkSession, d: str) -> DataFrame:
     return select.drop_repeats(_scored(spark, d)).select("cluster", "did", "sno", "rank")
 
 
-@register("r18_permutation")
+@register("r18_permutation", "WITH " + SENT + " SELECT cluster, did, sno, row_number() OVER (PARTITION BY cluster ORDER BY ('0x' || substr(md5(did || ':' || sno || ':3'), 1, 8))::BIGINT, did, sno) AS rank FROM sent")
 def r18(spark: SparkSession, d: str) -> DataFrame:
     return select.permutation(_sent(spark, d), 3).select("cluster", "did", "sno", "rank")
 
@@ -580,10 +637,10 @@ def g2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _small_graphs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    first = features.tokens(_sent(spark, d).where("sno = 1")).select(F.col("cluster").alias("graph"), F.col("did").alias("id"), "w")
-    edges = graph.similarity_edges(first, _idf(spark, d))
+    words, preset = _nodes(spark, d), graph.PRESETS["text"]
+    edges = graph.similarity_edges(words, _idf(spark, d))
     order = F.row_number().over(select.Window.partitionBy("graph").orderBy("id"))
-    nodes = first.select("graph", "id").distinct().withColumn("prior", graph.position_prior(order))
+    nodes = words.select("graph", "id").distinct().withColumn("prior", graph.position_prior(order, preset["beta"]))
     return edges, nodes
 
 
@@ -591,12 +648,14 @@ def _walks(name: str, walk) -> None:
     register(name)(lambda spark, d: graph.per_graph(*_small_graphs(spark, d), walk))
 
 
+_TEXT = graph.PRESETS["text"]
 _walks("f11_g1_lexrank", graph.walk_lexrank)
-_walks("g2_g7_personalized_pagerank", lambda w, r: graph.walk_pagerank(w, r, 0.1))
-_walks("g3_divrank", lambda w, r: graph.walk_divrank(w, r))
-_walks("g4_divrank_cumulative", lambda w, r: graph.walk_divrank(w, r, tolerance=1e-5, cumulative=True))
-_walks("g5_grasshopper", graph.as_walk(lambda w, r: graph.order_grasshopper(w, r, 0.9)))
-_walks("r17_graph_mmr", graph.as_walk(lambda w, r: graph.order_mmr(w, graph.walk_pagerank(w, r), 0.5)))
+_walks("g2_g7_g8_personalized_pagerank", lambda w, r: graph.walk_pagerank(w, r, **_TEXT["pagerank"]))
+_walks("g3_divrank", lambda w, r: graph.walk_divrank(w, r, **_TEXT["divrank"]))
+_walks("g4_divrank_cumulative", lambda w, r: graph.walk_divrank(w, r, tolerance=1e-5, cumulative=True, **_TEXT["divrank"]))
+_walks("g5_grasshopper", graph.as_walk(lambda w, r: graph.order_grasshopper(w, r, **_TEXT["grasshopper"])))
+_walks("g6_watched_pagerank", graph.walk_watched)
+_walks("r17_graph_mmr", graph.as_walk(lambda w, r: graph.order_mmr(w, graph.walk_pagerank(w, r), **_TEXT["mmr"])))
 
 
 @register("g9_merged_ngram_graph", "WITH " + NG + " SELECT item_id % 4 AS doc, a, b, round(sum(w) / any_value(k), 6) AS w FROM edge JOIN (SELECT item_id % 4 AS grp, count(*) AS k FROM benchmark GROUP BY 1) ON grp = item_id % 4 GROUP BY 1, a, b")
@@ -622,8 +681,7 @@ def windowed(spark: SparkSession, d: str) -> DataFrame:
 
 # -- ROUGE ---------------------------------------------------------------------
 
-_RTX = _RT.replace("(text)", "({0})")
-EVAL = "peers AS (SELECT doc_id % 20 AS eval, doc_id AS peer, {0} AS t FROM documents), models AS (SELECT item_id % 20 AS eval, item_id AS model, {1} AS t FROM benchmark)".format(_RTX.format("substr(text, 1, 665)"), _RT)
+EVAL = "peers AS (SELECT doc_id % 20 AS eval, doc_id AS peer, {0} AS t FROM documents), models AS (SELECT item_id % 20 AS eval, item_id AS model, {1} AS t FROM benchmark)".format(_RT, _RT)
 
 
 def _counted(grams: str) -> str:
@@ -643,7 +701,7 @@ _S4 = "flatten(list_transform(range(1, len(t)), lambda i: list_transform(t[i + 1
 
 
 def _evals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    peers = _docs(spark, d).select((F.col("doc_id") % 20).alias("eval"), F.col("doc_id").alias("peer"), text.truncate_bytes(F.col("text"), 665).alias("text"))
+    peers = _docs(spark, d).select((F.col("doc_id") % 20).alias("eval"), F.col("doc_id").alias("peer"), "text")
     models = readers.table(spark, d, "benchmark").select((F.col("item_id") % 20).alias("eval"), F.col("item_id").alias("model"), "text")
     return peers, models
 
@@ -656,6 +714,30 @@ def _rouge(metric: str, mode: str) -> Query:
     return run
 
 
+_LIMIT = "list_filter(string_split(trim(regexp_replace(regexp_replace(replace(lower(array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:100], ' ')), '-', ' - '), '[^a-z0-9-]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda t: regexp_matches(t, '^[a-z0-9$]') AND t NOT IN ('the', 'of', 'and'))"
+
+
+@register("e9_rouge_2_limits", ("WITH " + _counted(_N2) + _POOL + _PRF).replace(_RT, _LIMIT))
+def e9(spark: SparkSession, d: str) -> DataFrame:
+    """The first 100 words of each text, without stop words."""
+    out = rouge.over_models(rouge.pair_counts(*_evals(spark, d), "2", options=rouge.Options(words=100, stopwords=("the", "of", "and"))))
+    return out.select("eval", "peer", "hits", "n_peer", "n_model", _r("r"), _r("p"), _r("f"))
+
+
+@register("e9_rouge_1_stemmed")
+def e9b(spark: SparkSession, d: str) -> DataFrame:
+    out = rouge.over_models(rouge.pair_counts(*_evals(spark, d), "1", options=rouge.Options(stem=True)))
+    return out.select("eval", "peer", "hits", "n_peer", "n_model", _r("r"), _r("p"), _r("f"))
+
+
+@register("k11_results_text")
+def k11(spark: SparkSession, d: str) -> DataFrame:
+    scores = rouge.score(*_evals(spark, d), ("1",)).withColumn("peer", F.col("eval").cast("string")).groupBy("metric", "peer", F.col("eval").alias("e")).agg(*(F.avg(c).alias(c) for c in "rpf"))
+    scores = scores.withColumn("eval", F.col("e")).withColumn("peer", F.lit("all"))
+    rows = [rouge.bootstrap(scores, value=c).select("peer", F.lit("ROUGE-1").alias("metric"), F.lit(c.upper()).alias("kind"), "mean", "low", "high") for c in "rpf"]
+    return writers.results_text(rows[0].unionByName(rows[1]).unionByName(rows[2]))
+
+
 register("e1_rouge_1", "WITH " + _counted("t") + _POOL + _PRF)(_rouge("1", "A"))
 register("e1_e6_rouge_2_best", "WITH " + _counted(_N2) + _BEST + _PRF)(_rouge("2", "B"))
 register("e4_rouge_s4", "WITH " + _counted(_S4) + _POOL + _PRF)(_rouge("S4", "A"))
@@ -777,12 +859,13 @@ def v8(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.model_unit_utility(units, words, _idf(spark, d)).select("item", _r("util"))
 
 
-LISTS = "a AS (SELECT doc_id AS did, n_chars AS score FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id AS did, (doc_id * 37) % 101 AS score FROM documents WHERE doc_id % 5 <> 0)"
+LISTS = "a AS (SELECT doc_id AS did, n_chars AS score FROM documents), b AS (SELECT doc_id AS did, 2 * quality - toxic AS score FROM labels)"
 
 
 def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = _docs(spark, d).withColumnRenamed("doc_id", "did")
-    return docs.where("did % 7 <> 0").select("did", F.col("n_chars").alias("score")), docs.where("did % 5 <> 0").select("did", ((F.col("did") * 37) % 101).alias("score"))
+    """Documents by length, and the labelled ones among them by their labels."""
+    docs, labels = _docs(spark, d), readers.table(spark, d, "labels")
+    return docs.select(F.col("doc_id").alias("did"), F.col("n_chars").alias("score")), labels.select(F.col("doc_id").alias("did"), (2 * F.col("quality") - F.col("toxic")).alias("score"))
 
 
 @register("v9_pearson", "WITH " + LISTS + ", j AS (SELECT CAST(coalesce(a.score, 0) AS DOUBLE) AS x, CAST(coalesce(b.score, 0) AS DOUBLE) AS y FROM a FULL JOIN b USING (did)) SELECT count(*) AS items, round(corr(x, y), 6) AS pearson FROM j")
@@ -823,12 +906,12 @@ def v12(spark: SparkSession, d: str) -> DataFrame:
     return count(evaluation.reversed_pairs(a, back), "conflicts").join(count(merged, "merged")).join(count(evaluation.filter_relations(merged, least=2), "strong"))
 
 
-@register("v15_connectivity", "WITH " + SENT + ", " + _rel_sql("rel", "a", 1) + """, ext AS (SELECT cluster, did, sno FROM sent WHERE sno <= 4),
+@register("v15_connectivity", "WITH " + RANKED + ", " + _rel_sql("rel", "a", 1) + """, ext AS (SELECT cluster, did, sno FROM ranked WHERE rank <= ceil(size * 50 / 100)),
 c AS (SELECT x.cluster, count(DISTINCT (x.did, x.sno, y.sno)) AS connected FROM rel JOIN ext x ON x.did = sdid AND x.sno = ssent JOIN ext y ON y.did = tdid AND y.sno = tsent AND y.cluster = x.cluster GROUP BY 1), n AS (SELECT cluster, count(*) AS sentences FROM ext GROUP BY cluster)
 SELECT cluster, sentences, sentences * (sentences - 1) // 2 AS pairs, coalesce(connected, 0) AS connected FROM n LEFT JOIN c USING (cluster)""")
 def v15(spark: SparkSession, d: str) -> DataFrame:
     s = _sent(spark, d)
-    return evaluation.connectivity(s.where("sno <= 4").select("cluster", "did", "sno"), _relations(s))
+    return evaluation.connectivity(select.top_sentences(_scored(spark, d), percent=50).select("cluster", "did", "sno"), _relations(s))
 
 
 @register("v16_similarity_as_relation", "WITH " + PAIRS + ", " + _rel_sql("rel", "a", 1) + """, v AS (SELECT did || '#' || sno AS x, did || '#' || (sno + 1) AS y, CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / sqrt(len(list_distinct(a)) * len(list_distinct(b))) ELSE 0 END AS value FROM pair),
@@ -841,8 +924,8 @@ def v16(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.similarity_as_relation(values, related, 0.2).select("similar", "related", "both", _r("precision"), _r("recall"))
 
 
-@register("v17_npower", "WITH " + NG.replace("benchmark", "txt").replace("ng AS", "txt AS (SELECT item_id, text FROM benchmark UNION ALL SELECT -1 - doc_id, substr(text, 1, 300) FROM documents WHERE doc_id < 200), ng AS", 1) + """,
-size AS (SELECT item_id, count(*) AS n FROM edge GROUP BY 1), link AS (SELECT -1 - doc_id AS peer, item_id AS model FROM documents JOIN benchmark ON item_id % 20 = doc_id % 20 WHERE doc_id < 200),
+@register("v17_npower", "WITH " + NG.replace("benchmark", "txt").replace("ng AS", "txt AS (SELECT item_id, text FROM benchmark UNION ALL SELECT -1 - doc_id, text FROM documents), ng AS", 1) + """,
+size AS (SELECT item_id, count(*) AS n FROM edge GROUP BY 1), link AS (SELECT -1 - doc_id AS peer, item_id AS model FROM documents JOIN benchmark ON item_id % 20 = doc_id % 20),
 s1 AS (SELECT peer, model, sum(least(x.w, y.w) / greatest(x.w, y.w)) AS v FROM link JOIN edge x ON x.item_id = peer JOIN edge y ON y.item_id = model AND y.a = x.a AND y.b = x.b GROUP BY ALL),
 auto AS (SELECT peer, avg(CASE WHEN greatest(coalesce(p.n, 0), coalesce(m.n, 0)) > 0 THEN coalesce(v, 0) / greatest(coalesce(p.n, 0), coalesce(m.n, 0)) ELSE 0 END) AS autosummeng FROM link LEFT JOIN s1 USING (peer, model) LEFT JOIN size p ON p.item_id = peer LEFT JOIN size m ON m.item_id = model GROUP BY peer),
 k AS (SELECT peer, count(*) AS k FROM link GROUP BY peer), mg AS (SELECT peer, a, b, sum(w) / any_value(k) AS w FROM link JOIN edge ON item_id = model JOIN k USING (peer) GROUP BY peer, a, b), mn AS (SELECT peer, count(*) AS n FROM mg GROUP BY peer),
@@ -850,9 +933,8 @@ s2 AS (SELECT mg.peer, sum(least(mg.w, x.w) / greatest(mg.w, x.w)) AS v FROM mg
 memo AS (SELECT peer, CASE WHEN greatest(coalesce(p.n, 0), coalesce(mn.n, 0)) > 0 THEN coalesce(v, 0) / greatest(coalesce(p.n, 0), coalesce(mn.n, 0)) ELSE 0 END AS memog FROM k LEFT JOIN s2 USING (peer) LEFT JOIN size p ON p.item_id = peer LEFT JOIN mn USING (peer))
 SELECT peer, round(autosummeng, 6) AS autosummeng, round(memog, 6) AS memog, round((5.2905 * autosummeng + 3.0053 * memog + 0.5866) / 10, 6) AS npower FROM auto JOIN memo USING (peer)""")
 def v17(spark: SparkSession, d: str) -> DataFrame:
-    """The first 200 documents' openings as peers: a report on a fixed set of systems."""
     b = readers.table(spark, d, "benchmark").select(F.col("item_id").alias("doc"), "text")
-    p = _docs(spark, d).where("doc_id < 200").select((-1 - F.col("doc_id")).alias("doc"), F.substring("text", 1, 300).alias("text"))
+    p = _docs(spark, d).select((-1 - F.col("doc_id")).alias("doc"), "text")
     links = p.select(F.col("doc").alias("peer"), ((-1 - F.col("doc")) % 20).alias("k")).join(b.select(F.col("doc").alias("model"), (F.col("doc") % 20).alias("k")), "k").select("peer", "model")
     edges = lambda df: text.char_ngram_edges(df, "doc", "text")
     return ngram_graph.summary_scores(edges(p), edges(b), links).select("peer", _r("autosummeng"), _r("memog"), _r("npower"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import split_sentences
+from ..functions.text import digits, split_sentences
 
 #: Elements after which a page's text breaks to a new line, and elements whose content is no text.
 BREAKS = ("span", "option", "hr", "br", "p", "td", "th")
@@ -213,5 +213,5 @@ def forum_pairs(article: DataFrame, comments: DataFrame) -> DataFrame:
 
 def split_column(rows: DataFrame, key: str, train: int = 8, valid: int = 1, test: int = 1) -> DataFrame:
     """Rows with ``split``: train, valid or test by the key's hash in the given proportion."""
-    h = F.pmod(F.xxhash64(key), F.lit(train + valid + test))
+    h = F.pmod(digits(F.col(key)), F.lit(train + valid + test))
     return rows.withColumn("split", F.when(h < train, "train").when(h < train + valid, "valid").otherwise("test"))

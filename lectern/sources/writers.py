@@ -56,16 +56,18 @@ def docsent_xml(sentences: DataFrame) -> DataFrame:
 
 def see_html(summaries: DataFrame) -> DataFrame:
     """(name, html): a page with an anchor for each sentence from (name, ord, text)."""
-    line = F.format_string('<a name="%d">[%d]</a> <a href="#%d" id=%d>%s</a>', "ord", "ord", "ord", "ord", sanitize(F.col("text")))
-    joined = summaries.groupBy("name").agg(_lines(F.struct("ord", line.alias("line"))).alias("body"))
+    ord_ = F.col("ord")
+    anchor = F.concat(F.lit("<a"), _attributes(name=ord_), F.lit(">["), ord_.cast("string"), F.lit("]</a>"))
+    link = F.concat(F.lit("<a"), _attributes(href=F.concat(F.lit("#"), ord_.cast("string")), id=ord_), F.lit(">"), sanitize(F.col("text")), F.lit("</a>"))
+    joined = summaries.groupBy("name").agg(_lines(F.struct("ord", F.concat_ws(" ", anchor, link).alias("line"))).alias("body"))
     return joined.select("name", F.concat(F.lit("<html>\n<head><title>"), "name", F.lit("</title></head>\n<body>\n"), "body", F.lit("\n</body>\n</html>")).alias("html"))
 
 
-def rouge_settings(peers: DataFrame, models: DataFrame, style: str = "SEE") -> DataFrame:
-    """(eval, xml): EVAL elements from (eval, name, file) of peers and models."""
+def rouge_settings(peers: DataFrame, models: DataFrame, style: str = "SEE", peer_root: str = ".", model_root: str = ".") -> DataFrame:
+    """(eval, xml): EVAL elements from (eval, name, file) of peers and models, files by their folders."""
     entry = lambda df, tag: df.groupBy("eval").agg(_lines(F.struct("name", F.concat(F.lit(f'<{tag} ID="'), "name", F.lit('">'), "file", F.lit(f"</{tag}>")).alias("line"))).alias(tag))
     both = entry(peers, "P").join(entry(models, "M"), "eval")
-    return both.select("eval", F.concat(F.lit('<EVAL ID="'), F.col("eval").cast("string"), F.lit(f'">\n<INPUT-FORMAT TYPE="{style}"/>\n<PEERS>\n'), "P", F.lit("\n</PEERS>\n<MODELS>\n"), "M", F.lit("\n</MODELS>\n</EVAL>")).alias("xml"))
+    return both.select("eval", F.concat(F.lit('<EVAL ID="'), F.col("eval").cast("string"), F.lit(f'">\n<PEER-ROOT>{peer_root}</PEER-ROOT>\n<MODEL-ROOT>{model_root}</MODEL-ROOT>\n<INPUT-FORMAT TYPE="{style}"/>\n<PEERS>\n'), "P", F.lit("\n</PEERS>\n<MODELS>\n"), "M", F.lit("\n</MODELS>\n</EVAL>")).alias("xml"))
 
 
 def jackknifed(peers: DataFrame, models: DataFrame) -> DataFrame:
@@ -73,8 +75,17 @@ def jackknifed(peers: DataFrame, models: DataFrame) -> DataFrame:
     return peers.select("eval", F.col("name").alias("peer")).join(models.select("eval", F.col("name").alias("model")), "eval").where("peer <> model")
 
 
+def results_text(scores: DataFrame, confidence: int = 95) -> DataFrame:
+    """(peer, metric, value): the printed results of (peer, metric, kind, mean, low, high), kinds R, P, F in this order."""
+    number = lambda c: F.format_string("%.5f", F.col(c).cast("double"))
+    line = F.concat("peer", F.lit(" "), "metric", F.lit(" Average_"), "kind", F.lit(": "), number("mean"), F.lit(f" ({confidence}%-conf.int. "), number("low"), F.lit(" - "), number("high"), F.lit(")"))
+    place = F.array_position(F.array(*map(F.lit, "RPF")), F.col("kind"))
+    rows = scores.groupBy("peer", "metric").agg(_lines(F.struct(place.alias("k"), line.alias("line"))).alias("body"))
+    return rows.select("peer", "metric", F.concat(F.lit("-" * 45 + "\n"), "body").alias("value"))
+
+
 def parse_results(text: DataFrame) -> DataFrame:
-    """(run, metric, kind, value) from result lines such as ``11 ROUGE-1 Average_R: 0.35974 (95%-conf...)``."""
+    """(run, metric, kind, value) from result lines such as ``7 ROUGE-1 Average_R: 0.25 (95%-conf...)``."""
     pattern = r"^(\S+) (ROUGE-\S+) Average_([RPF]): ([0-9.]+)"
     part = lambda i: F.regexp_extract("value", pattern, i)
     return text.where(F.col("value").rlike(pattern)).select(part(1).alias("run"), part(2).alias("metric"), part(3).alias("kind"), part(4).cast("double").alias("value"))

@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,9 +42,9 @@ def test_alpha_and_averages(spark, tables):
 
 def test_sequences(spark):
     words = lambda s: [x.split() for x in s.split("\n")]
-    assert R.union_lcs(words("w1 w2 w3 w4 w5"), words("w1 w2 w6 w7 w8\nw1 w3 w8 w9 w5")) == 4
-    assert R.union_lcs(words("a b c"), words("a b c"), 2.0) == 9
-    assert R._matched(list("abc"), list("cab"), 1.0) == ([0, 1], 2.0)
+    assert R.union_lcs([(words("w1 w2 w3 w4 w5"), words("w1 w2 w6 w7 w8\nw1 w3 w8 w9 w5")), (words("a b c"), words("x\ny"))]) == [4, 0]
+    assert R.union_lcs([(words("a b c"), words("a b c"))], 2.0) == [9]
+    assert [np.flatnonzero(x).tolist() for x in R._union_places([(list("abc"), [list("cab")])], 1.0)] == [[0, 1]]
     same = spark.createDataFrame([(1, "p", "one two three\nfour five")], "eval int, peer string, text string")
     model = same.withColumnRenamed("peer", "model")
     assert R.sequence_score(same, model).first().f == pytest.approx(1)
@@ -56,3 +59,55 @@ def test_basic_elements(spark):
     models = spark.createDataFrame([(1, "m", "a|b"), (1, "m", "c|d")], "eval int, model string, be string")
     got = R.basic_elements(peers, models).first()
     assert (got.hits, got.n_peer, got.n_model) == (1, 2, 2)
+
+
+def plain_places(a, b, power):
+    """Cell by cell: ties go up."""
+    best, run = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)], [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            k = run[i][j]
+            best[i + 1][j + 1] = best[i][j] + (k + 1) ** power - k**power if x == y else max(best[i][j + 1], best[i + 1][j])
+            run[i + 1][j + 1] = k + 1 if x == y else 0
+    i, j, out = len(a), len(b), set()
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.add(i)
+        elif best[i - 1][j] >= best[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+@pytest.mark.parametrize("power", [1.0, 1.2])
+def test_tables_of_many_pairs_are_those_of_each(power, monkeypatch):
+    rng = random.Random(3)
+    word = lambda n: [rng.choice("abcdefg") for _ in range(rng.randint(0, n))]
+    pairs = [(word(12), [word(15) for _ in range(rng.randint(0, 4))]) for _ in range(60)]
+    want = [set().union(*(plain_places(a, b, power) for b in others)) for a, others in pairs]
+    for cells in (8_000_000, 300):
+        monkeypatch.setattr(R, "TABLE_CELLS", cells)
+        assert [set(np.flatnonzero(x).tolist()) for x in R._union_places(pairs, power)] == want
+
+
+def test_options(spark):
+    peers = spark.createDataFrame([(1, "p", "The running dogs\nwere happily walking")], "eval int, peer string, text string")
+    models = spark.createDataFrame([(1, "m", "a dog runs and walked")], "eval int, model string, text string")
+    hits = lambda **o: R.pair_counts(peers, models, "1", options=R.Options(**o)).first()
+    assert hits().hits == 0 and hits(stem=True).hits == 3 and hits(stem=True, exceptions=(("were", "run"),)).hits == 3
+    assert hits(stopwords=("the", "and")).n_peer == 5 and hits(words=3).n_peer == 3 and hits(words=3).n_model == 3
+    cut = hits(bytes=20)
+    assert cut.n_peer == 4  # 16 bytes of the first line and four of the second
+
+
+def test_results_are_printed_and_read_back(spark):
+    from lectern.sources import writers
+
+    rows = [("7", "ROUGE-1", k, m, m - 0.01, m + 0.01) for k, m in zip("FRP", (0.3, 0.25, 0.375))]
+    text = writers.results_text(spark.createDataFrame(rows, "peer string, metric string, kind string, mean double, low double, high double"))
+    body = text.first().value
+    assert body.split("\n")[1] == "7 ROUGE-1 Average_R: 0.25000 (95%-conf.int. 0.24000 - 0.26000)" and [x.split()[2][8] for x in body.split("\n")[1:]] == list("RPF")
+    back = writers.parse_results(text.select(R.F.explode(R.F.split("value", "\n")).alias("value"))).collect()
+    assert sorted((r.kind, r.value) for r in back) == [("F", 0.3), ("P", 0.375), ("R", 0.25)]
