@@ -51,6 +51,18 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(scor
   count(*) OVER (PARTITION BY cluster) AS size, sum(n) OVER (PARTITION BY cluster) AS words FROM scored)"""
 
 
+#: The abbreviations of the sentence splitter, written out again.
+_ABBREVIATIONS = "'Mr.', 'Mrs.', 'Ms.', 'Dr.', 'Prof.', 'Sen.', 'Rep.', 'Gov.', 'Gen.', 'Col.', 'Lt.', 'Sgt.', 'St.', 'Jr.', 'Sr.', 'Inc.', 'Corp.', 'Co.', 'Ltd.', 'vs.', 'etc.', 'e.g.', 'i.e.', 'U.S.', 'U.N.', 'a.m.', 'p.m.', 'No.'"
+
+
+def split_sql(text: str) -> str:
+    """The sentences of a text as a list."""
+    broken = f"regexp_replace(regexp_replace({text}, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), '([.!?]+[\"'']*) +([^a-z ])', '\\1' || chr(10) || '\\2', 'g')"
+    pieces = f"list_transform(string_split(trim({broken}), chr(10)), lambda p: [p])"
+    joined = f"CASE WHEN list_contains([{_ABBREVIATIONS}], list_last(string_split(list_last(done), ' '))) THEN list_append(done[1:len(done) - 1], list_last(done) || ' ' || piece[1]) ELSE list_append(done, piece[1]) END"
+    return f"list_filter(list_reduce({pieces}, lambda done, piece: {joined}), lambda s: regexp_matches(s, '[^ \\t\\n\\f\\r.,!?-]'))"
+
+
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def put(f: Query) -> Query:
         QUERIES[name] = f
@@ -107,7 +119,7 @@ def s13(spark: SparkSession, d: str) -> DataFrame:
     return _sent(spark, d)
 
 
-@register("s13_text_to_docsent")
+@register("s13_text_to_docsent", f"SELECT did, i AS sno, s[i] AS text FROM (SELECT did, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id AS did, {split_sql('text')} AS s FROM documents))")
 def s13b(spark: SparkSession, d: str) -> DataFrame:
     return readers.text_sentences(_docs(spark, d).select(F.col("doc_id").alias("did"), "text"))
 
@@ -327,13 +339,39 @@ def t15(spark: SparkSession, d: str) -> DataFrame:
     return similarity.idf_cosine(pairs, words, _idf(spark, d), unknown=0.0).select("did", "sno", _r("freq", "freq_cosine"), _r("cosine", "tfidf_cosine"))
 
 
-@register("m5_m9_sequence_measures")
+_NGRAMS = "(SELECT did, sno, n, array_to_string({0}[i:i + n - 1], ' ') AS g, count(*) AS c FROM (SELECT did, sno, {0}, n, unnest(range(1, len({0}) - n + 2)) AS i FROM pair, (SELECT unnest([1, 2, 3, 4]) AS n)) GROUP BY ALL)"
+
+
+@register("m9_bleu_mix", "WITH " + PAIRS + f""", hit AS (SELECT did, sno, n, sum(least(x.c, y.c)) AS h FROM {_NGRAMS.format("a")} x JOIN {_NGRAMS.format("b")} y USING (did, sno, n, g) GROUP BY ALL),
+k AS (SELECT did, sno, count(*) AS k, sum(ln(h / (len(a) - n + 1))) / 4 AS s FROM hit JOIN pair USING (did, sno) GROUP BY ALL),
+e AS (SELECT did, sno, CASE WHEN k = 4 THEN least(1.0, exp(1 - len(b) / len(a))) * exp(s) ELSE 0 END AS bleu,
+  CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / sqrt(len(list_distinct(a)) * len(list_distinct(b))) ELSE 0 END AS cosine FROM pair LEFT JOIN k USING (did, sno))
+SELECT did, sno, round(bleu, 6) AS bleu, round(0.1 * cosine + 0.9 * bleu, 6) AS mix FROM e""")
+def m9(spark: SparkSession, d: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    return _pairs(spark, d).select("did", "sno", _r(similarity.bleu_score(a, b), "bleu"), _r(similarity.mix(a, b), "mix"))
+
+
+@register("m6_edit_distance", "WITH RECURSIVE " + PAIRS + """,
+r AS (SELECT did, sno, a, b, CAST(0 AS BIGINT) AS i, list_transform(range(0, len(b) + 1), lambda j: j) AS row FROM pair
+  UNION ALL SELECT did, sno, a, b, i + 1, list_transform(range(1, len(b) + 2), lambda j: list_min(list_transform(range(1, j + 1), lambda k: j - k + CASE WHEN k = 1 THEN i + 1 ELSE least(row[k] + 1, row[k - 1] + CASE WHEN b[k - 1] = a[i + 1] THEN 0 ELSE 1 END) END))) FROM r WHERE i < len(a))
+SELECT did, sno, CAST(row[len(b) + 1] AS INTEGER) AS edits FROM r WHERE i = len(a)""")
+def m6(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("did", "sno", similarity.token_edit_distance(F.col("a"), F.col("b")).alias("edits"))
+
+
+@register("m5_lcs", "WITH RECURSIVE " + PAIRS + """,
+r AS (SELECT did, sno, a, b, CAST(0 AS BIGINT) AS i, list_transform(range(0, len(b)), lambda j: CAST(0 AS BIGINT)) AS row FROM pair
+  UNION ALL SELECT did, sno, a, b, i + 1, list_transform(range(1, len(b) + 1), lambda j: greatest(row[j], coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda k: b[k] = a[i + 1]), lambda k: CASE WHEN k > 1 THEN row[k - 1] ELSE 0 END + 1)), 0))) FROM r WHERE i < len(a))
+SELECT did, sno, CAST(coalesce(row[len(b)], 0) AS INTEGER) AS lcs, round(CASE WHEN len(a) + len(b) > 0 THEN coalesce(row[len(b)], 0) / (len(a) + len(b) - coalesce(row[len(b)], 0)) ELSE 0 END, 6) AS ratio FROM r WHERE i = len(a)""")
 def m5(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
-    return _pairs(spark, d).select(
-        "did", "sno", similarity.lcs(a, b).alias("lcs"), similarity.lcs_ratio(a, b).alias("ratio"), similarity.token_edit_distance(a, b).alias("edits"),
-        similarity.edit_script_lcs(a, b).alias("script"), similarity.bleu_score(a, b).alias("bleu"), similarity.mix(a, b).alias("mix"),
-    )
+    return _pairs(spark, d).select("did", "sno", similarity.lcs(a, b).alias("lcs"), _r(similarity.lcs_ratio(a, b), "ratio"))
+
+
+@register("m7_script_lcs")
+def m7(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("did", "sno", similarity.edit_script_lcs(F.col("a"), F.col("b")).alias("script"))
 
 
 @register("m8_summary_lcs")
@@ -730,14 +768,6 @@ def e9b(spark: SparkSession, d: str) -> DataFrame:
     return out.select("eval", "peer", "hits", "n_peer", "n_model", _r("r"), _r("p"), _r("f"))
 
 
-@register("k11_results_text")
-def k11(spark: SparkSession, d: str) -> DataFrame:
-    scores = rouge.score(*_evals(spark, d), ("1",)).withColumn("peer", F.col("eval").cast("string")).groupBy("metric", "peer", F.col("eval").alias("e")).agg(*(F.avg(c).alias(c) for c in "rpf"))
-    scores = scores.withColumn("eval", F.col("e")).withColumn("peer", F.lit("all"))
-    rows = [rouge.bootstrap(scores, value=c).select("peer", F.lit("ROUGE-1").alias("metric"), F.lit(c.upper()).alias("kind"), "mean", "low", "high") for c in "rpf"]
-    return writers.results_text(rows[0].unionByName(rows[1]).unionByName(rows[2]))
-
-
 register("e1_rouge_1", "WITH " + _counted("t") + _POOL + _PRF)(_rouge("1", "A"))
 register("e1_e6_rouge_2_best", "WITH " + _counted(_N2) + _BEST + _PRF)(_rouge("2", "B"))
 register("e4_rouge_s4", "WITH " + _counted(_S4) + _POOL + _PRF)(_rouge("S4", "A"))
@@ -781,10 +811,29 @@ def e3(spark: SparkSession, d: str) -> DataFrame:
     return rouge.sequence_score(*_evals(spark, d), weight=1.2)
 
 
-@register("e8_bootstrap")
+_DRAWS = "(CASE WHEN u >= 0.36787944117 THEN 1 ELSE 0 END" + "".join(f" + CASE WHEN u >= {x} THEN 1 ELSE 0 END" for x in (0.73575888234, 0.9196986029, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885, 0.99998975079)) + ")"
+
+
+def _resampled(values: str, by: str) -> str:
+    """Means and percentiles of 1000 resamples of ``values`` (by, eval, v)."""
+    return f"""u AS (SELECT {by}, eval, v, s, ('0x' || substr(md5(eval || ':' || s || ':0'), 1, 8))::BIGINT / 4294967296.0 AS u FROM {values}, (SELECT unnest(range(1, 1001)) AS s)),
+m AS (SELECT {by}, s, sum({_DRAWS} * v) / nullif(sum({_DRAWS}), 0) AS m FROM u GROUP BY ALL), ci AS (SELECT {by}, avg(m) AS mean, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY ALL)"""
+
+
+@register("e8_bootstrap", "WITH " + _counted("t") + _POOL + ", x AS (SELECT 1 AS metric, eval, avg(CASE WHEN nm > 0 THEN hits / nm ELSE 0 END) AS v FROM one GROUP BY eval), " + _resampled("x", "metric") + " SELECT CAST(metric AS VARCHAR) AS metric, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM ci")
 def e8(spark: SparkSession, d: str) -> DataFrame:
     scores = rouge.score(*_evals(spark, d), ("1",)).groupBy("metric", "eval").agg(F.avg("r").alias("r"))
-    return rouge.bootstrap(scores, by=("metric",))
+    return rouge.bootstrap(scores, by=("metric",)).select("metric", _r("mean"), _r("low"), _r("high"))
+
+
+@register("k11_results_text", "WITH " + _counted("t") + _POOL + """, rp AS (SELECT eval, CASE WHEN nm > 0 THEN hits / nm ELSE 0 END AS r, CASE WHEN np > 0 THEN hits / np ELSE 0 END AS p FROM one),
+e AS (SELECT eval, avg(r) AS r, avg(p) AS p, avg(CASE WHEN r + p > 0 THEN r * p / (0.5 * p + 0.5 * r) ELSE 0 END) AS f FROM rp GROUP BY eval),
+x AS (SELECT 1 AS kind, eval, r AS v FROM e UNION ALL SELECT 2, eval, p FROM e UNION ALL SELECT 3, eval, f FROM e), """ + _resampled("x", "kind") + """
+SELECT 'all' AS peer, 'ROUGE-1' AS metric, repeat('-', 45) || chr(10) || string_agg('all ROUGE-1 Average_' || substr('RPF', kind, 1) || ': ' || format('{:.5f}', mean) || ' (95%-conf.int. ' || format('{:.5f}', low) || ' - ' || format('{:.5f}', high) || ')', chr(10) ORDER BY kind) AS value FROM ci""")
+def k11(spark: SparkSession, d: str) -> DataFrame:
+    scores = rouge.score(*_evals(spark, d), ("1",)).groupBy("metric", F.lit("all").alias("peer"), "eval").agg(*(F.avg(c).alias(c) for c in "rpf"))
+    rows = [rouge.bootstrap(scores, value=c).select("peer", F.lit("ROUGE-1").alias("metric"), F.lit(c.upper()).alias("kind"), "mean", "low", "high") for c in "rpf"]
+    return writers.results_text(rows[0].unionByName(rows[1]).unionByName(rows[2]))
 
 
 # -- extracts, judges, rankings, relations -------------------------------------
@@ -940,11 +989,17 @@ def v17(spark: SparkSession, d: str) -> DataFrame:
     return ngram_graph.summary_scores(edges(p), edges(b), links).select("peer", _r("autosummeng"), _r("memog"), _r("npower"))
 
 
-@register("v18_class_distances")
+@register("v18_class_distances", "WITH " + NG + """,
+cls AS (SELECT item_id, 'c' || (item_id % 3) AS grp FROM benchmark WHERE item_id % 2 = 0), k AS (SELECT grp, count(*) AS k FROM cls GROUP BY grp),
+mg AS (SELECT grp, a, b, sum(w) / any_value(k) AS w FROM edge JOIN cls USING (item_id) JOIN k USING (grp) GROUP BY grp, a, b), mn AS (SELECT grp, count(*) AS n FROM mg GROUP BY grp),
+tn AS (SELECT b.item_id, count(edge.a) AS n FROM benchmark b LEFT JOIN edge USING (item_id) WHERE b.item_id % 2 = 1 GROUP BY 1),
+v AS (SELECT item_id, grp, sum(least(x.w, mg.w) / greatest(x.w, mg.w)) AS v FROM edge x JOIN mg USING (a, b) WHERE item_id % 2 = 1 GROUP BY ALL)
+SELECT tn.item_id AS doc, g.grp, round(CASE WHEN greatest(tn.n, coalesce(mn.n, 0)) > 0 THEN coalesce(v, 0) / greatest(tn.n, coalesce(mn.n, 0)) ELSE 0 END, 6) AS value
+FROM tn CROSS JOIN (SELECT DISTINCT grp FROM cls) g LEFT JOIN mn ON mn.grp = g.grp LEFT JOIN v ON v.item_id = tn.item_id AND v.grp = g.grp""")
 def v18(spark: SparkSession, d: str) -> DataFrame:
     b = readers.table(spark, d, "benchmark").select(F.col("item_id").alias("doc"), "text")
     halves = b.select("doc", (F.col("doc") % 2).alias("half"), F.concat(F.lit("c"), (F.col("doc") % 3).cast("string")).alias("grp"))
-    return ngram_graph.class_distances(text.char_ngram_edges(b, "doc", "text"), halves.where("half = 0").select("doc", "grp"), halves.where("half = 1").select("doc"))
+    return ngram_graph.class_distances(text.char_ngram_edges(b, "doc", "text"), halves.where("half = 0").select("doc", "grp"), halves.where("half = 1").select("doc")).select("doc", "grp", _r("value"))
 
 
 @register("v19_decoder_scores", "WITH " + SENT + """, x AS (SELECT cluster, list(did + sno) FILTER (sno % 2 = 0) AS answer, list(did + sno) FILTER (sno % 3 = 0) AS pred FROM sent GROUP BY cluster),

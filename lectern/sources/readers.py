@@ -13,7 +13,9 @@ DROPPED = ("script", "style")
 
 
 def _xml(spark: SparkSession, path: str, tag: str, schema: str, parent: str | None = None) -> DataFrame:
-    reader = spark.read.format("xml").option("rowTag", parent or tag).option("attributePrefix", "_").option("valueTag", "_text").schema(schema)
+    reader = spark.read.format("xml").option("rowTag", parent or tag).option("attributePrefix", "_").option("valueTag", "_text")
+    # files may be written one after the other, so a file may have many roots
+    reader = reader.option("useLegacyXMLParser", True).schema(schema)
     return reader.load(path)
 
 
@@ -187,7 +189,7 @@ def read_basic_elements(spark: SparkSession, path: str) -> DataFrame:
 def read_classes(spark: SparkSession, path: str, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Training and test halves of lines of class, tab, text; a line's own hash says which half."""
     rows = spark.read.option("sep", "\t").schema("grp string, text string").csv(path)
-    half = F.pmod(F.xxhash64("grp", "text", F.lit(seed)), F.lit(2)) == 0
+    half = F.pmod(digits(F.col("grp"), F.col("text"), F.lit(seed)), F.lit(2)) == 0
     return rows.where(half), rows.where(~half)
 
 
