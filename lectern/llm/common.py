@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a worker's word cache may hold before it is emptied.
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -21,14 +21,18 @@ import numpy as np
 @lru_cache(maxsize=4)
 def encoder(path: str, specials: bool = True) -> Callable[[str], np.ndarray]:
     """text -> ids (uint32). specials: strings of special tokens become their ids, else ordinary text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = not specials
+    @lru_cache(maxsize=1)
+    def whole():  # loaded where it is needed: both coders together take twice a worker's memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(path)
+        out.encode_special_tokens = not specials
+        return out
 
     def slow(text: str) -> np.ndarray:
-        return np.array(whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return np.array(whole().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     ranks = f"{path.removesuffix('.json')}.tiktoken"
     if not (path.endswith(".json") and os.path.exists(ranks)):
@@ -40,7 +44,8 @@ def encoder(path: str, specials: bool = True) -> Callable[[str], np.ndarray]:
         table = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
     coder = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
     with open(path, encoding="utf-8") as file:
-        reserved = [x["content"] for x in json.load(file)["added_tokens"]]
+        text = file.read()  # of which the vocabulary, its largest part, is not parsed
+    reserved = [x["content"] for x in json.JSONDecoder().raw_decode(text, text.index("[", text.index('"added_tokens"')))[0]]
 
     def fast(text: str) -> np.ndarray:
         if specials and any(x in text for x in reserved):
