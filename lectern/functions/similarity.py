@@ -7,7 +7,7 @@ from collections.abc import Callable
 from math import exp, log
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import bound, unordered_bigrams
@@ -54,18 +54,18 @@ def idf_cosine(pairs: DataFrame, tokens: DataFrame, idf: DataFrame, keys: tuple[
     """``pairs`` with a column cosine: the tf-idf cosine of items, from a table of tokens (item, w).
 
     Vectors meet on equal tokens, so no pair costs more than the words it shares.
+    Each entry carries its vector's length, so that pairs are joined once a side.
     """
     weight = tokens.groupBy(item, "w").agg(F.count(F.lit(1)).alias("tf")).join(idf.select("w", "idf"), "w", "left")
     weight = weight.select(item, "w", (F.col("tf") * F.coalesce("idf", F.lit(unknown))).alias("v"))
-    norm = weight.groupBy(item).agg(F.sum(F.col("v") * F.col("v")).alias("n"))
+    entry = weight.withColumn("n", F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(item)))
     left, right = keys
-    a = weight.select(F.col(item).alias(left), "w", F.col("v").alias("va"))
-    b = weight.select(F.col(item).alias(right), "w", F.col("v").alias("vb"))
-    dot = pairs.select(left, right).distinct().join(a, left).join(b, [right, "w"]).groupBy(left, right).agg(F.sum(F.col("va") * F.col("vb")).alias("dot"))
-    out = pairs.join(dot, [left, right], "left")
-    out = out.join(norm.select(F.col(item).alias(left), F.col("n").alias("na")), left, "left").join(norm.select(F.col(item).alias(right), F.col("n").alias("nb")), right, "left")
+    a = entry.select(F.col(item).alias(left), "w", F.col("v").alias("va"), F.col("n").alias("na"))
+    b = entry.select(F.col(item).alias(right), "w", F.col("v").alias("vb"), F.col("n").alias("nb"))
+    met = pairs.select(left, right).distinct().join(a, left).join(b, [right, "w"])
+    dot = met.groupBy(left, right).agg(F.sum(F.col("va") * F.col("vb")).alias("dot"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     cosine = F.when(F.col("dot") > 0, F.col("dot") / F.sqrt(F.col("na") * F.col("nb"))).otherwise(0.0)
-    return out.withColumn("cosine", cosine).drop("dot", "na", "nb")
+    return pairs.join(dot, [left, right], "left").withColumn("cosine", cosine).drop("dot", "na", "nb")
 
 
 def feature_vectors(a: Column, b: Column, how: str = "binary", idf: Column | None = None) -> Column:

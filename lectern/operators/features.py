@@ -46,8 +46,8 @@ def centroid(sentences: DataFrame, idf: DataFrame) -> DataFrame:
     kept = centroid_words(words, idf)
     summed = words.join(kept, ["cluster", "w"]).groupBy("cluster", "did", "sno").agg(F.sum("tfidf").alias("s"))
     scored = sentences.select("cluster", "did", "sno").join(summed, ["cluster", "did", "sno"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
-    top = scored.groupBy("cluster").agg(F.max("s").alias("top"))
-    return scored.join(top, "cluster").select("did", "sno", F.when(F.col("top") > 0, F.col("s") / F.col("top")).otherwise(0.0).alias("value"))
+    top = F.max("s").over(Window.partitionBy("cluster"))
+    return scored.withColumn("top", top).select("did", "sno", F.when(F.col("top") > 0, F.col("s") / F.col("top")).otherwise(0.0).alias("value"))
 
 
 def similarity_with_first(sentences: DataFrame, idf: DataFrame) -> DataFrame:

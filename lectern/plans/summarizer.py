@@ -18,8 +18,6 @@ Feature = Callable[[DataFrame, dict[str, DataFrame]], DataFrame]
 
 FEATURES: dict[str, Feature] = {
     "Centroid": lambda s, extra: features.centroid(s, extra["idf"]),
-    "Position": lambda s, extra: s.select("did", "sno", features.position(F.col("sno")).alias("value")),
-    "Length": lambda s, extra: s.select("did", "sno", features.length(F.col("text")).alias("value")),
     "SimWithFirst": lambda s, extra: features.similarity_with_first(s, extra["idf"]),
     "IsLongestSentence": lambda s, extra: features.is_longest(s),
     "QueryCosine": lambda s, extra: features.query_cosine(s, extra["queries"], extra["idf"]),
@@ -27,6 +25,8 @@ FEATURES: dict[str, Feature] = {
     "QueryWordOverlap": lambda s, extra: features.query_features(s, extra["queries"]).select("did", "sno", F.col("overlap").alias("value")),
     "QueryPhraseMatch": lambda s, extra: features.phrase_match(s, extra["phrases"]),
 }
+#: Features that a sentence has by itself: columns, not joins.
+ROW_FEATURES: dict[str, Callable[[], Column]] = {"Position": lambda: features.position(F.col("sno")), "Length": lambda: features.length(F.col("text"))}
 CLASSIFIERS: dict[str, Callable[[], Column]] = {"default": classify.linear, "lead": classify.lead, "random": classify.random_score}
 RERANKERS: dict[str, Callable[..., DataFrame]] = {
     "identity": select.top_sentences,
@@ -39,9 +39,15 @@ RERANKERS: dict[str, Callable[..., DataFrame]] = {
 
 
 def register_feature(name: str, function: Feature) -> None:
+    ROW_FEATURES.pop(name, None)
     FEATURES[name] = function
 
 
+def register_row_feature(name: str, make: Callable[[], Column]) -> None:
+    FEATURES.pop(name, None)
+    ROW_FEATURES[name] = make
+
+
 def register_classifier(name: str, make: Callable[[], Column]) -> None:
     CLASSIFIERS[name] = make
 
@@ -62,10 +68,12 @@ class Summarizer:
 
     def scores(self, sentences: DataFrame) -> DataFrame:
         """Sentences with their features and score."""
-        wide = features.combine(*((name, FEATURES[name](sentences, self.extra)) for name in self.features))
-        if "Length" not in self.features:
-            wide = wide.join(sentences.select("did", "sno", features.length(F.col("text")).alias("Length")), ["did", "sno"])
-        return sentences.join(wide, ["did", "sno"]).withColumn("score", CLASSIFIERS[self.classifier]())
+        own = [n for n in dict.fromkeys((*self.features, "Length")) if n in ROW_FEATURES]
+        out = sentences.withColumns({n: ROW_FEATURES[n]().cast("double") for n in own})
+        joined = [(n, FEATURES[n](sentences, self.extra)) for n in self.features if n not in ROW_FEATURES]
+        if joined:
+            out = out.join(features.combine(*joined), ["did", "sno"], "left")
+        return out.withColumn("score", CLASSIFIERS[self.classifier]())
 
     def extract(self, sentences: DataFrame) -> DataFrame:
         """(cluster, did, sno, ord): the chosen sentences in the order of their documents."""
