@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ MOST_STEPS = 11
 
 @dataclass(frozen=True)
 class Weights:
-    """Matrices of the network; ``random`` makes some for tests, trained ones are loaded from a file of arrays."""
+    """Matrices of the network; ``random`` makes some for tests, ``load`` reads trained ones from a file of named arrays (.npz)."""
 
     embed: np.ndarray
     sentence: np.ndarray
@@ -31,6 +31,23 @@ class Weights:
         return Weights(m(vocabulary, hidden), m(3, 2 * hidden + 1, hidden), m(3, 2 * hidden + nodes + 1, hidden), m(4, 2 * hidden + 1, hidden), m(hidden, hidden), m(hidden, hidden), m(hidden))
 
 
+    def save(self, path: str) -> None:
+        np.savez(path, **{f.name: getattr(self, f.name) for f in fields(self)})
+
+    @staticmethod
+    def load(path: str) -> Weights:
+        """The arrays of a file by their names; a missing one, or one whose sizes do not fit the others', is an error."""
+        with np.load(path, allow_pickle=False) as file:
+            w = Weights(**{f.name: file[f.name].astype(float) for f in fields(Weights)})
+        hidden = w.embed.shape[1]
+        nodes = w.document.shape[1] - 2 * hidden - 1
+        want = {"sentence": (3, 2 * hidden + 1, hidden), "document": (3, 2 * hidden + nodes + 1, hidden), "decoder": (4, 2 * hidden + 1, hidden), "attend_memory": (hidden, hidden), "attend_state": (hidden, hidden), "attend": (hidden,)}
+        wrong = [n for n, size in want.items() if getattr(w, n).shape != size]
+        if wrong or nodes < 0:
+            raise ValueError(f"sizes do not fit: {', '.join(wrong) or 'document'}")
+        return w
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 

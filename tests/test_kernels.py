@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import similarity as S
 from lectern.functions import text as T
-from lectern.operators import evaluation, graph, select
+from lectern.operators import evaluation, graph, pointer, select
 
 
 def tables(a, b):
@@ -87,3 +87,13 @@ def test_spearman_over_many_parts(spark):
     got = evaluation.spearman(a, b).first()
     both = pd.DataFrame({"x": pd.Series(x).rank(ascending=False)}).join(pd.DataFrame({"y": pd.Series(y, index=np.arange(1, 2001)).rank(ascending=False)}), how="outer").fillna(2001)
     assert got["items"] == 2001 and got.spearman == pytest.approx(both.x.corr(both.y), abs=1e-9)
+
+
+def test_weights_are_loaded_as_they_were_saved(tmp_path):
+    made = pointer.Weights.random(20, 4, hidden=3, seed=1)
+    made.save(str(tmp_path / "w.npz"))
+    got = pointer.Weights.load(str(tmp_path / "w.npz"))
+    assert all(np.array_equal(getattr(got, n), getattr(made, n)) for n in ("embed", "sentence", "document", "decoder", "attend_memory", "attend_state", "attend"))
+    np.savez(tmp_path / "bad.npz", **{n: getattr(made, n) for n in ("embed", "sentence", "document", "attend_memory", "attend_state", "attend")}, decoder=np.zeros((4, 2, 3)))
+    with pytest.raises(ValueError, match="decoder"):
+        pointer.Weights.load(str(tmp_path / "bad.npz"))
