@@ -29,6 +29,8 @@ from .common import meet, numbered, slices, text_of, written
 #: The classifier is fitted on at most so many labelled rows (those of the smallest hashes), and weighs at most so many words.
 SAMPLE_ROWS = 8000
 EVIDENCE_WORDS = 50_000
+#: Described rows of the sample for each file.
+FILE_ROWS = 500
 #: Documents below this posterior are rejected.
 THRESHOLD = 0.5
 #: Strength of the prior of a word's rate, and least documents that must have the word.
@@ -159,10 +161,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     one = known.groupBy(F.col(key).alias("key")).agg(F.min("quality").cast("double").alias("quality"), F.max("toxic").cast("double").alias("toxic"))
     sample = one.orderBy(F.xxhash64("key"), "key").limit(sample_rows)
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"), F.xxhash64(text_of(text)).alias("th"))
+    # bounded by ``sample_rows``, as ``sample`` is; so are the rows of ``described``, which need few files
     labelled = rows.select("key", "th").join(F.broadcast(sample), "key").groupBy("key", "quality", "toxic").agg(F.min("th").alias("th"))
-    chosen = written(labelled, "labelled")  # bounded by ``sample_rows``, as ``sample`` is
-    texts = rows.join(F.broadcast(chosen), ["key", "th"]).select(F.xxhash64("key").alias("kh"), "quality", "toxic", "text")
-    described = written(texts.mapInArrow(_described, "kh long, quality double, toxic double, shape array<double>, words array<string>").dropDuplicates(["kh"]), "described")
+    texts = rows.join(F.broadcast(labelled), ["key", "th"]).select(F.xxhash64("key").alias("kh"), "quality", "toxic", "text")
+    described = written(texts.mapInArrow(_described, "kh long, quality double, toxic double, shape array<double>, words array<string>").dropDuplicates(["kh"]).coalesce(-(-sample_rows // FILE_ROWS)), "described")
     gains = word_gains(described).toArrow().to_pydict()
     by_half = [{w: g for w, g in zip(gains["word"], gains[c], strict=True) if g is not None} for c in ("g0", "g1", "g")]
     shared = docs.sparkSession.sparkContext.broadcast(by_half[:2])
