@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -160,6 +161,8 @@ def basic_elements(peers: DataFrame, models: DataFrame, alpha: float = 0.5) -> D
 
 #: A table of one pair has a byte for each cell; pairs go through together up to so many cells.
 TABLE_CELLS = 8_000_000
+#: A pair of more cells is a table by itself, made row by row.
+LONG_CELLS = 20_000
 
 
 def _places(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, power: float) -> np.ndarray:
@@ -194,15 +197,63 @@ def _places(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, power:
     return out
 
 
+def _places_long(a: np.ndarray, b: np.ndarray, power: float) -> np.ndarray:
+    """As ``_places`` for one pair, a row of the table at a time."""
+    m, n = len(a), len(b)
+    gain = np.diff(np.arange(min(m, n) + 2, dtype=float) ** power)
+    turn = np.zeros((m, n), dtype=np.uint8)
+    best, run = np.zeros(n + 1), np.zeros(n + 1, dtype=np.int32)
+    for i in range(m):
+        same = b == a[i]
+        at = np.flatnonzero(same)
+        new, new_run = best.copy(), np.zeros(n + 1, dtype=np.int32)
+        new[at + 1], new_run[at + 1] = best[at] + gain[run[at]], run[at] + 1
+        edges = [0, *(at + 1).tolist(), n + 1]  # a match is what it is; after it the largest so far counts
+        for start, stop in pairwise(edges):
+            np.maximum.accumulate(new[start:stop], out=new[start:stop])
+        turn[i] = np.where(same, 0, np.where(best[1:] >= new[:-1], 1, 2))
+        best, run = new, new_run
+    out, i, j = np.zeros(m, dtype=bool), m, n
+    while i and j:
+        step = turn[i - 1, j - 1]
+        out[i - 1] |= step == 0
+        i, j = i - (step != 2), j - (step != 1)
+    return out
+
+
+def _collapsed(words: list[str], shared: set[str], code: dict[str, int], other: int) -> tuple[list[int], list[int]]:
+    """Numbers of the words, with one number for each run of words that the other side lacks, and the words' places (-1 for a run).
+
+    Rows and columns of a table that match nothing are copies of the first of
+    them, and a path goes straight through copies, so one of a run is enough.
+    """
+    numbers, places = [], []
+    for i, w in enumerate(words):
+        if w in shared:
+            numbers.append(code.setdefault(w, len(code)))
+            places.append(i)
+        elif not numbers or numbers[-1] != other:
+            numbers.append(other)
+            places.append(-1)
+    return numbers, places
+
+
 def _union_places(pairs: list[tuple[list[str], list[list[str]]]], power: float) -> list[np.ndarray]:
     """For each (sentence, other text) the places of the sentence on a subsequence with any of the other's sentences."""
     out = [np.zeros(len(sentence), dtype=bool) for sentence, _ in pairs]
-    number: dict[str, int] = {}
-    code = lambda ws: np.array([number.setdefault(w, len(number)) for w in ws], dtype=np.int64)
+    code: dict[str, int] = {}
     jobs = []
     for k, (sentence, others) in enumerate(pairs):
-        words, mine = set(sentence), code(sentence)
-        jobs += [(k, mine, code(o)) for o in others if not words.isdisjoint(o)]
+        words = set(sentence)
+        for o in others:
+            if shared := words.intersection(o):
+                mine, at = _collapsed(sentence, shared, code, -1)
+                theirs, _ = _collapsed(o, shared, code, -2)
+                if len(mine) * len(theirs) > LONG_CELLS:
+                    found = _places_long(np.array(mine), np.array(theirs), power)
+                    out[k][[p for p, f in zip(at, found.tolist(), strict=True) if f]] = True
+                else:
+                    jobs.append((k, mine, theirs, at))
     jobs.sort(key=lambda x: (len(x[1]), len(x[2])))
     start = 0
     while start < len(jobs):
@@ -214,11 +265,11 @@ def _union_places(pairs: list[tuple[list[str], list[list[str]]]], power: float)
             stop, m, n = stop + 1, high, wide
         part = jobs[start:stop]
         a, b = np.full((len(part), m), -1), np.full((len(part), n), -2)
-        for r, (_, x, y) in enumerate(part):
+        for r, (_, x, y, _) in enumerate(part):
             a[r, : len(x)], b[r, : len(y)] = x, y
         found = _places(a, b, np.array([len(x[1]) for x in part]), np.array([len(x[2]) for x in part]), power)
-        for r, (k, x, _) in enumerate(part):
-            out[k] |= found[r, : len(x)]
+        for r, (k, _, _, at) in enumerate(part):
+            out[k][[at[i] for i in np.flatnonzero(found[r]).tolist()]] = True
         start = stop
     return out
 
@@ -261,6 +312,7 @@ def sequence_score(peers: DataFrame, models: DataFrame, weight: float | None = N
     lines = lambda c: F.transform(F.split(c, "\n"), rouge_tokens)
     words = lambda c: F.aggregate(F.transform(c, F.size), F.lit(0), lambda s, x: s + x)
     pairs = peers.select("eval", "peer", lines(F.col("text")).alias("ps")).join(models.select("eval", "model", lines(F.col("text")).alias("ms")), "eval")
+    pairs = pairs.repartition("eval", "peer", "model")  # evaluations may be few and large
     each = pairs.select("eval", "peer", "model", hits("ms", "ps").alias("hits"), words(F.col("ps")).alias("n_peer"), words(F.col("ms")).alias("n_model"))
     if weight is None:
         return over_models(each, mode, alpha).select("eval", "peer", "r", "p", "f")

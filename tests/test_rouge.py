@@ -84,11 +84,12 @@ def plain_places(a, b, power):
 @pytest.mark.parametrize("power", [1.0, 1.2])
 def test_tables_of_many_pairs_are_those_of_each(power, monkeypatch):
     rng = random.Random(3)
-    word = lambda n: [rng.choice("abcdefg") for _ in range(rng.randint(0, n))]
-    pairs = [(word(12), [word(15) for _ in range(rng.randint(0, 4))]) for _ in range(60)]
+    word = lambda n: [rng.choice("abcdefghijkl"[: rng.randint(2, 12)]) for _ in range(rng.randint(0, n))]
+    pairs = [(word(12), [word(15) for _ in range(rng.randint(0, 4))]) for _ in range(300)]
     want = [set().union(*(plain_places(a, b, power) for b in others)) for a, others in pairs]
-    for cells in (8_000_000, 300):
+    for cells, long in ((8_000_000, 20_000), (300, 20_000), (300, 40), (300, 0)):
         monkeypatch.setattr(R, "TABLE_CELLS", cells)
+        monkeypatch.setattr(R, "LONG_CELLS", long)
         assert [set(np.flatnonzero(x).tolist()) for x in R._union_places(pairs, power)] == want
 
 
