@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -43,15 +44,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: its lineage ends there.
 
-    Tables stay until the folder is cleaned (``release``), so a lost executor
-    recomputes from files that every node can read.
+    Tables stay until they are dropped (``drop_scratch``) or the folder is
+    cleaned (``release``), so a lost executor recomputes from files that every
+    node can read.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _made.append((threading.get_ident(), path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What this process has written: (thread, path), in order.
+_made: list[tuple[int, str]] = []
+
+
+def made() -> int:
+    """A mark for ``drop_scratch``."""
+    return len(_made)
+
+
+def drop_scratch(spark: SparkSession, since: int, until: int) -> None:
+    """Delete the tables that this thread wrote between two marks; nothing may read them any more."""
+    for thread, path in _made[since:until]:
+        if thread == threading.get_ident():
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every scratch table of this library; call it when no result that reads them is needed any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lectern")

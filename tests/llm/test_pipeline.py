@@ -1,3 +1,4 @@
+import os
 import random
 
 import corpus_pipeline as P
@@ -69,7 +70,12 @@ def test_stages_take_effect(spark, folder, tmp_path):
 
 
 def test_run_gives_the_last_stage(spark, folder):
+    tables = lambda: set(os.listdir(f"{P.common.shared_dir(spark).removeprefix('file:')}/lectern"))
+    P.common.written(spark.range(1), "other")
+    before = tables()
     out = P.run(spark, folder[0])
+    left = tables() - before
+    assert len([x for x in left if x.startswith("best-fit-packing")]) == 1 and not [x for x in left if x.startswith(("quality", "line", "MinHash", "signed", "hits"))] and before <= tables()
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     total = out.groupBy("sequence_id").sum("length").collect()
     assert total and max(r[1] for r in total) <= 1024
