@@ -60,8 +60,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over the whole table; each result is written in the shared folder and read back."""
-    docs = _table(spark, sf_dir, "documents")
+    """The stages in order over the whole table; each result is written in the shared folder and read back.
+
+    Once a stage's result is written, the tables that it wrote on the way and the
+    result of the stage before it are deleted.
+    """
+    docs, before = _table(spark, sf_dir, "documents"), common.made()
     for name, stage in STAGES:
         docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        result = common.made() - 1
+        common.drop_scratch(spark, before, result)
+        before = result
     return docs
