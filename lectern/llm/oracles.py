@@ -103,3 +103,33 @@ m AS (SELECT node, min(c) AS class_id FROM r GROUP BY node),
 z AS (SELECT class_id, sum(copies) AS n FROM m JOIN c USING (node) GROUP BY class_id)
 SELECT k.doc_id, coalesce(m.class_id, k.doc_id) AS class_id, CAST(coalesce(z.n, 1) AS BIGINT) AS n_class, coalesce(m.class_id, k.doc_id) = k.doc_id AS kept
 FROM k LEFT JOIN c USING (key) LEFT JOIN m USING (node) LEFT JOIN z ON z.class_id = m.class_id"""
+
+
+def _parts(url: str) -> str:
+    """host, path and address of an expression, as columns."""
+    rest = f"CASE WHEN contains({url}, '://') THEN {url}[instr({url}, '://') + 3:] ELSE '' END"
+    host = f"translate(regexp_extract({rest}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"coalesce({host}, '') AS host, coalesce(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '') AS path, {host} || regexp_extract({rest}, '^[^/?#]*([^#]*)', 1) AS address"
+
+
+_RULE = """CASE WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/' WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+  WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/' WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END"""
+_VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_CANONICAL = r"""(?i)\srel\s*=\s*["']?([^"'>]*\s)?canonical[\s"'/>]"""
+_REFRESH = r"""(?i)\shttp-equiv\s*=\s*["']?refresh[\s"'/>]"""
+_TAGS = f"list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<link\\s[^>]*>'), lambda t: regexp_matches(t, {_quoted(_CANONICAL)}))"
+_METAS = f"list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<meta\\s[^>]*>'), lambda t: regexp_matches(t, {_quoted(_REFRESH)}))"
+_CONTENT = r"""(?i)\scontent\s*=\s*["']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["']?([^"'>\s]+)"""
+
+URLS = f"""
+WITH RECURSIVE p AS (SELECT page_id, url, html, {_parts("url")} FROM pages),
+l AS (SELECT host, path, address, unnest(list_transform({_TAGS}, lambda t: regexp_extract(t, {_quoted("(?i)" + chr(92) + "shref" + _VALUE)}, 1)) || list_transform({_METAS}, lambda t: regexp_extract(t, {_quoted(_CONTENT)}, 1))) AS link FROM p),
+t AS (SELECT host, path, address, trim(replace(regexp_replace(link, {_quoted("^[" + chr(34) + "']|[" + chr(34) + "']$")}, '', 'g'), '&amp;', '&')) AS link FROM l),
+a AS (SELECT address AS u, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN link LIKE '//%' THEN 'x:' || link WHEN link LIKE '/%' THEN 'x://' || host || link
+  WHEN link LIKE '?%' THEN 'x://' || host || path || link WHEN regexp_matches(link, '^(#|$)|^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+  ELSE 'x://' || host || CASE WHEN contains(path, '/') THEN regexp_extract(path, '^.*/') ELSE '/' END || link END AS url FROM t WHERE host <> ''),
+e AS (SELECT u, address AS v, {_RULE} AS rule FROM (SELECT u, {_parts("url")} FROM a) WHERE host <> ''),
+b AS (SELECT address AS x FROM p WHERE {_RULE} IN ('net/', 'example.com/de/') UNION SELECT v FROM e WHERE rule IN ('net/', 'example.com/de/')),
+two AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT x FROM b UNION SELECT v FROM r JOIN two ON u = x)
+SELECT page_id, host, path, {_RULE} AS rule, CASE WHEN {_RULE} IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN {_RULE} IS NOT NULL OR r.x IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+  {_RULE} IS NULL AND r.x IS NOT NULL AS aliased FROM p LEFT JOIN r ON r.x = address AND host <> ''"""

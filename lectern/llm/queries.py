@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, embedding_dedup, line_dedup, minhash, oracles, packing, quality, secret_scan, sharding, token_counts
+from . import chat_format, decontamination, embedding_dedup, line_dedup, minhash, oracles, packing, quality, secret_scan, sharding, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
     "op2_secret_ownership": op2_secret_ownership,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bag_minhash": op8_bag_minhash,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_spaced_seeds": op10_spaced_seeds,
+    "op13_redirect_equivalence": op13_redirect_equivalence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -80,4 +85,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_cross_polytope": oracles.EMBEDDINGS,
     "op7_token_assembly": oracles.CONVERSATIONS,
     "op8_bag_minhash": oracles.NEAR_DUPLICATES,
+    "op13_redirect_equivalence": oracles.URLS,
 }
