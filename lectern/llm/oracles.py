@@ -133,3 +133,19 @@ b AS (SELECT address AS x FROM p WHERE {_RULE} IN ('net/', 'example.com/de/') UN
 two AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT x FROM b UNION SELECT v FROM r JOIN two ON u = x)
 SELECT page_id, host, path, {_RULE} AS rule, CASE WHEN {_RULE} IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN {_RULE} IS NOT NULL OR r.x IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
   {_RULE} IS NULL AND r.x IS NOT NULL AS aliased FROM p LEFT JOIN r ON r.x = address AND host <> ''"""
+
+#: CRC-32 as a fold over the bytes, each followed by eight shifts (-1).
+_BYTES = "flatten(list_transform(string_split(s, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, -1, -1, -1, -1, -1, -1, -1, -1, unicode(x) - 64] END || [-1, -1, -1, -1, -1, -1, -1, -1]))"
+_CRC = f"xor(list_reduce([4294967295::BIGINT] || {_BYTES}, lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
+
+SPELLING = f"""
+WITH RECURSIVE t AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+u AS (SELECT d, run, count(*) AS c, d || ':' || run AS s FROM t WHERE length(run) >= 5 GROUP BY ALL), h AS (SELECT run, c, {_CRC} AS h FROM u),
+x AS (SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, c FROM h),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM x WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+k AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest, i = 1 OR word[i] <> word[i - 1] AS first FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS other, b.n AS m FROM k a JOIN k b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word UNION ALL SELECT k.word, w.word, w.n FROM k JOIN w ON w.word = rest WHERE first UNION ALL SELECT w.word, k.word, k.n FROM k JOIN w ON w.word = rest WHERE first),
+g AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, other)) AS other FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM w LEFT JOIN g USING (word)),
+r AS (SELECT word, word AS at, 0 AS steps FROM f UNION ALL SELECT r.word, f.form, steps + 1 FROM r JOIN f ON f.word = at WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(at, steps) AS root FROM r GROUP BY word) USING (word)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, embedding_dedup, line_dedup, minhash, oracles, packing, quality, secret_scan, sharding, token_counts, url_filter
+from . import chat_format, decontamination, embedding_dedup, line_dedup, minhash, oracles, packing, quality, secret_scan, sharding, spelling, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_rolling_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def op13_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bag_minhash": op8_bag_minhash,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_spaced_seeds": op10_spaced_seeds,
+    "op12_rolling_deletions": op12_rolling_deletions,
     "op13_redirect_equivalence": op13_redirect_equivalence,
 }
 
@@ -85,5 +90,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_cross_polytope": oracles.EMBEDDINGS,
     "op7_token_assembly": oracles.CONVERSATIONS,
     "op8_bag_minhash": oracles.NEAR_DUPLICATES,
+    "op12_rolling_deletions": oracles.SPELLING,
     "op13_redirect_equivalence": oracles.URLS,
 }
