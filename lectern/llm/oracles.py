@@ -147,5 +147,5 @@ k AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest, i = 1 OR word[i]
 p AS (SELECT a.word, b.word AS other, b.n AS m FROM k a JOIN k b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word UNION ALL SELECT k.word, w.word, w.n FROM k JOIN w ON w.word = rest WHERE first UNION ALL SELECT w.word, k.word, k.n FROM k JOIN w ON w.word = rest WHERE first),
 g AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, other)) AS other FROM p GROUP BY word),
 f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM w LEFT JOIN g USING (word)),
-r AS (SELECT word, word AS at, 0 AS steps FROM f UNION ALL SELECT r.word, f.form, steps + 1 FROM r JOIN f ON f.word = at WHERE f.form IS NOT NULL)
-SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(at, steps) AS root FROM r GROUP BY word) USING (word)"""
+r AS (SELECT word, word AS tip, 0 AS steps FROM f UNION ALL SELECT r.word, f.form, steps + 1 FROM r JOIN f ON f.word = tip WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(tip, steps) AS root FROM r GROUP BY word) USING (word)"""
