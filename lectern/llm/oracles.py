@@ -149,3 +149,17 @@ g AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, other))
 f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM w LEFT JOIN g USING (word)),
 r AS (SELECT word, word AS tip, 0 AS steps FROM f UNION ALL SELECT r.word, f.form, steps + 1 FROM r JOIN f ON f.word = tip WHERE f.form IS NOT NULL)
 SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(tip, steps) AS root FROM r GROUP BY word) USING (word)"""
+
+
+def _terms(text: str) -> str:
+    return f"unnest(regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS w"
+
+
+SEARCH = f"""
+WITH tok AS (SELECT doc_id, {_terms("text")} FROM documents), q AS (SELECT item_id, w, count(*) AS c FROM (SELECT item_id, {_terms("text")} FROM benchmark) GROUP BY ALL),
+n AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id), k AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM n),
+tf AS (SELECT doc_id, w, count(*) AS tf FROM tok WHERE w IN (SELECT w FROM q) GROUP BY ALL),
+weight AS (SELECT w, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, k GROUP BY w, n_docs),
+p AS (SELECT doc_id, w, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))) AS s FROM tf JOIN n USING (doc_id) JOIN weight USING (w), k),
+s AS (SELECT item_id, doc_id, CAST(sum(c * s) AS BIGINT) AS score FROM q JOIN p USING (w) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, embedding_dedup, line_dedup, minhash, oracles, packing, quality, secret_scan, sharding, spelling, token_counts, url_filter
+from . import chat_format, decontamination, embedding_dedup, lexical_search, line_dedup, minhash, oracles, packing, quality, secret_scan, sharding, spelling, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_tiered_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("depth")
+
+
 def op12_rolling_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bag_minhash": op8_bag_minhash,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_spaced_seeds": op10_spaced_seeds,
+    "op11_tiered_index": op11_tiered_index,
     "op12_rolling_deletions": op12_rolling_deletions,
     "op13_redirect_equivalence": op13_redirect_equivalence,
 }
@@ -90,6 +95,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_cross_polytope": oracles.EMBEDDINGS,
     "op7_token_assembly": oracles.CONVERSATIONS,
     "op8_bag_minhash": oracles.NEAR_DUPLICATES,
+    "op11_tiered_index": oracles.SEARCH,
     "op12_rolling_deletions": oracles.SPELLING,
     "op13_redirect_equivalence": oracles.URLS,
 }
