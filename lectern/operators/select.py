@@ -1,18 +1,22 @@
 """Selection of sentences under a budget. Candidates are (cluster, did, sno, text, score).
 
-Order everywhere: score (rounded to 9 digits) descending, then did, sno. Greedy
-rules are folds over a cluster's candidates in that order; a cluster is a small
-group of documents, so one row holds its candidates. What is not greedy is a
-window.
+Order everywhere: score (rounded to 9 digits) descending, then did, sno. The
+greedy choice without redundancy is rounds of joins over similar pairs, and what
+is not greedy is a window. Only ``threshold_filter``, whose rule weighs each
+candidate against all that it keeps, folds over a cluster in one row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import BY_NAME, binary_cosine
-from ..functions.text import bound, digits, split_words
+from ..functions.similarity import binary_cosine, overlap
+from ..functions.text import digits, split_words, unordered_bigrams
+from .graph import checkpointed
+from .redundancy import passed_over, similar_sets
 
 
 #: A fixed value: what a chosen sentence's score gains.
@@ -32,45 +36,78 @@ def top_sentences(candidates: DataFrame, percent: float | None = 20, absolute: i
     return ranked.join(size, "cluster").where(F.col("rank") <= F.ceil(F.col("n") * percent / 100)).drop("n")
 
 
-def _fold(candidates: DataFrame, target: Column, by_words: bool, similarity: str | None, threshold: float) -> DataFrame:
-    words = candidates.withColumn("w", split_words(F.col("text"))).withColumn("key", F.round("score", 9))
-    item = F.struct((-F.col("key")).alias("k"), "did", "sno", "score", F.size("w").alias("n"), F.when(F.lit(similarity is not None), F.array_distinct("w")).alias("w"))
-    rows = words.groupBy("cluster").agg(F.array_sort(F.collect_list(item)).alias("items"), F.count(F.lit(1)).alias("sentences"), F.sum(F.size("w")).alias("words")).withColumn("target", target)
-    kind = "struct<did:bigint,sno:int,score:double,n:int,w:array<string>>"
-    start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("stop"), F.array().cast(f"array<{kind}>").alias("out"))
-    alike = BY_NAME[similarity] if similarity else None
-
-    def step(s: Column, x: Column) -> Column:
-        after = s["used"] + x["n"]
-        if by_words:
-            fits = (after <= F.col("target")) | (s["used"] == 0) | (F.abs(after - F.col("target")) < F.abs(s["used"] - F.col("target")))
-        else:
-            fits = F.size(s["out"]) < F.col("target")
-        redundant = F.exists(s["out"], lambda c: alike(c["w"], x["w"]) >= threshold) if alike else F.lit(False)
-        one = F.struct(x["did"].cast("bigint").alias("did"), x["sno"].cast("int").alias("sno"), x["score"].alias("score"), x["n"].alias("n"), x["w"].alias("w"))
-        return (
-            F.when(s["stop"], s)
-            .when(~fits, F.struct(s["used"].alias("used"), F.lit(True).alias("stop"), s["out"].alias("out")))
-            .when(redundant, s)
-            .otherwise(F.struct(after.alias("used"), F.lit(False).alias("stop"), F.concat(s["out"], F.array(one)).alias("out")))
-        )
+#: What rerankers may compare sentences by: the set of a sentence's distinct tokens that stands for it, and the similarity of two sets.
+SETS: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
+    "cosine": (lambda w: w, binary_cosine),
+    "overlap": (lambda w: w, overlap),
+    "bigram": (lambda w: F.array_distinct(unordered_bigrams(w)), overlap),
+}
 
-    chosen = rows.select("cluster", F.posexplode(F.aggregate("items", start, step, lambda s: s["out"])).alias("rank", "x"))
-    return chosen.select("cluster", "x.did", "x.sno", "x.score", "x.n", (F.col("rank") + 1).alias("rank"))
 
+def _independent(ranked: DataFrame, similarity: str, threshold: float) -> DataFrame:
+    """(cluster, place) of the sentences that are as similar as ``threshold`` to no better one that is among them.
 
-def _target(percent: float | None, absolute: int | None, total: str) -> Column:
-    return F.lit(absolute) if absolute is not None else F.ceil(F.col(total) * (percent or 0) / 100)
+    Of sentences with equal sets only the first can be, so copies leave before
+    sets are compared. Sentences without words are similar to none.
+    """
+    alike = SETS[similarity][1]
+    empty = ranked.where("size(w) = 0").select("cluster", "place")
+    if threshold > 1:
+        return ranked.select("cluster", "place")
+    if threshold <= 0:
+        return ranked.where("place = 1").select("cluster", "place")
+    sets = checkpointed(ranked.where("size(w) > 0").groupBy("cluster", F.array_sort("w").alias("w")).agg(F.min("place").alias("place")))
+    pairs = similar_sets(sets, alike(F.col("wa"), F.col("wb")), threshold, "cluster", "place")
+    gone = passed_over(pairs).withColumnRenamed("b", "place")
+    return sets.select("cluster", "place").join(gone, ["cluster", "place"], "left_anti").unionByName(empty)
+
+
+def _greedy(candidates: DataFrame, target: Column, by_words: bool, similarity: str | None, threshold: float) -> DataFrame:
+    """(cluster, did, sno, score, n, rank): sentences in order until ``target`` is met, without those too similar to a chosen one."""
+    words = split_words(F.col("text"))
+    one = (F.col("did").cast("bigint").alias("did"), F.col("sno").cast("int").alias("sno"), "score", F.size(words).alias("n"), F.row_number().over(ordered()).alias("place"))
+    whole = Window.partitionBy("cluster")
+    if similarity is None:
+        marked = candidates.select("cluster", *one).withColumn("taken", F.lit(1))
+    else:
+        ranked = checkpointed(candidates.select("cluster", *one, SETS[similarity][0](F.array_distinct(words)).alias("w")))
+        free = _independent(ranked, similarity, threshold).withColumn("__taken", F.lit(1))
+        marked = ranked.drop("w").join(free, ["cluster", "place"], "left").withColumn("taken", F.coalesce("__taken", F.lit(0))).drop("__taken")
+    before = whole.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    run = marked.withColumns(
+        {
+            "target": target,
+            "used": F.coalesce(F.sum(F.col("n") * F.col("taken")).over(before), F.lit(0)),
+            "count": F.coalesce(F.sum("taken").over(before), F.lit(0)),
+        }
+    )
+    after = F.col("used") + F.col("n")
+    if by_words:
+        fits = (after <= F.col("target")) | (F.col("used") == 0) | (F.abs(after - F.col("target")) < F.abs(F.col("used") - F.col("target")))
+    else:
+        fits = F.col("count") < F.col("target")
+    stop = F.min(F.when(~fits, F.col("place"))).over(whole)
+    kept = run.withColumn("stop", stop).where((F.col("taken") == 1) & (F.col("stop").isNull() | (F.col("place") < F.col("stop"))))
+    return kept.select("cluster", "did", "sno", "score", "n", (F.col("count") + 1).cast("int").alias("rank"))
+
+
+def _target(percent: float | None, absolute: int | None, words: bool) -> Column:
+    total = (F.sum("n") if words else F.count(F.lit(1))).over(Window.partitionBy("cluster"))
+    return F.lit(absolute) if absolute is not None else F.ceil(total * (percent or 0) / 100)
 
 
 def by_words(candidates: DataFrame, percent: float | None = 20, absolute: int | None = None) -> DataFrame:
     """Add the best sentence while the words stay within the target; the first that does not fit is added only if it ends nearer; then stop."""
-    return _fold(candidates, _target(percent, absolute, "words"), True, None, 0.0)
+    return _greedy(candidates, _target(percent, absolute, True), True, None, 0.0)
 
 
 def without_redundancy(candidates: DataFrame, percent: float | None = 20, absolute: int | None = None, words: bool = False, similarity: str = "cosine", threshold: float = 0.7) -> DataFrame:
-    """As ``top_sentences`` or ``by_words``, passing over sentences as similar as ``threshold`` to a chosen one."""
-    return _fold(candidates, _target(percent, absolute, "words" if words else "sentences"), words, similarity, threshold)
+    """As ``top_sentences`` or ``by_words``, passing over sentences as similar as ``threshold`` to a chosen one.
+
+    Candidates are written once; pairs come from a join on rare words and the
+    choice from rounds of joins (``redundancy``), so a cluster may be of any size.
+    """
+    return _greedy(candidates, _target(percent, absolute, words), words, similarity, threshold)
 
 
 def chosen_bonus(candidates: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -198,7 +235,7 @@ def threshold_filter(candidates: DataFrame, params: DataFrame, budget: int = 665
 
 def drop_repeats(candidates: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Candidates in rank order without those whose similarity to a kept one is over the threshold."""
-    return _fold(candidates, F.lit(1 << 30), False, "cosine", threshold + 1e-12)
+    return _greedy(candidates, F.lit(1 << 30), False, "cosine", threshold + 1e-12)
 
 
 def permutation(candidates: DataFrame, seed: int = 0) -> DataFrame:
