@@ -11,6 +11,8 @@ Owner-specific live tokens outside all base spans are added as spans of kind
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,30 +32,70 @@ EXAMPLE_OWNERS = 3
 EXAMPLE_REPOSITORIES = 5
 
 
+#: Running values are made in pieces of so many elements: appending copies a piece, never a whole array.
+_PIECE = 512
+
+
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column], start: int) -> Column:
+    """For each element of an array of longs, ``join`` of all before it, from ``start``; in time that grows with the array, not its square."""
+    start = F.lit(start).cast("long")
+    none = F.array().cast("array<long>")
+
+    def before(piece: Column, first: Column) -> Column:
+        add = lambda s, x: F.struct(join(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(piece, F.struct(first.alias("at"), none.alias("out")), add, lambda s: s["out"])
+
+    def pieces(all_: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(_PIECE))
+        return F.transform(starts, lambda i: F.slice(all_, i + 1, F.lit(_PIECE)))
+
+    def joined(cut: Column) -> Column:
+        totals = F.transform(cut, lambda piece: F.aggregate(piece, start, join))
+        return _with(before(totals, start), lambda firsts: F.flatten(F.transform(cut, lambda piece, j: before(piece, F.get(firsts, j)))))
+
+    return _with(values, lambda all_: _with(pieces(all_), joined))
+
+
 def _matches(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """array<struct<start,k,kind,end,v>> of the leftmost non-overlapping matches whose value is long enough.
 
     Matches and the text between them alternate, so running sums of their
     lengths are the positions (code points).
     """
-    k = KINDS.index(kind)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     between = F.split(text, pattern, -1)
-    steps = F.arrays_zip(
-        F.transform(F.slice(between, 1, F.size(whole)), F.length).alias("gap"), F.transform(whole, F.length).alias("n"), values.alias("v")
-    )
-    item = "struct<start:int,k:int,kind:string,end:int,v:string>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("found"))
+    steps = F.arrays_zip(F.transform(F.slice(between, 1, F.size(whole)), F.length).alias("gap"), F.transform(whole, F.length).alias("n"), values.alias("v"))
+
+    def spans(all_: Column) -> Column:
+        at = _running(F.transform(all_, lambda x: (x["gap"] + x["n"]).cast("long")), lambda a, b: a + b, 0)
+        one = lambda x, before: F.struct((before + x["gap"]).cast("int").alias("start"), F.lit(KINDS.index(kind)).alias("k"), F.lit(kind).alias("kind"), (before + x["gap"] + x["n"]).cast("int").alias("end"), x["v"].alias("v"))
+        return F.filter(F.zip_with(all_, at, one), lambda s: F.length(s["v"]) >= least)
 
-    def add(s: Column, x: Column) -> Column:
-        start, end = s["at"] + x["gap"], s["at"] + x["gap"] + x["n"]
-        one = F.struct(start.alias("start"), F.lit(k).alias("k"), F.lit(kind).alias("kind"), end.alias("end"), x["v"].alias("v"))
-        kept = F.when(F.length(x["v"]) >= least, F.concat(s["found"], F.array(one))).otherwise(s["found"])
-        return F.struct(end.alias("at"), kept.alias("found"))
+    none = F.array().cast("array<struct<start:int,k:int,kind:string,end:int,v:string>>")
+    return F.when(text.rlike(pattern), _with(steps, spans)).otherwise(none)
 
-    folded = F.aggregate(steps, begin, add, lambda s: s["found"])
-    return F.when(text.rlike(pattern), folded).otherwise(begin["found"])
+
+def _apart(spans: Column, base: Column) -> Column:
+    """The spans that overlap no base span: in order of start, none before ends behind the span's start, and none behind begins before its end."""
+    kind = "array<struct<start:int,k:int,kind:string,end:int,v:string>>"
+    far = F.lit(1 << 40).cast("long")
+    is_base = lambda s: s["k"] < len(BASE)
+
+    def free(every: Column) -> Column:
+        ends = _running(F.transform(every, lambda s: F.when(is_base(s), s["end"].cast("long")).otherwise(F.lit(0).cast("long"))), lambda a, b: F.greatest(a, b), 0)
+        starts = F.reverse(_running(F.transform(F.reverse(every), lambda s: F.when(is_base(s), s["start"].cast("long")).otherwise(far)), lambda a, b: F.least(a, b), 1 << 40))
+        rows = F.arrays_zip(every.alias("s"), ends.alias("end"), starts.alias("next"))
+        kept = F.filter(rows, lambda x: ~is_base(x["s"]) & (x["end"] <= x["s"]["start"]) & (x["next"] >= x["s"]["end"]))
+        return F.transform(kept, lambda x: x["s"])
+
+    none = F.array().cast(kind)
+    return F.when(F.size(spans) == 0, none).otherwise(_with(F.array_sort(F.concat(base, spans)), free))
 
 
 def _listing(spans: Column) -> Column:
@@ -71,6 +113,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: t
     one of their own. Repeated rows are rows of their own but share their owner.
     Extra columns are not read.
 
+    A text with many matches takes time in proportion to them: positions and
+    overlaps are running sums and running extremes, made in pieces.
+
     The texts are read once; only values move, as SHA-256. Values are summed by
     (hash, owner, repository) where they are read, and counts by hash of these
     sums. Occurrences of hot values, whose number is bounded, meet a broadcast
@@ -88,7 +133,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: t
     )
     looks = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(v, ""))) >= 10)
     base = F.array_sort(F.concat(*BASE))
-    apart = F.filter("other", lambda o: looks(o["v"]) & ~F.exists("base", lambda b: (o["start"] < b["end"]) & (b["start"] < o["end"])))
+    apart = _apart(F.filter("other", lambda o: looks(o["v"])), F.col("base"))
     hashed = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["v"], 256).alias("h")))
     rows = written(
         found.withColumn("base", base).withColumn("other", apart).select("__row", "__key", "repo", "own", hashed("base").alias("base"), hashed("other").alias("other")),

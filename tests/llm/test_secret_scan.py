@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from lectern.llm import secret_scan as S
 
@@ -73,3 +74,19 @@ def test_repeated_rows_null_keys_and_empty_table(spark):
     got = run(spark, rows)
     assert len(got) == 3 and len({r.base_sha256 for r in got}) == 1
     assert run(spark, []) == []
+
+
+def test_many_matches_in_one_text_take_time_in_proportion(spark):
+    """200,000 base matches and 20,000 other tokens, some of which overlap a base span."""
+    words = []
+    for i in range(200_000):
+        words.append(f"{i:016x}")
+        if i % 10 == 0:
+            words.append(f"Zq{i:06d}Xw_KpLmNoRsTuVy" if i % 20 else f"PASSWORD={i:06d}AbCdEfGhIjKlMnOpQ")
+    text = " ".join(words)
+    began = time.time()
+    row = S.digest(S.scan(spark.createDataFrame([(1, text, "s", "l")], "doc_id long, text string, source string, lang string"))).collect()[0]
+    assert time.time() - began < 90
+    spans = [x.split(":") for x in row.spans.split(",")]
+    assert (row.n_hex, row.n_assign, len(spans)) == (200_000, 10_000, 220_000)
+    assert all(text[int(s) : int(e)].startswith(("PASSWORD=" if k == "assign" else "Zq" if k == "owned" else "0")) for k, s, e in spans[::997])
