@@ -7,6 +7,8 @@ product overflows a long, in ANSI mode too.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,10 @@ def jump_shard(key: Column, shards: int) -> Column:
     """Shard 0..shards-1 of a long key (read as unsigned 64 bits; null counts as 0).
 
     Going from n to n + 1 shards a key keeps its shard or moves to shard n.
-    A key leaves the loop after about ln(shards) jumps; each jump goes at least
-    one shard further, so ``shards`` steps always suffice.
+    A key leaves the loop after about ln(shards) jumps, so most rows walk a
+    number of steps that grows with the logarithm; each jump goes at least one
+    shard further, so the few keys that are still under way walk ``shards``
+    steps more, which always suffice.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
@@ -48,8 +52,12 @@ def jump_shard(key: Column, shards: int) -> Column:
         step = (s["next"] + 1) * (F.lit(2147483648.0) / (F.shiftright(new_high, 1) + 1).cast("double"))
         return F.when(s["next"] < shards, F.struct(new_high.alias("high"), new_low.alias("low"), s["next"].alias("last"), F.floor(step).cast("long").alias("next"))).otherwise(s)
 
-    steps = F.sequence(F.lit(1), F.lit(shards))
-    return F.aggregate(steps, start, jump, lambda s: s["last"].cast("int"))
+    def rest(s: Column) -> Column:
+        more = F.aggregate(F.sequence(F.lit(1), F.lit(shards)), s, jump, lambda e: e["last"])
+        return F.when(s["next"] >= shards, s["last"]).otherwise(more).cast("int")
+
+    few = min(shards, 12 + math.ceil(3 * math.log(shards)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(few)), start, jump, rest)
 
 
 def slots(rows: DataFrame, shard: str, name: str = "slot") -> DataFrame:
