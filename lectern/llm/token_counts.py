@@ -20,8 +20,8 @@ from .tokens import encoder
 
 END_OF_DOCUMENT = 50256
 BLOCK_TOKENS = 1 << 20
-#: Files are written with so many documents at most.
-FILE_DOCUMENTS = 200_000
+#: Documents are written in rows of so many bytes (longer ones by themselves), and files of so many rows at most.
+ROW_BYTES, FILE_ROWS = 1 << 22, 64
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end: int = END_OF_DOCUMENT, dtype: str = "<u2", text: str = "text") -> str:
@@ -31,21 +31,37 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end:
     is the end-of-document id, so files are flat, go to any store that Spark
     writes to, and are committed as other tables are. Strings of special tokens
     in a text are ordinary text: no text can forge a separator. Null and empty
-    texts are a separator alone.
+    texts are a separator alone. A row holds the ids of many documents with
+    separators between them, so the number of rows bounds a file's bytes: 256 MB,
+    and more only by the length of single documents.
     """
     folder = path or scratch_path(docs.sparkSession, "tokens")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, specials=False)
+        encode, closing = encoder(tokenizer, specials=False), np.array([end], dtype=dtype).tobytes()
+        held: list[bytes] = []
+        size = 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([closing.join(held)], pa.binary())], names=["ids"])
+
         for batch in slices(batches, 256):
-            ids = [encode(t or "") for t in batch.column(0).to_pylist()]
-            if any((x == end).any() or (len(x) and int(x.max()) > np.iinfo(dtype).max) for x in ids):
-                raise ValueError("an id equals the separator or does not fit the file's type")
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype(dtype).tobytes() for x in ids], pa.binary())], names=["ids"])
+            for t in batch.column(0).to_pylist():
+                ids = encode(t or "")
+                if (ids == end).any() or (len(ids) and int(ids.max()) > np.iinfo(dtype).max):
+                    raise ValueError("an id equals the separator or does not fit the file's type")
+                data = ids.astype(dtype).tobytes()
+                if held and size + len(data) > ROW_BYTES:
+                    yield row()
+                    held, size = [], 0
+                held.append(data)
+                size += len(data) + len(closing)
+        if held:
+            yield row()
 
     separator = np.array([end], dtype=dtype).tobytes().decode("latin-1")
     rows = docs.select(F.col(text).alias("text")).mapInArrow(encoded, "ids binary").select(F.col("ids").cast("string").alias("value"))
-    rows.write.option("encoding", "ISO-8859-1").option("lineSep", separator).option("maxRecordsPerFile", FILE_DOCUMENTS).text(folder)
+    rows.write.option("encoding", "ISO-8859-1").option("lineSep", separator).option("maxRecordsPerFile", FILE_ROWS).text(folder)
     return folder
 
 
