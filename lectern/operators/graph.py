@@ -226,12 +226,17 @@ PRESETS = {
 }
 
 
-def similarity_edges(tokens: DataFrame, idf: DataFrame, item: str = "id", graph: str = "graph", least: float = 0.0, unknown: float = 0.1) -> DataFrame:
-    """(graph, src, dst, w): idf cosines over ``least`` between the items of a graph, both ways, from tokens (graph, id, w)."""
+def unit_vectors(tokens: DataFrame, idf: DataFrame, item: str = "id", graph: str = "graph", unknown: float = 0.1) -> DataFrame:
+    """(graph, item, w, v): tf * idf of the items' words over the length of each item's vector."""
     weight = tokens.groupBy(graph, item, "w").agg(F.count(F.lit(1)).alias("tf")).join(idf.select("w", "idf"), "w", "left")
     weight = weight.select(graph, item, "w", (F.col("tf") * F.coalesce("idf", F.lit(unknown))).alias("v"))
     norm = F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(graph, item))
-    unit = weight.withColumn("v", F.col("v") / F.sqrt(norm)).where(F.col("v").isNotNull())
+    return weight.withColumn("v", F.col("v") / F.sqrt(norm)).where(F.col("v").isNotNull())
+
+
+def similarity_edges(tokens: DataFrame, idf: DataFrame, item: str = "id", graph: str = "graph", least: float = 0.0, unknown: float = 0.1) -> DataFrame:
+    """(graph, src, dst, w): idf cosines over ``least`` between the items of a graph, both ways, from tokens (graph, id, w)."""
+    unit = unit_vectors(tokens, idf, item, graph, unknown)
     a, b = unit.alias("a"), unit.alias("b")
     met = a.join(b, (F.col(f"a.{graph}") == F.col(f"b.{graph}")) & (F.col("a.w") == F.col("b.w")) & (F.col(f"a.{item}") < F.col(f"b.{item}")))
     half = met.groupBy(F.col(f"a.{graph}").alias(graph), F.col(f"a.{item}").alias("src"), F.col(f"b.{item}").alias("dst")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("w")).where(F.col("w") > least)

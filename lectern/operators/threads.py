@@ -37,8 +37,8 @@ def nested_comments(pages: DataFrame, key: str = "did", xml: str = "xml") -> Dat
     # A comment's parent is the last one before it of the level above: a window over neighbouring levels, each of them once as itself and once as a parent.
     self_ = rows.withColumn("level", F.col("depth")).withColumn("own", F.lit(True))
     above = rows.withColumn("level", F.col("depth") + 1).withColumn("own", F.lit(False))
-    last = F.last(F.when(~F.col("own"), F.col("id")), ignorenulls=True).over(Window.partitionBy("did", "level").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
-    return self_.unionByName(above).withColumn("parent", last).where("own").select("did", "id", F.when(F.col("depth") > 0, F.col("parent")).alias("parent"), "depth", "ord", "author", "text")
+    last = F.last(F.when(~F.col("own"), F.struct("id")), ignorenulls=True).over(Window.partitionBy("did", "level").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    return self_.unionByName(above).withColumn("parent", last).where("own").select("did", "id", F.when(F.col("depth") > 0, F.col("parent.id")).alias("parent"), "depth", "ord", "author", "text")
 
 
 def ancestry(comments: DataFrame, keys: tuple[str, str] = ("id", "parent")) -> DataFrame:

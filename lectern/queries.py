@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import similarity, text
-from .operators import classify, evaluation, features, graph, ngram_graph, pointer, rouge, select
+from .functions import boundaries, similarity, taxonomy, text
+from .operators import classify, evaluation, features, graph, ngram_graph, pointer, redundancy, rouge, select, threads, walks
 from .plans.summarizer import Summarizer, sweep
 from .sources import readers, writers
 from .streaming import single_pass
@@ -394,6 +394,40 @@ def m12(spark: SparkSession, d: str) -> DataFrame:
     return graph.similarity_edges(_nodes(spark, d), _idf(spark, d)).select("graph", "src", "dst", _r("w"))
 
 
+@register("m12_pairs_above", "WITH " + IDF + ", " + WEIGHT + """,
+u AS (SELECT cluster, did * 1000000 + sno AS id, w, v / sqrt(n) AS v FROM v JOIN norm USING (did, sno) WHERE n > 0)
+SELECT a.cluster AS graph, a.id AS a, b.id AS b, round(sum(a.v * b.v), 6) AS cosine FROM u a JOIN u b ON a.cluster = b.cluster AND a.w = b.w AND a.id < b.id GROUP BY ALL HAVING sum(a.v * b.v) >= 0.4321""")
+def m12_above(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of sentences above a cosine, from prefixes of rare words."""
+    unit = graph.unit_vectors(_nodes(spark, d), _idf(spark, d))
+    return redundancy.pairs_above(unit, 0.4321).select("graph", "a", "b", _r("cosine"))
+
+
+_CONCEPTS = """l AS (SELECT DISTINCT p_name AS child, 'is ' || string_split(p_name, ' ')[1] AS parent FROM part UNION SELECT DISTINCT p_name, 'a ' || string_split(p_name, ' ')[-1] FROM part
+  UNION SELECT DISTINCT 'is ' || string_split(p_name, ' ')[1], 'thing' FROM part UNION SELECT DISTINCT 'a ' || string_split(p_name, ' ')[-1], 'thing' FROM part),
+c AS (SELECT p_name AS concept, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+r AS (SELECT DISTINCT x AS concept, x AS ancestor FROM (SELECT unnest([child, parent]) AS x FROM l) UNION SELECT r.concept, l.parent FROM r JOIN l ON l.child = r.ancestor),
+own AS (SELECT concept, coalesce(n, 0) + 1.0::DOUBLE AS n FROM (SELECT DISTINCT concept FROM r) LEFT JOIN c USING (concept)),
+ic AS (SELECT ancestor AS concept, -ln(sum(n) / (SELECT sum(n) FROM own)) AS ic FROM r JOIN own USING (concept) GROUP BY 1),
+pair AS (SELECT DISTINCT x.p_name AS a, y.p_name AS b FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_name < y.p_name)"""
+
+
+@register("m9_taxonomy_distance", "WITH RECURSIVE " + _CONCEPTS + """
+SELECT a, b, round(any_value(ia.ic) + any_value(ib.ic) - 2 * max(u.ic), 6) AS distance FROM pair JOIN r x ON x.concept = a JOIN r y ON y.concept = b AND y.ancestor = x.ancestor JOIN ic u ON u.concept = x.ancestor JOIN ic ia ON ia.concept = a JOIN ic ib ON ib.concept = b GROUP BY a, b""")
+def m9_taxonomy(spark: SparkSession, d: str) -> DataFrame:
+    """Names of parts lie under their first and under their last word, counted by lines of orders; pairs are names of one brand."""
+    part = readers.table(spark, d, "part")
+    words = F.split("p_name", " ")
+    what, kind, name, top = F.concat(F.lit("is "), F.get(words, 0)), F.concat(F.lit("a "), F.element_at(words, -1)), F.col("p_name"), F.lit("thing")
+    link = lambda child, parent: part.select(child.alias("child"), parent.alias("parent"))
+    links = link(name, what).union(link(name, kind)).union(link(what, top)).union(link(kind, top))
+    counts = readers.table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_name").alias("concept")).agg(F.count(F.lit(1)).alias("n"))
+    names = part.select("p_brand", "p_name").distinct()
+    pairs = names.withColumnRenamed("p_name", "a").join(names.withColumnRenamed("p_name", "b"), "p_brand").where("a < b").select("a", "b").distinct()
+    above = taxonomy.ancestors(links)
+    return taxonomy.jiang_conrath(pairs, above, taxonomy.information_content(above, counts)).select("a", "b", _r("distance"))
+
+
 @register("m14_generation_edges", "WITH " + TOK + """, t1 AS (SELECT cluster AS graph, did * 1000000 + sno AS id, w FROM tok),
 tf AS (SELECT graph, id, w, count(*) AS tf FROM t1 GROUP BY ALL), n AS (SELECT graph, id, count(*) AS n FROM t1 GROUP BY ALL),
 p AS (SELECT w, count(*) / (SELECT count(*) FROM t1) AS p FROM t1 GROUP BY w),
@@ -404,6 +438,59 @@ def m14(spark: SparkSession, d: str) -> DataFrame:
     return graph.generation_edges(_nodes(spark, d)).select("graph", "src", "dst", _r(F.log("g"), "log_g"))
 
 
+# -- boundaries and threads ----------------------------------------------------
+
+_CORE = r"""lower(regexp_replace(token, '^["''(\[{]+|["'')\]},;:]+$', '', 'g'))"""
+
+
+@register("t3_abbreviations", r"""WITH t AS (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0b\f\r]+')) AS token FROM documents), c AS (SELECT """ + _CORE + r""" AS core FROM t),
+w AS (SELECT regexp_matches(core, '[^.]\.$') AS dot, CASE WHEN regexp_matches(core, '[^.]\.$') THEN core[:-2] ELSE core END AS bare FROM c),
+x AS (SELECT dot, CASE WHEN regexp_matches(bare, '^-?[\d.,]*\d$') THEN '##number##' ELSE bare END AS type FROM w),
+n AS (SELECT type, count(*) FILTER (dot) AS k, count(*) FILTER (NOT dot) AS m FROM x WHERE regexp_matches(type, '\p{L}') GROUP BY type HAVING count(*) FILTER (dot) > 0),
+s AS (SELECT count(*) FILTER (dot) / count(*) AS p FROM x),
+y AS (SELECT type, k, m, -2 * ((k * ln(p) + m * ln(1 - p)) - (k * ln(0.99) + m * ln(0.01))) AS ratio, length(type) - length(replace(type, '.', '')) AS dots FROM n, s)
+SELECT type, k AS with_dot, m AS without, round(ratio * exp(-greatest(length(type) - dots, 1)) * (dots + 1) * pow(greatest(length(type) - dots, 1), -m), 6) + 0.0::DOUBLE AS score FROM y""")
+def t3_abbreviations(spark: SparkSession, d: str) -> DataFrame:
+    """How every type that a full stop follows scores as an abbreviation."""
+    words = boundaries.word_rows(_docs(spark, d).select(F.col("doc_id").alias("did"), "text"))
+    return boundaries.abbreviation_scores(words).select("type", "with_dot", "without", (F.round("score", 6) + 0.0).alias("score"))  # no negative zero
+
+
+@register("t3_learned_sentences")
+def t3_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """All documents cut by boundaries that are learned from all documents of their language."""
+    docs, out = _docs(spark, d).select(F.col("doc_id").alias("did"), "lang", "text"), None
+    for (lang,) in sorted(docs.select("lang").where("lang is not null").distinct().collect()):  # a handful of languages
+        mine = docs.where(F.col("lang") == lang)
+        one = boundaries.split(mine, boundaries.learn(mine))
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else boundaries.split(docs, boundaries.learn(docs))
+
+
+_TURNS = "t AS (SELECT conv_id AS did, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, role, text FROM conversations)"
+
+
+def _forum(spark: SparkSession, d: str) -> DataFrame:
+    """(did, xml): each conversation as a page on which every turn replies to the one before it."""
+    order = select.Window.partitionBy("conv_id").orderBy("turn")
+    turns = readers.table(spark, d, "conversations").withColumn("k", F.row_number().over(order))
+    opened = F.concat(F.lit('<comment id="'), F.col("conv_id").cast("string"), F.lit("-"), F.col("k").cast("string"), F.lit('" bloggerId="'), F.coalesce("role", F.lit("")), F.lit('">'), text.sanitize(F.coalesce("text", F.lit(""))))
+    pages = turns.select("conv_id", "k", opened.alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("s"))
+    return pages.select(F.col("conv_id").alias("did"), F.concat(F.array_join(F.col("s.x"), "\n"), F.repeat(F.lit("</comment>"), F.size("s"))).alias("xml"))
+
+
+@register("s23_nested_comments", "WITH " + _TURNS + r""" SELECT did, did || '-' || k AS id, CASE WHEN k > 1 THEN did || '-' || (k - 1) END AS parent, CAST(k - 1 AS INTEGER) AS depth, nullif(role, '') AS author,
+trim(regexp_replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS text FROM t""")
+def s23(spark: SparkSession, d: str) -> DataFrame:
+    return threads.nested_comments(_forum(spark, d)).drop("ord")
+
+
+@register("v22_reply_ancestry", "WITH RECURSIVE " + _TURNS + """, c AS (SELECT did || '-' || k AS id, CASE WHEN k > 1 THEN did || '-' || (k - 1) END AS parent FROM t),
+a AS (SELECT id, parent, 0 AS depth, id AS root FROM c WHERE parent IS NULL UNION ALL SELECT c.id, c.parent, depth + 1, root FROM a JOIN c ON c.parent = a.id) SELECT id, parent, depth, root FROM a""")
+def v22(spark: SparkSession, d: str) -> DataFrame:
+    return threads.ancestry(threads.nested_comments(_forum(spark, d)))
+
+
 # -- features ------------------------------------------------------------------
 
 
@@ -696,6 +783,60 @@ _walks("g6_watched_pagerank", graph.walk_watched)
 _walks("r17_graph_mmr", graph.as_walk(lambda w, r: graph.order_mmr(w, graph.walk_pagerank(w, r), **_TEXT["mmr"])))
 
 
+def _reinforced_sql(edges: str, teleport: float, alpha: float, steps: int, cumulative: bool) -> str:
+    """Unrolled steps of a reinforced walk over ``edges``: ctes e (src, dst, w) and v (id), with an even prior."""
+    out = edges + """, p AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM e), k AS (SELECT count(*) AS k FROM v),
+s0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / k AS r, id NOT IN (SELECT src FROM p) AS sink, 1.0::DOUBLE / k AS rank, 1.0::DOUBLE / k AS visits FROM v, k)"""
+    for i in range(steps):
+        new = f"{1 - teleport} * (visits * ({alpha} * (coalesce(got, 0) + r * sinks) + {1 - alpha} * ratio)) + {teleport} * r"
+        out += f""",
+a{i} AS (SELECT src AS id, sum(p * visits) AS ahead FROM p JOIN s{i} ON id = dst GROUP BY src),
+t{i} AS MATERIALIZED (SELECT s.id, r, sink, rank, visits, rank / ({alpha} * CASE WHEN sink THEN (SELECT sum(r * visits) FROM s{i}) ELSE coalesce(ahead, 0) END + {1 - alpha} * visits) AS ratio FROM s{i} s LEFT JOIN a{i} a ON a.id = s.id),
+i{i} AS (SELECT dst AS id, sum(p * ratio) AS got FROM p JOIN t{i} ON id = src GROUP BY dst), z{i} AS (SELECT coalesce(sum(ratio) FILTER (sink), 0) AS sinks FROM t{i}),
+s{i + 1} AS MATERIALIZED (SELECT t.id, r, sink, {new} AS rank, {"visits + " if cumulative else ""}{new} AS visits FROM t{i} t LEFT JOIN i{i} i ON i.id = t.id, z{i})"""
+    return out + f" SELECT id, round(rank, 9) AS rank FROM s{steps}"
+
+
+_CITED = """e AS (SELECT 2 * o_custkey AS src, 2 * l_partkey + 1 AS dst, CAST(count(*) AS DOUBLE) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+v AS (SELECT 2 * c_custkey AS id FROM customer UNION ALL SELECT 2 * p_partkey + 1 FROM part)"""
+_TOGETHER = """x AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), e AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, CAST(count(*) AS DOUBLE) AS w FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey GROUP BY ALL),
+v AS (SELECT s_suppkey AS id FROM supplier)"""
+
+
+def _even(ids: DataFrame) -> DataFrame:
+    return ids.withColumn("prior", F.lit(1.0))
+
+
+@register("g3_reinforced_citations", "WITH " + _reinforced_sql(_CITED, 0.15, 0.25, 3, False))
+def g3_large(spark: SparkSession, d: str) -> DataFrame:
+    """Customers cite the parts that they order; the preset of citation networks."""
+    t = lambda n: readers.table(spark, d, n)
+    rows = t("lineitem").select("l_orderkey", "l_partkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = rows.groupBy((2 * F.col("o_custkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    nodes = t("customer").select((2 * F.col("c_custkey")).alias("id")).union(t("part").select(2 * F.col("p_partkey") + 1))
+    return walks.divrank(edges, _even(nodes), tolerance=None, iterations=3, **graph.PRESETS["citation"]["divrank"]).select("id", F.round("rank", 9).alias("rank"))
+
+
+def _suppliers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers of one order are linked, as actors of one film; an order has a handful of them."""
+    x = readers.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    a, b = x.withColumnRenamed("l_suppkey", "src"), x.withColumnRenamed("l_suppkey", "dst")
+    edges = a.join(b, "l_orderkey").where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    return edges, _even(readers.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")))
+
+
+@register("g4_reinforced_actors", "WITH " + _reinforced_sql(_TOGETHER, 0.1, 0.25, 3, True))
+def g4_large(spark: SparkSession, d: str) -> DataFrame:
+    """Visits add up over the steps; the preset of actor networks."""
+    return walks.divrank(*_suppliers(spark, d), tolerance=None, iterations=3, cumulative=True, **graph.PRESETS["actors"]["divrank"]).select("id", F.round("rank", 9).alias("rank"))
+
+
+@register("g5_absorbing_walk")
+def g5_large(spark: SparkSession, d: str) -> DataFrame:
+    """The suppliers that an absorbing walk picks first."""
+    return walks.grasshopper(*_suppliers(spark, d), trust=0.5, top=3, tolerance=1e-6)
+
+
 @register("g9_merged_ngram_graph", "WITH " + NG + " SELECT item_id % 4 AS doc, a, b, round(sum(w) / any_value(k), 6) AS w FROM edge JOIN (SELECT item_id % 4 AS grp, count(*) AS k FROM benchmark GROUP BY 1) ON grp = item_id % 4 GROUP BY 1, a, b")
 def g9(spark: SparkSession, d: str) -> DataFrame:
     b = readers.table(spark, d, "benchmark")

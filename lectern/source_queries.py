@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import sanitize
+from .operators import select
 from .operators.graph import shared_folder
 from .queries import IDF, JUDGED, SENT, Query, _docs, _idf, _judged, _rel_sql, _relations, _sent, split_sql
 from .sources import readers, writers
@@ -72,10 +73,12 @@ def s6(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_sentjudge(spark, _put(writers.sentjudge_xml(_judged(_sent(spark, d))), F.col("xml")))
 
 
-@_query("s7_extract_files", "WITH " + SENT + " SELECT row_number() OVER (PARTITION BY cluster ORDER BY did, sno) AS ord, CAST(did AS VARCHAR) AS did, sno FROM sent WHERE sno <= 2")
+@_query("s7_extract_files", "WITH " + SENT + """, r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY length(text) DESC, did, sno) AS rank, count(*) OVER (PARTITION BY cluster) AS size FROM sent)
+SELECT row_number() OVER (PARTITION BY cluster ORDER BY CAST(did AS VARCHAR), sno) AS ord, CAST(did AS VARCHAR) AS did, sno FROM r WHERE rank <= ceil(size * 20 / 100)""")
 def s7(spark: SparkSession, d: str) -> DataFrame:
-    s = _sent(spark, d).where("sno <= 2").withColumn("ord", F.row_number().over(Window.partitionBy("cluster").orderBy("did", "sno")))
-    return readers.read_extract(spark, _put(writers.extract_xml(s), F.col("xml"))).select("ord", "did", "sno")
+    """The extract of the longest fifth of each cluster's sentences."""
+    chosen = select.top_sentences(_sent(spark, d).withColumn("score", F.length("text").cast("double")))
+    return readers.read_extract(spark, _put(writers.extract_xml(select.extract_order(chosen)), F.col("xml"))).select("ord", "did", "sno")
 
 
 @_query("s8_relation_files", "WITH " + SENT + ", " + _rel_sql("rel", "a", 1) + " SELECT CAST(sdid AS VARCHAR) AS sdid, ssent, CAST(tdid AS VARCHAR) AS tdid, tsent, type, judge FROM rel")
