@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from ..functions.text import Porter, drop_stopwords, ngrams, rouge_tokens, skip_bigrams, truncate_sentences, uniform
 
 
+#: Distinct units of the models that are broadcast: 16 MB of hashes.
+BROADCAST_UNITS = 2_000_000
+
+
 @dataclass(frozen=True)
 class Options:
     """What happens to a text before its units are counted.
@@ -79,19 +83,43 @@ def grams_of(tokens: Column, metric: str) -> Column:
     return ngrams(tokens, int(metric))
 
 
+def gram_count(tokens: Column, metric: str) -> Column:
+    """How many units ``grams_of`` makes, from the number of tokens alone; a null array has -1."""
+    n = F.size(tokens)
+    if metric.startswith("S"):
+        gap, after = int(metric.lstrip("SU")), F.greatest(n - 1, F.lit(0))
+        reach = after if gap < 0 else F.least(after, F.lit(gap + 1))
+        found = reach * after - (reach * (reach - 1) / 2).cast("int")
+        found = found + n if metric.startswith("SU") else found
+    else:
+        found = F.greatest(n - int(metric) + 1, F.lit(0))
+    return F.when(n < 0, n).otherwise(found)
+
+
 def pair_counts(peers: DataFrame, models: DataFrame, metric: str, jackknife: bool = False, options: Options | None = None) -> DataFrame:
     """(eval, peer, model, hits, n_peer, n_model): clipped hits of each peer with each model.
 
-    jackknife leaves out the model with the peer's own name. A side is one table
-    of its units' counts; sizes are sums over it.
+    jackknife leaves out the model with the peer's own name. Only units that a
+    model of the same evaluation has can hit, so peers' units meet the models'
+    distinct ones (as 64-bit hashes, broadcast if there are at most
+    ``BROADCAST_UNITS``, else in a shuffle) before any of them is counted.
     """
 
-    def counted(df: DataFrame, who: str, name: str, c: str) -> DataFrame:
-        rows = df.select("eval", who, grams_of(prepared(F.col("text"), options), metric).alias("gs")).select("eval", who, F.size("gs").alias(name), F.explode_outer("gs").alias("g"))
+    def units(df: DataFrame, who: str, name: str) -> DataFrame:
+        tokens = df.select("eval", who, prepared(F.col("text"), options).alias("ts"))
+        return tokens.select("eval", who, gram_count(F.col("ts"), metric).alias(name), grams_of(F.col("ts"), metric).alias("gs"))
+
+    def counted(rows: DataFrame, who: str, name: str, c: str) -> DataFrame:
         return rows.groupBy("eval", who, name, "g").agg(F.count(F.lit(1)).alias(c))
 
-    p, m = counted(peers, "peer", "n_peer", "c"), counted(models, "model", "n_model", "d")
-    hits = p.where("g is not null").join(m.select("eval", "model", "g", "d"), ["eval", "g"]).groupBy("eval", "peer", "model").agg(F.sum(F.least("c", "d")).alias("hits"))
+    p, m = units(peers, "peer", "n_peer"), units(models, "model", "n_model")
+    exploded = lambda df, who, name: df.select("eval", who, name, F.explode("gs").alias("g"))
+    mine = counted(exploded(m, "model", "n_model"), "model", "n_model", "d")
+    hashed = F.xxhash64("eval", "g").alias("__h")
+    known = mine.select(hashed).distinct()
+    known = F.broadcast(known) if known.count() <= BROADCAST_UNITS else known
+    met = exploded(p, "peer", "n_peer").withColumn("__h", hashed).join(known, "__h", "left_semi")
+    hits = counted(met, "peer", "n_peer", "c").join(mine.select("eval", "model", "g", "d"), ["eval", "g"]).groupBy("eval", "peer", "model").agg(F.sum(F.least("c", "d")).alias("hits"))
     size = lambda df, who, name: df.groupBy("eval", who).agg(F.max(name).alias(name))
     pairs = size(p, "peer", "n_peer").join(size(m, "model", "n_model"), "eval")
     if jackknife:

@@ -112,3 +112,10 @@ def test_results_are_printed_and_read_back(spark):
     assert body.split("\n")[1] == "7 ROUGE-1 Average_R: 0.25000 (95%-conf.int. 0.24000 - 0.26000)" and [x.split()[2][8] for x in body.split("\n")[1:]] == list("RPF")
     back = writers.parse_results(text.select(R.F.explode(R.F.split("value", "\n")).alias("value"))).collect()
     assert sorted((r.kind, r.value) for r in back) == [("F", 0.3), ("P", 0.375), ("R", 0.25)]
+
+
+def test_unit_counts_follow_from_token_counts(spark):
+    rows = spark.createDataFrame([(["t"] * n,) for n in range(9)] + [(None,)], "ts array<string>")
+    for metric in ("1", "2", "4", "S0", "S4", "SU4", "S-1", "SU-1"):
+        wrong = rows.select(R.gram_count(F.col("ts"), metric).alias("n"), F.size(R.grams_of(F.col("ts"), metric)).alias("m"), F.size("ts").alias("k")).where("n <> m and k >= 0")
+        assert wrong.collect() == [], metric
