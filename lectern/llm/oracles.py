@@ -163,3 +163,16 @@ weight AS (SELECT w, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))
 p AS (SELECT doc_id, w, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))) AS s FROM tf JOIN n USING (doc_id) JOIN weight USING (w), k),
 s AS (SELECT item_id, doc_id, CAST(sum(c * s) AS BIGINT) AS score FROM q JOIN p USING (w) GROUP BY ALL)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+_UTF8 = """CASE WHEN unicode(x) < 128 THEN [unicode(x)] WHEN unicode(x) < 2048 THEN [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)]
+  WHEN unicode(x) < 65536 THEN [224 + (unicode(x) >> 12), 128 + ((unicode(x) >> 6) & 63), 128 + (unicode(x) & 63)] ELSE [240 + (unicode(x) >> 18), 128 + ((unicode(x) >> 12) & 63), 128 + ((unicode(x) >> 6) & 63), 128 + (unicode(x) & 63)] END"""
+_TEXT_CRC = f"xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(flatten(list_transform(string_split(t, ''), lambda x: {_UTF8})), lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
+
+#: Rows are numbered in order of doc_id, which is the order of the file.
+SHARDS = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+j AS (SELECT doc_id, shards, CASE WHEN doc_id < 0 THEN doc_id + 18446744073709551616::HUGEINT ELSE CAST(doc_id AS HUGEINT) END AS k, -1::BIGINT AS last, 0::BIGINT AS next FROM d, (VALUES (8), (9)) s(shards)
+  UNION ALL SELECT doc_id, shards, h, next, CAST(floor((next + 1) * (2147483648::DOUBLE / CAST(h // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT *, (k * 2862933555777941757 + 1) % 18446744073709551616::HUGEINT AS h FROM j WHERE next < shards)),
+p AS (SELECT doc_id, CAST(max(last) FILTER (shards = 8 AND next >= 8) AS INTEGER) AS shard, CAST(max(last) FILTER (shards = 9 AND next >= 9) AS INTEGER) AS grown_shard FROM j GROUP BY doc_id)
+SELECT doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size, CASE WHEN t = '' THEN 0::BIGINT ELSE {_TEXT_CRC} END AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM d JOIN p USING (doc_id)"""

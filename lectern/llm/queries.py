@@ -95,6 +95,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_cross_polytope": oracles.EMBEDDINGS,
     "op7_token_assembly": oracles.CONVERSATIONS,
     "op8_bag_minhash": oracles.NEAR_DUPLICATES,
+    "op9_jump_sharding": oracles.SHARDS,
     "op11_tiered_index": oracles.SEARCH,
     "op12_rolling_deletions": oracles.SPELLING,
     "op13_redirect_equivalence": oracles.URLS,
