@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.text import sanitize
+from .functions.text import sanitize, split_words
 from .operators import select
 from .operators.graph import shared_folder
 from .queries import IDF, JUDGED, SENT, Query, _docs, _idf, _judged, _rel_sql, _relations, _sent, split_sql
@@ -133,20 +133,25 @@ def s17(spark: SparkSession, d: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-@_query("s18_basic_element_files", "SELECT 'd' || doc_id AS head, lang AS modifier, source AS relation FROM documents")
+@_query("s18_basic_element_files", r"""WITH t AS (SELECT list_filter(regexp_extract_all(text, '[^\s,.\-]+'), lambda x: regexp_matches(x, '^[A-Za-z]+$')) AS t FROM documents),
+i AS (SELECT t, unnest(range(0, len(t) // 3)) AS i FROM t) SELECT t[3 * i + 1] AS head, t[3 * i + 2] AS modifier, t[3 * i + 3] AS relation FROM i""")
 def s18(spark: SparkSession, d: str) -> DataFrame:
-    return readers.read_basic_elements(spark, _put(_docs(spark, d), F.concat_ws("|", F.concat(F.lit("d"), F.col("doc_id").cast("string")), "lang", "source")))
+    """Every three words of a text as a triple."""
+    words = _docs(spark, d).select(F.filter(split_words(F.col("text")), lambda w: w.rlike("^[A-Za-z]+$")).alias("w")).where("size(w) >= 3")
+    places = words.select("w", F.explode(F.sequence(F.lit(0), F.floor(F.size("w") / 3).cast("int") - 1)).alias("i"))
+    return readers.read_basic_elements(spark, _put(places, F.concat_ws("|", *(F.get("w", 3 * F.col("i") + k) for k in range(3)))))
 
 
-@_query("s19_salience_files", "SELECT doc, sent, CAST(item_id * 10 + doc + sent / 4 AS DOUBLE) AS sal FROM benchmark, (SELECT unnest([0, 1, 2]) AS doc), (SELECT unnest([0, 1]) AS sent)")
+@_query("s19_salience_files", "SELECT doc, sent, CAST(length(text) * 10 + doc + sent / 4 AS DOUBLE) AS sal FROM documents, (SELECT unnest([0, 1, 2]) AS doc), (SELECT unnest([0, 1]) AS sent)")
 def s19(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks of three lines of two numbers."""
-    line = lambda i: F.concat_ws(" ", *((F.col("item_id") * 10 + i + k / 4).cast("string") for k in range(2)))
-    b = readers.table(spark, d, "benchmark")
-    return readers.read_salience(spark, _put(b, F.concat(F.concat_ws("\n", *(line(i) for i in range(3))), F.lit("\n")))).select("doc", "sent", "sal")
+    """A block for each text, of three lines of two numbers."""
+    line = lambda i: F.concat_ws(" ", *((F.length("text") * 10 + i + k / 4).cast("string") for k in range(2)))
+    return readers.read_salience(spark, _put(_docs(spark, d), F.concat(F.concat_ws("\n", *(line(i) for i in range(3))), F.lit("\n")))).select("doc", "sent", "sal")
 
 
-@_query("s22_class_files", "SELECT grp, text, CASE WHEN ('0x' || substr(md5(grp || ':' || text || ':0'), 1, 8))::BIGINT % 2 = 0 THEN 'train' ELSE 'test' END AS half FROM (SELECT lang AS grp, 'document ' || doc_id AS text FROM documents)")
+@_query("s22_class_files", r"""SELECT grp, text, CASE WHEN ('0x' || substr(md5(grp || ':' || text || ':0'), 1, 8))::BIGINT % 2 = 0 THEN 'train' ELSE 'test' END AS half
+FROM (SELECT lang AS grp, trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS text FROM documents)""")
 def s22(spark: SparkSession, d: str) -> DataFrame:
-    train, test = readers.read_classes(spark, _put(_docs(spark, d), F.concat(F.col("lang"), F.lit("\tdocument "), F.col("doc_id").cast("string"))))
+    """Whole texts as lines under their language."""
+    train, test = readers.read_classes(spark, _put(_docs(spark, d), F.concat(F.col("lang"), F.lit("\t"), F.trim(F.regexp_replace("text", r"\s+", " ")))))
     return train.withColumn("half", F.lit("train")).unionByName(test.withColumn("half", F.lit("test")))

@@ -182,13 +182,15 @@ def summary_lines(text: Column, style: str = "SPL") -> Column:
 
 
 def read_basic_elements(spark: SparkSession, path: str) -> DataFrame:
-    """(head, modifier, relation) from lines head|modifier|relation."""
-    return spark.read.option("sep", "|").schema("head string, modifier string, relation string").csv(path)
+    """(head, modifier, relation) from lines head|modifier|relation, as they are written: quotes have no meaning."""
+    parts = spark.read.text(path).where("value <> ''").select(F.split("value", r"\|").alias("p"))
+    return parts.select(*(F.nullif(F.get("p", i), F.lit("")).alias(name) for i, name in enumerate(("head", "modifier", "relation"))))
 
 
 def read_classes(spark: SparkSession, path: str, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Training and test halves of lines of class, tab, text; a line's own hash says which half."""
-    rows = spark.read.option("sep", "\t").schema("grp string, text string").csv(path)
+    """Training and test halves of lines of class, tab, text (as it is written, further tabs included); a line's own hash says which half."""
+    parts = spark.read.text(path).where("value <> ''").select(F.split("value", "\t", 2).alias("p"))
+    rows = parts.select(F.get("p", 0).alias("grp"), F.get("p", 1).alias("text"))
     half = F.pmod(digits(F.col("grp"), F.col("text"), F.lit(seed)), F.lit(2)) == 0
     return rows.where(half), rows.where(~half)
 
