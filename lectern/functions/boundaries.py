@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the published method.
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
-LEAST_TYPE = 5
 
 #: Tokens are runs without white space.
 _TOKEN = r"\S+"
