@@ -16,6 +16,16 @@ def tokens(sentences: DataFrame) -> DataFrame:
     return sentences.select("cluster", "did", "sno", F.explode(split_words(F.col("text"))).alias("w"))
 
 
+def counted_words(sentences: DataFrame) -> DataFrame:
+    """(cluster, did, sno, w, n): each sentence's distinct words with their counts.
+
+    Sentences are dealt by document before they are cut, so texts are shuffled
+    once and counts by document or sentence need no further exchange. Several
+    features read this table: write it once (``checkpointed``).
+    """
+    return tokens(sentences.repartition("did")).groupBy("cluster", "did", "sno", "w").agg(F.count(F.lit(1)).alias("n"))
+
+
 def position(sno: Column) -> Column:
     return F.when(sno > 0, F.sqrt(1.0 / sno)).otherwise(0.0)
 
@@ -25,38 +35,45 @@ def length(text: Column) -> Column:
 
 
 def centroid_words(words: DataFrame, idf: DataFrame, unknown: float = UNKNOWN_IDF) -> DataFrame:
-    """(cluster, w, tf, tfidf): the words of each cluster's centroid.
+    """(cluster, w, tf, tfidf): the words of each cluster's centroid, from ``counted_words``.
 
     tf is the mean count in the cluster's documents. A word stays if its weight
     is over ``MIN_TFIDF`` or it is among the first 8 for each document, by
     rounded weight, ties by word. The window ranks at most that many words and
-    those over the limit in each cluster.
+    those over the limit in each cluster. Joins here and below build hash tables
+    of sides whose keys are distinct: the vocabulary's share of a partition.
     """
     docs = words.select("cluster", "did").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"))
-    counted = words.groupBy("cluster", "w").agg(F.count(F.lit(1)).alias("n")).join(docs, "cluster").join(idf.select("w", "idf"), "w", "left")
+    counted = words.groupBy("cluster", "w").agg(F.sum("n").alias("n")).join(docs, "cluster").join(idf.select("w", "idf").hint("shuffle_hash"), "w", "left")
     tf = F.col("n") / F.col("docs")
     weighted = counted.select("cluster", "docs", "w", tf.alias("tf"), (tf * F.coalesce("idf", F.lit(unknown))).alias("tfidf"))
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(F.round("tfidf", 9)), "w"))
     return weighted.withColumn("rank", rank).where((F.col("tfidf") > MIN_TFIDF) | (F.col("rank") <= WORDS_PER_DOCUMENT * F.col("docs"))).select("cluster", "w", "tf", "tfidf")
 
 
-def centroid(sentences: DataFrame, idf: DataFrame) -> DataFrame:
-    """Sum of the centroid weights of a sentence's tokens over the largest such sum in its cluster."""
-    words = tokens(sentences)
-    kept = centroid_words(words, idf)
-    summed = words.join(kept, ["cluster", "w"]).groupBy("cluster", "did", "sno").agg(F.sum("tfidf").alias("s"))
-    scored = sentences.select("cluster", "did", "sno").join(summed, ["cluster", "did", "sno"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+def centroid_values(words: DataFrame, idf: DataFrame) -> DataFrame:
+    """(did, sno, value) of the sentences with a word of the centroid; all others' value is 0."""
+    kept = centroid_words(words, idf).select("cluster", "w", "tfidf")
+    summed = words.join(kept.hint("shuffle_hash"), ["cluster", "w"]).groupBy("cluster", "did", "sno").agg(F.sum(F.col("tfidf") * F.col("n")).alias("s"))
     top = F.max("s").over(Window.partitionBy("cluster"))
-    return scored.withColumn("top", top).select("did", "sno", F.when(F.col("top") > 0, F.col("s") / F.col("top")).otherwise(0.0).alias("value"))
+    return summed.withColumn("top", top).select("did", "sno", F.when(F.col("top") > 0, F.col("s") / F.col("top")).otherwise(0.0).alias("value"))
 
 
-def similarity_with_first(sentences: DataFrame, idf: DataFrame) -> DataFrame:
+def centroid(sentences: DataFrame, idf: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """Sum of the centroid weights of a sentence's tokens over the largest such sum in its cluster."""
+    values = centroid_values(counted_words(sentences) if words is None else words, idf)
+    return sentences.select("did", "sno").join(values, ["did", "sno"], "left").select("did", "sno", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def similarity_with_first(sentences: DataFrame, idf: DataFrame, words: DataFrame | None = None, unknown: float = UNKNOWN_IDF) -> DataFrame:
     """The idf cosine with the first sentence of the same document."""
-    item = F.concat_ws("#", F.col("did"), F.col("sno"))
-    words = tokens(sentences).select(item.alias("item"), "w")
-    first = F.concat_ws("#", F.col("did"), F.lit(1))
-    pairs = sentences.select("did", "sno", item.alias("x"), first.alias("y"))
-    return idf_cosine(pairs, words, idf).select("did", "sno", F.col("cosine").alias("value"))
+    words = counted_words(sentences) if words is None else words
+    entry = words.join(idf.select("w", "idf").hint("shuffle_hash"), "w", "left").select("did", "sno", "w", (F.col("n") * F.coalesce("idf", F.lit(unknown))).alias("v"))
+    first = entry.where("sno = 1").select("did", "w", F.col("v").alias("first"))
+    sums = entry.join(first.hint("shuffle_hash"), ["did", "w"], "left").groupBy("did", "sno").agg(F.sum(F.col("v") * F.col("first")).alias("dot"), F.sum(F.col("v") * F.col("v")).alias("norm"))
+    whole = sums.withColumn("first", F.max(F.when(F.col("sno") == 1, F.col("norm"))).over(Window.partitionBy("did")))
+    value = F.when(F.col("dot") > 0, F.col("dot") / F.sqrt(F.col("norm") * F.col("first"))).otherwise(0.0)
+    return sentences.select("did", "sno").join(whole.select("did", "sno", value.alias("value")), ["did", "sno"], "left").select("did", "sno", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def is_longest(sentences: DataFrame) -> DataFrame:

@@ -32,8 +32,8 @@ def top_sentences(candidates: DataFrame, percent: float | None = 20, absolute: i
     ranked = candidates.withColumn("rank", F.row_number().over(ordered()))
     if absolute is not None:
         return ranked.where(F.col("rank") <= absolute)
-    size = candidates.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    return ranked.join(size, "cluster").where(F.col("rank") <= F.ceil(F.col("n") * percent / 100)).drop("n")
+    size = F.count(F.lit(1)).over(Window.partitionBy("cluster"))
+    return ranked.withColumn("__size", size).where(F.col("rank") <= F.ceil(F.col("__size") * percent / 100)).drop("__size")
 
 
 #: What rerankers may compare sentences by: the set of a sentence's distinct tokens that stands for it, and the similarity of two sets.
@@ -132,11 +132,11 @@ def mmr(candidates: DataFrame, weight: float = 0.7, percent: float = 20) -> Data
     Scores are divided by the cluster's largest; in rank order each becomes
     weight * score - (1 - weight) * (largest similarity to a higher one), and
     from the (2 * target + 2)nd on it loses 2. The pass looks only at a prefix of
-    ranks, so it is a join of that prefix with itself.
+    ranks, so it is a join of that prefix with itself; ranks are written once.
     """
     top = Window.partitionBy("cluster")
     scaled = candidates.withColumn("__max", F.max("score").over(top)).withColumn("score", F.when(F.col("__max") > 0, F.col("score") / F.col("__max")).otherwise(F.col("score"))).drop("__max")
-    ranked = scaled.withColumn("rank", F.row_number().over(ordered())).withColumn("__limit", 2 * F.ceil(F.count(F.lit(1)).over(top) * percent / 100) + 1)
+    ranked = checkpointed(scaled.withColumn("rank", F.row_number().over(ordered())).withColumn("__limit", 2 * F.ceil(F.count(F.lit(1)).over(top) * percent / 100) + 1))
     prefix = ranked.where("rank <= __limit").select("cluster", "rank", F.array_distinct(split_words(F.col("text"))).alias("w"))
     a, b = prefix.alias("a"), prefix.alias("b")
     pairs = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & (F.col("b.rank") < F.col("a.rank")))

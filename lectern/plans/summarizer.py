@@ -12,19 +12,23 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.similarity import idf_table
 from ..operators import classify, features, select
+from ..operators.graph import checkpointed
 
 Feature = Callable[[DataFrame, dict[str, DataFrame]], DataFrame]
 
 FEATURES: dict[str, Feature] = {
-    "Centroid": lambda s, extra: features.centroid(s, extra["idf"]),
-    "SimWithFirst": lambda s, extra: features.similarity_with_first(s, extra["idf"]),
+    "Centroid": lambda s, extra: features.centroid_values(extra["words"], extra["idf"]),
+    "SimWithFirst": lambda s, extra: features.similarity_with_first(s, extra["idf"], extra["words"]),
     "IsLongestSentence": lambda s, extra: features.is_longest(s),
     "QueryCosine": lambda s, extra: features.query_cosine(s, extra["queries"], extra["idf"]),
     "QueryCosineNoIDF": lambda s, extra: features.query_features(s, extra["queries"]).select("did", "sno", F.col("cosine").alias("value")),
     "QueryWordOverlap": lambda s, extra: features.query_features(s, extra["queries"]).select("did", "sno", F.col("overlap").alias("value")),
     "QueryPhraseMatch": lambda s, extra: features.phrase_match(s, extra["phrases"]),
 }
+#: Features that read the table of counted words, which is written once for all of them; 0 where they have no row.
+WORD_FEATURES = {"Centroid", "SimWithFirst"}
 #: Features that a sentence has by itself: columns, not joins.
 ROW_FEATURES: dict[str, Callable[[], Column]] = {"Position": lambda: features.position(F.col("sno")), "Length": lambda: features.length(F.col("text"))}
 CLASSIFIERS: dict[str, Callable[[], Column]] = {"default": classify.linear, "lead": classify.lead, "random": classify.random_score}
@@ -40,11 +44,13 @@ RERANKERS: dict[str, Callable[..., DataFrame]] = {
 
 def register_feature(name: str, function: Feature) -> None:
     ROW_FEATURES.pop(name, None)
+    WORD_FEATURES.discard(name)
     FEATURES[name] = function
 
 
 def register_row_feature(name: str, make: Callable[[], Column]) -> None:
     FEATURES.pop(name, None)
+    WORD_FEATURES.discard(name)
     ROW_FEATURES[name] = make
 
 
@@ -58,7 +64,12 @@ def register_reranker(name: str, function: Callable[..., DataFrame]) -> None:
 
 @dataclass
 class Summarizer:
-    """What to compute. ``extra`` has the tables that features need: idf (w, idf), queries (cluster, query), phrases."""
+    """What to compute.
+
+    ``extra`` has the tables that features need: idf (w, idf), queries (cluster,
+    query), phrases; words, if ``features.counted_words`` of the sentences is
+    written already. Without an idf table that of the sentences' documents is taken.
+    """
 
     features: tuple[str, ...] = ("Centroid", "Position", "Length")
     classifier: str = "default"
@@ -66,13 +77,24 @@ class Summarizer:
     options: dict[str, object] = field(default_factory=lambda: {"percent": classify.PERCENT})
     extra: dict[str, DataFrame] = field(default_factory=dict)
 
+    def tables(self, sentences: DataFrame) -> dict[str, DataFrame]:
+        """``extra`` with the words, written once, and idf if features need them and they are not given."""
+        extra = dict(self.extra)
+        own_idf = "idf" not in extra and not {"Centroid", "SimWithFirst", "QueryCosine"}.isdisjoint(self.features)
+        if "words" not in extra and (own_idf or not WORD_FEATURES.isdisjoint(self.features)):
+            extra["words"] = checkpointed(features.counted_words(sentences))
+        if own_idf:
+            extra["idf"] = idf_table(extra["words"])
+        return extra
+
     def scores(self, sentences: DataFrame) -> DataFrame:
         """Sentences with their features and score."""
         own = [n for n in dict.fromkeys((*self.features, "Length")) if n in ROW_FEATURES]
         out = sentences.withColumns({n: ROW_FEATURES[n]().cast("double") for n in own})
-        joined = [(n, FEATURES[n](sentences, self.extra)) for n in self.features if n not in ROW_FEATURES]
+        extra = self.tables(sentences)
+        joined = [(n, FEATURES[n](sentences, extra)) for n in self.features if n not in ROW_FEATURES]
         if joined:
-            out = out.join(features.combine(*joined), ["did", "sno"], "left")
+            out = out.join(features.combine(*joined), ["did", "sno"], "left").fillna(0.0, [n for n, _ in joined if n in WORD_FEATURES])
         return out.withColumn("score", CLASSIFIERS[self.classifier]())
 
     def extract(self, sentences: DataFrame) -> DataFrame:

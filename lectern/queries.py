@@ -82,11 +82,15 @@ def _sent(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _idf(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.idf_table(features.tokens(_sent(spark, d)))
+    return similarity.idf_table(features.tokens(_sent(spark, d).repartition("did")))
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    return graph.checkpointed(features.counted_words(_sent(spark, d)))
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return Summarizer(extra={"idf": _idf(spark, d)}).scores(_sent(spark, d))
+    return Summarizer().scores(_sent(spark, d))
 
 
 def _r(c: str | Column, name: str | None = None) -> Column:
@@ -102,7 +106,7 @@ ext AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY CAST(did AS V
 SELECT cluster, string_agg('[' || ord || ']  ' || text, chr(10) ORDER BY ord) AS summary FROM ext GROUP BY cluster""")
 def summary_top20(spark: SparkSession, d: str) -> DataFrame:
     """Documents to sentences, centroid + position with a length cutoff, the best fifth of each cluster, as text."""
-    return Summarizer(reranker="identity", extra={"idf": _idf(spark, d)}).summary(_sent(spark, d))
+    return Summarizer(reranker="identity").summary(_sent(spark, d))
 
 
 # -- sources -------------------------------------------------------------------
@@ -178,7 +182,8 @@ def k2(spark: SparkSession, d: str) -> DataFrame:
 
 @register("k4_centroid_words", "WITH " + CENTROID + " SELECT cluster, w, round(tf, 6) AS tf, round(tfidf, 6) AS tfidf FROM kept")
 def k4(spark: SparkSession, d: str) -> DataFrame:
-    return features.centroid_words(features.tokens(_sent(spark, d)), _idf(spark, d)).select("cluster", "w", _r("tf"), _r("tfidf"))
+    words = _words(spark, d)
+    return features.centroid_words(words, similarity.idf_table(words)).select("cluster", "w", _r("tf"), _r("tfidf"))
 
 
 @register("k5_score_table", "WITH " + SENT + f" SELECT did, sno, CAST({LEN} AS DOUBLE) AS Length, round(sqrt(1.0 / sno), 6) AS Position, (did * 7 + sno * 13 + 5) % 11 AS j1, (did * 7 + sno * 13 + 20) % 11 AS j2 FROM sent")
@@ -505,7 +510,8 @@ QUERY = r"query AS (SELECT cluster, b.text AS query, regexp_extract_all(b.text,
 
 @register("f1_centroid", "WITH " + CENTROID + " SELECT did, sno, round(value, 6) AS value FROM centroid")
 def f1(spark: SparkSession, d: str) -> DataFrame:
-    return features.centroid(_sent(spark, d), _idf(spark, d)).select("did", "sno", _r("value"))
+    words = _words(spark, d)
+    return features.centroid(_sent(spark, d), similarity.idf_table(words), words).select("did", "sno", _r("value"))
 
 
 @register("f2_f3_f5_f10_f12_combined", "WITH " + SENT + f""" SELECT did, sno, round(sqrt(1.0 / sno), 6) AS Position, CAST({LEN} AS DOUBLE) AS Length,
@@ -524,7 +530,8 @@ dot AS (SELECT b.did, b.sno, sum(a.v * b.v) AS dot FROM v a JOIN v b ON a.did =
 SELECT s.did, s.sno, round(CASE WHEN dot > 0 THEN dot / sqrt(na.n * nb.n) ELSE 0 END, 6) AS value FROM sent s LEFT JOIN dot USING (did, sno)
 LEFT JOIN norm na ON na.did = s.did AND na.sno = 1 LEFT JOIN norm nb ON nb.did = s.did AND nb.sno = s.sno""")
 def f4(spark: SparkSession, d: str) -> DataFrame:
-    return features.similarity_with_first(_sent(spark, d), _idf(spark, d)).select("did", "sno", _r("value"))
+    words = _words(spark, d)
+    return features.similarity_with_first(_sent(spark, d), similarity.idf_table(words), words).select("did", "sno", _r("value"))
 
 
 @register("f6_query_cosine_idf", "WITH " + IDF + ", " + QUERY + ", " + WEIGHT + """,
@@ -593,7 +600,7 @@ _CHOSEN, _LAST = _FOLD.format(target="ceil(size * 20 / 100)", fits="len(f.out) <
 ext AS (SELECT c.cluster, s.text, row_number() OVER (PARTITION BY c.cluster ORDER BY CAST(c.did AS VARCHAR), c.sno) AS ord FROM chosen c JOIN sent s USING (did, sno))
 SELECT cluster, string_agg('[' || ord || ']  ' || text, chr(10) ORDER BY ord) AS summary FROM ext GROUP BY cluster""")
 def summary_redundancy(spark: SparkSession, d: str) -> DataFrame:
-    return Summarizer(extra={"idf": _idf(spark, d)}).summary(_sent(spark, d))
+    return Summarizer().summary(_sent(spark, d))
 
 
 @register("r3_without_redundancy", "WITH RECURSIVE " + _FOLD.format(target="ceil(size * 20 / 100)", fits="len(f.out) < c.target", least=0.7))

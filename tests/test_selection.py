@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import similarity
 from lectern.operators import classify, features, select
 from lectern.plans import summarizer
 
@@ -96,6 +97,23 @@ def test_features_of_edge_cases(spark):
     assert sorted(map(tuple, features.wide_to_long(wide).collect())) == sorted(map(tuple, long.collect()))
 
 
+def test_word_features_from_one_table(spark):
+    """Values from the written words equal those of single tokens; sentences without words get 0."""
+    rows = [("c", 1, 1, "a b b c"), ("c", 1, 2, "b c d"), ("c", 1, 3, " . "), ("c", 2, 1, "a a e"), ("c", 2, 2, "e a a"), ("d", 3, 1, "..."), ("d", 3, 2, "f")]
+    s = spark.createDataFrame(rows, "cluster string, did long, sno int, text string")
+    words = features.counted_words(s)
+    assert {(r.did, r.sno, r.w): r.n for r in words.where("did < 2").collect()} == {(1, 1, "a"): 1, (1, 1, "b"): 2, (1, 1, "c"): 1, (1, 2, "b"): 1, (1, 2, "c"): 1, (1, 2, "d"): 1}
+    idf = similarity.idf_table(features.tokens(s))
+    assert {r.w: r.df for r in idf.collect()} == {r.w: r.df for r in similarity.idf_table(words).collect()}
+    pairs = s.select("did", "sno", F.concat_ws("#", "did", "sno").alias("x"), F.concat_ws("#", "did", F.lit(1)).alias("y"))
+    want = {(r.did, r.sno): r.cosine for r in similarity.idf_cosine(pairs, features.tokens(s).select(F.concat_ws("#", "did", "sno").alias("item"), "w"), idf).collect()}
+    assert {(r.did, r.sno): r.value for r in features.similarity_with_first(s, idf).collect()} == pytest.approx({k: v or 0 for k, v in want.items()})
+    made = summarizer.Summarizer(("Centroid", "SimWithFirst", "Position", "Length")).scores(s).collect()
+    alone = {(r.did, r.sno): r.value for r in features.centroid(s, idf).collect()}
+    assert len(made) == len(rows) and {(r.did, r.sno): r.Centroid for r in made} == pytest.approx(alone) and all(r.SimWithFirst is not None for r in made)
+    assert summarizer.Summarizer().scores(s.where("false")).collect() == []
+
+
 def test_summarizer_takes_registered_parts(spark):
     s = spark.createDataFrame([("c", 1, i, f"sentence number {i} " + "word " * 8) for i in range(1, 6)], "cluster string, did long, sno int, text string")
     summarizer.register_feature("Late", lambda df, extra: df.select("did", "sno", F.col("sno").alias("value")))
