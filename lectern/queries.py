@@ -780,32 +780,50 @@ def _walks(name: str, walk, sql: str | None = None) -> None:
     register(name, sql)(lambda spark, d: graph.per_graph(*_small_graphs(spark, d), walk).select("graph", "id", _r("rank")))
 
 
-def _walk_sql(jump: float, start: str, live: str, rank: str) -> str:
-    """A walk over the similarity edges of each cluster, step by step as long as ``live`` holds for the cluster."""
+def _walk_sql(step: str, start: str, live: str, rank: str, p: str = "w / sum(w) OVER (PARTITION BY graph, src)", last: str = "walk") -> str:
+    """A walk over the similarity edges of each cluster: ``step`` gives the ``new`` ranks, as long as ``live`` holds for the cluster."""
     return "WITH RECURSIVE " + IDF + ", " + WEIGHT + f""",
 u AS (SELECT cluster AS graph, did * 1000000 + sno AS id, w, v / sqrt(n) AS v FROM v JOIN norm USING (did, sno) WHERE n > 0),
 half AS MATERIALIZED (SELECT a.graph, a.id AS src, b.id AS dst, sum(a.v * b.v) AS w FROM u a JOIN u b ON a.graph = b.graph AND a.w = b.w AND a.id < b.id GROUP BY ALL HAVING sum(a.v * b.v) > 0),
-e AS MATERIALIZED (SELECT graph, src, dst, w / sum(w) OVER (PARTITION BY graph, src) AS p FROM (FROM half UNION ALL SELECT graph, dst, src, w FROM half)),
+e AS MATERIALIZED (SELECT graph, src, dst, {p} AS p FROM (FROM half UNION ALL SELECT graph, dst, src, w FROM half)),
 nodes AS (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY id) ** -0.25 AS prior FROM (SELECT DISTINCT cluster AS graph, did * 1000000 + sno AS id FROM tok)),
-first AS MATERIALIZED (SELECT graph, id, prior / sum(prior) OVER (PARTITION BY graph) AS r, 1.0::DOUBLE / count(*) OVER (PARTITION BY graph) AS even, (graph, id) NOT IN (SELECT (graph, src) FROM e) AS sink FROM nodes),
-walk AS (SELECT 0 AS step, graph, id, r, sink, {start}::DOUBLE AS rank, true AS live FROM first
+first AS MATERIALIZED (SELECT graph, id, prior / sum(prior) OVER (PARTITION BY graph) AS r, 1.0::DOUBLE / count(*) OVER (PARTITION BY graph) AS even, n IS NULL AS sink,
+  row_number() OVER (PARTITION BY graph ORDER BY coalesce(n, 0) DESC, id) = 1 AS watched FROM nodes LEFT JOIN (SELECT graph, src AS id, count(*) AS n FROM e GROUP BY ALL) USING (graph, id)),
+walk AS (SELECT 0 AS step, graph, id, r, even, sink, watched, {start}::DOUBLE AS rank, true AS live FROM first
   UNION ALL
-  SELECT step + 1, graph, id, r, sink, new, {live} FROM (
-    SELECT c.*, {jump} * c.r + {1 - jump} * (coalesce(got, 0) + sum(CASE WHEN c.sink THEN c.rank ELSE 0 END) OVER (PARTITION BY c.graph) * c.r) AS new FROM walk c LEFT JOIN
-      (SELECT e.graph, e.dst, sum(p * rank) AS got FROM walk x JOIN e ON e.graph = x.graph AND e.src = x.id GROUP BY ALL) g ON g.graph = c.graph AND g.dst = c.id
-    WHERE c.live)),
-last AS (SELECT * FROM walk QUALIFY step = max(step) OVER (PARTITION BY graph))
+  SELECT step + 1, graph, id, r, even, sink, watched, new, {live} FROM ({step})),
+last AS (SELECT * FROM {last} QUALIFY step = max(step) OVER (PARTITION BY graph))
 SELECT graph, id, round({rank}, 6) AS rank FROM last"""
 
 
+def _linear_step(jump: float, prior: str) -> str:
+    """A step along the edges, by ``prior`` from nodes without any and with probability ``jump``."""
+    return f"""SELECT c.*, {jump} * c.{prior} + {1 - jump} * (coalesce(got, 0) + sum(CASE WHEN c.sink THEN c.rank ELSE 0 END) OVER (PARTITION BY c.graph) * c.{prior}) AS new FROM walk c LEFT JOIN
+      (SELECT e.graph, e.dst, sum(p * rank) AS got FROM walk x JOIN e ON e.graph = x.graph AND e.src = x.id GROUP BY ALL) g ON g.graph = c.graph AND g.dst = c.id
+    WHERE c.live"""
+
+
+def _reinforced_step(jump: float, alpha: float) -> str:
+    """A step to the nodes by their ranks; each node's way out is scaled to one."""
+    share = f"""SELECT c.*, c.rank / ({alpha} * CASE WHEN c.sink THEN sum(c.r * c.rank) OVER (PARTITION BY c.graph) ELSE ahead END + {1 - alpha} * c.rank) AS q FROM walk c LEFT JOIN
+      (SELECT e.graph, e.src, sum(p * rank) AS ahead FROM walk x JOIN e ON e.graph = x.graph AND e.dst = x.id GROUP BY ALL) o ON o.graph = c.graph AND o.src = c.id WHERE c.live"""
+    return f"""SELECT * EXCLUDE (raw), raw / sum(raw) OVER (PARTITION BY graph) AS new FROM (
+      SELECT c.*, {1 - jump} * c.rank * ({alpha} * (coalesce(got, 0) + sum(CASE WHEN c.sink THEN c.q ELSE 0 END) OVER (PARTITION BY c.graph) * c.r) + {1 - alpha} * c.q) + {jump} * c.r AS raw FROM ({share}) c LEFT JOIN
+      (SELECT e.graph, e.dst, sum(p * q) AS got FROM ({share}) y JOIN e ON e.graph = y.graph AND e.src = y.id GROUP BY ALL) g ON g.graph = c.graph AND g.dst = c.id)"""
+
+
+def _moved(least: float) -> str:
+    return f"sum(abs(new - rank)) OVER (PARTITION BY graph) >= {least}"
+
+
 _TEXT = graph.PRESETS["text"]
 _LOW, _HIGH = "min(rank) OVER (PARTITION BY graph)", "max(rank) OVER (PARTITION BY graph)"
-_walks("f11_g1_lexrank", graph.walk_lexrank, _walk_sql(0.15, "even", "max(abs(new - rank) / rank) OVER (PARTITION BY graph) >= 1e-6", f"CASE WHEN {_HIGH} > {_LOW} THEN (rank - {_LOW}) / ({_HIGH} - {_LOW}) ELSE 0 END"))
-_walks("g2_g7_g8_personalized_pagerank", lambda w, r: graph.walk_pagerank(w, r, **_TEXT["pagerank"]), _walk_sql(0.1, "r", "sum(abs(new - rank)) OVER (PARTITION BY graph) >= 1e-5", "rank"))
-_walks("g3_divrank", lambda w, r: graph.walk_divrank(w, r, **_TEXT["divrank"]))
+_walks("f11_g1_lexrank", graph.walk_lexrank, _walk_sql(_linear_step(0.15, "r"), "even", "max(abs(new - rank) / rank) OVER (PARTITION BY graph) >= 1e-6", f"CASE WHEN {_HIGH} > {_LOW} THEN (rank - {_LOW}) / ({_HIGH} - {_LOW}) ELSE 0 END"))
+_walks("g2_g7_g8_personalized_pagerank", lambda w, r: graph.walk_pagerank(w, r, **_TEXT["pagerank"]), _walk_sql(_linear_step(0.1, "r"), "r", _moved(1e-5), "rank"))
+_walks("g3_divrank", lambda w, r: graph.walk_divrank(w, r, **_TEXT["divrank"]), _walk_sql(_reinforced_step(0.1, 0.25), "even", _moved(1e-3), "rank"))
 _walks("g4_divrank_cumulative", lambda w, r: graph.walk_divrank(w, r, tolerance=1e-5, cumulative=True, **_TEXT["divrank"]))
 _walks("g5_grasshopper", graph.as_walk(lambda w, r: graph.order_grasshopper(w, r, **_TEXT["grasshopper"])))
-_walks("g6_watched_pagerank", graph.walk_watched)
+_walks("g6_watched_pagerank", graph.walk_watched, _walk_sql(_linear_step(0.15, "even"), "even", "max(CASE WHEN watched THEN abs(new - rank) END) OVER (PARTITION BY graph) >= 1e-3", "rank", "1.0::DOUBLE / count(*) OVER (PARTITION BY graph, src)", "(FROM walk WHERE live)"))
 _walks("r17_graph_mmr", graph.as_walk(lambda w, r: graph.order_mmr(w, graph.walk_pagerank(w, r), **_TEXT["mmr"])))
 
 
